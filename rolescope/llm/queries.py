@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import corpus_encoding, group_topn, rank_fusion, reading_level
+from . import corpus_encoding, eval_leakage, group_topn, rank_fusion, reading_level
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,15 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 P8_ROUND_TRIP_SQL = "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS changed FROM documents"
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = eval_leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eval_leakage.leaked_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.bands_of_english(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_anchors"))
 
@@ -69,7 +78,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p5_found, p5_ranking, p7_found, p8_ids, p8_profile, p8_round_trip, p10_found, p10_profile]
+    own = [p5_found, p5_ranking, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
     return {q.__name__: q for q in own}
 
 
