@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import text_slices
+from .folding import INVISIBLE, LOOKALIKE
 
 #: Words of the shortest passage that counts.
 PASSAGE_WORDS = 20
@@ -37,9 +38,6 @@ BLOCK_CHARS = 8_000_000
 #: Kept windows looked up at once in a task.
 CHUNK = 200_000
 
-# Letters that look like ASCII letters, and the letters they look like.
-_LOOKALIKE = str.maketrans("аеорсухіјѕԁһӏᴀοαιν", "aeopcyxijsdhlaoaiv")
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _BROKEN = re.compile(r"-[ \t]*[\r\n\u0085  ]+[ \t>|*#]*(?=\w)")
 _MARKS = re.compile(r"[^\w\s]|_")
 _ASCII_MARKS = {c: None for c in range(128) if not chr(c).isalnum() and not chr(c).isspace()}
@@ -53,7 +51,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text).lower().translate(_LOOKALIKE))
+        text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text).lower().translate(LOOKALIKE))
         if "-" in text:
             text = _BROKEN.sub("", text)
         return _MARKS.sub("", text).split()

@@ -8,11 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import corpus_encoding, eval_leakage, group_topn, rank_fusion, reading_level
+from . import corpus_encoding, eval_leakage, group_topn, rank_fusion, reading_level, skill_mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _mapped_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skill_mapping.mapped_skills(
+        table(spark, sf_dir, "job_descriptions"), table(spark, sf_dir, "candidate_profiles"), table(spark, sf_dir, "skill_catalog")
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped_skills(spark, sf_dir)
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skill_mapping.unmatched_report(_mapped_skills(spark, sf_dir))
+
+
+def p2_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skill_mapping.usage_report(_mapped_skills(spark, sf_dir), table(spark, sf_dir, "skill_catalog"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rank_fusion.joint_ranking(table(spark, sf_dir, "job_candidate_rankings"), table(spark, sf_dir, "fusion_jobs"))
     return found.select("job_id", "resume_id")
@@ -78,7 +96,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p5_found, p5_ranking, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
+    own = [p2_found, p2_unmatched, p2_usage, p5_found, p5_ranking, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
     return {q.__name__: q for q in own}
 
 
