@@ -17,8 +17,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.versions import latest_rows
 from ..session import cut
-from .group_topn import latest_rows, top_n
+from .group_topn import top_n
 
 #: Signals of a candidate and the direction in which each gets better.
 SIGNALS = {"semantic_similarity": 1, "skill_coverage": 1, "experience_alignment": 1, "education_match": 1}
