@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import corpus_encoding, eval_leakage, group_topn, rank_fusion, reading_level, skill_mapping
+from . import corpus_encoding, eval_leakage, group_topn, name_linking, rank_fusion, reading_level, skill_mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,23 @@ def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("job_id", "resume_id", F.round("fused", 9).alias("fused"), "pos")
 
 
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_linking.link_applicants(
+        table(spark, sf_dir, "candidate_profiles"), table(spark, sf_dir, "resume_files"), table(spark, sf_dir, "nicknames")
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_linking.linked_pairs(_people(spark, sf_dir))
+
+
+def p6_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each named record with its person and the number of records linked to it."""
+    people = _people(spark, sf_dir)
+    sizes = people.groupBy("person").agg((F.count("*") - 1).alias("links"))
+    return people.join(sizes, "person").select("id", "scope", "person", "links")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_topn.best_candidates(table(spark, sf_dir, "job_candidate_rankings"))
 
@@ -96,7 +113,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p2_found, p2_unmatched, p2_usage, p5_found, p5_ranking, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
+    own = [p2_found, p2_unmatched, p2_usage, p5_found, p5_ranking, p6_found, p6_people, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
     return {q.__name__: q for q in own}
 
 
