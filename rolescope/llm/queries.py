@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import corpus_encoding, eval_leakage, group_topn, name_linking, rank_fusion, reading_level, skill_mapping
+from . import corpus_encoding, eval_leakage, group_topn, label_overlap, name_linking, rank_fusion, reading_level, skill_mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_overlap.overlapping_labels(table(spark, sf_dir, "relevance_labels"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_overlap.overlap_report(table(spark, sf_dir, "relevance_labels"))
+
+
 def _mapped_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skill_mapping.mapped_skills(
         table(spark, sf_dir, "job_descriptions"), table(spark, sf_dir, "candidate_profiles"), table(spark, sf_dir, "skill_catalog")
@@ -113,7 +121,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p2_found, p2_unmatched, p2_usage, p5_found, p5_ranking, p6_found, p6_people, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
+    own = [p1_found, p1_report, p2_found, p2_unmatched, p2_usage, p5_found, p5_ranking, p6_found, p6_people, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
     return {q.__name__: q for q in own}
 
 
