@@ -38,7 +38,7 @@ BLOCK_CHARS = 8_000_000
 #: Kept windows looked up at once in a task.
 CHUNK = 200_000
 
-_BROKEN = re.compile(r"-[ \t]*[\r\n\u0085  ]+[ \t>|*#]*(?=\w)")
+_BROKEN = re.compile("-[ \\t]*[\\r\\n  \u0085]+[ \\t>|*#]*(?=\\w)")
 _MARKS = re.compile(r"[^\w\s]|_")
 _ASCII_MARKS = {c: None for c in range(128) if not chr(c).isalnum() and not chr(c).isspace()}
 #: Steps (item words, document words) between two equal words with one altered word between them, the word being

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import corpus_encoding, eval_leakage, group_topn, label_overlap, name_linking, rank_fusion, reading_level, skill_mapping
+from . import corpus_encoding, eval_leakage, group_topn, label_overlap, name_linking, pii, rank_fusion, reading_level, skill_mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,18 @@ def p2_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skill_mapping.usage_report(_mapped_skills(spark, sf_dir), table(spark, sf_dir, "skill_catalog"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_spans(table(spark, sf_dir, "candidate_profiles"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted_texts(table(spark, sf_dir, "candidate_profiles"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(pii.found_spans(table(spark, sf_dir, "candidate_profiles")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rank_fusion.joint_ranking(table(spark, sf_dir, "job_candidate_rankings"), table(spark, sf_dir, "fusion_jobs"))
     return found.select("job_id", "resume_id")
@@ -121,7 +133,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_report, p2_found, p2_unmatched, p2_usage, p5_found, p5_ranking, p6_found, p6_people, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
+    own = [p1_found, p1_report, p2_found, p2_unmatched, p2_usage, p3_found, p3_redacted, p3_report, p5_found, p5_ranking, p6_found, p6_people, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
     return {q.__name__: q for q in own}
 
 
