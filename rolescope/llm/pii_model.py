@@ -16,7 +16,7 @@ from .boosting import Calibrated, fit_calibrated
 from .pii_spans import FEATURES, KINDS, Batch, Record, describe
 
 #: Invented documents, and rows of the table, that the trees are fitted on.
-INVENTED_DOCUMENTS, SAMPLED_ROWS = 500, 300
+INVENTED_DOCUMENTS, SAMPLED_ROWS = 700, 300
 
 _SYLLABLES = "bar cal dor el fen gar hol ir jas kel lor mar nev or pel quin ros sal tor ul ver wen yor zan".split()
 _ENDS = "ton field man ley worth stein berg ova sen dez ini eau moor wick by".split()
@@ -60,7 +60,9 @@ class Invented:
             out = f"{given} {r.choice(self.given).capitalize() if self.given else self.word()} {family}"
         else:
             out = r.choice((f"{given[0]}. {family}", f"{family} {given[0]}.", f"{given[0]} {family}"))
-        return out.upper() if r.random() < 0.12 else out.lower() if r.random() < 0.08 else out
+        if r.random() < 0.04:
+            out = out.replace(" ", "  ")
+        return out.upper() if r.random() < 0.12 else out.lower() if r.random() < 0.14 else out
 
     def full_name(self) -> str:
         while True:
@@ -237,7 +239,7 @@ class Detector:
 
     def find(self, items: list[tuple[list[str], Record]]) -> list[list[tuple[int, int, int, str]]]:
         """Accepted (kind, start, end, text) of each (texts, record), positions within its joined pieces; of spans that
-        overlap the most probable is kept, the longer of equals."""
+        overlap the most probable is kept, the longer of about equals."""
         batch = describe(items, self.names, self.shapes)
         out: list[list[tuple[int, int, int, str]]] = [[] for _ in items]
         if not batch.spans:
@@ -250,7 +252,7 @@ class Detector:
                 p = model.probability(np.array([batch.rows[k] for k in own.tolist()]))
                 chance[own] = np.where(p >= model.threshold, p, 0)
         kept = np.flatnonzero(chance > 0)
-        order = kept[np.lexsort((spans[kept, 2], -(spans[kept, 3] - spans[kept, 2]), -np.round(chance[kept], 3), spans[kept, 0]))]
+        order = kept[np.lexsort((spans[kept, 2], -(spans[kept, 3] - spans[kept, 2]), -np.round(chance[kept], 1), spans[kept, 0]))]
         for k in order.tolist():
             r, kind, start, end = batch.spans[k]
             if all(end <= s or start >= e for _, s, e, _ in out[r]):

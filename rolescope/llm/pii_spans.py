@@ -58,9 +58,10 @@ _ADDRESS = re.compile(
     rf"|[{_UPPER}][\w-]*(?:{STREET_ENDS.replace(' ', '|')})\.? \d{{1,5}}[a-z]?\b)"
 )
 _CAPITAL = rf"(?:(?:Dr|Prof|Mr|Mrs|Ms|Sr|Jr|St)\.|[{_UPPER}][\w'’-]+|[{_UPPER}]\.?(?!\w))"
-_RUN = re.compile(rf"(?<![\w@.-]){_CAPITAL}(?:,? {_CAPITAL})+")
+_RUN = re.compile(rf"(?<![\w@.-]){_CAPITAL}(?:,? +{_CAPITAL})+")
 _TOKEN = re.compile(r"[^\W\d_][\w'’-]*\.?")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
+_BRACKET = re.compile(r"[(\[]")
 _GROUP = re.compile(r"\d+")
 _UNIT_WORD = re.compile(r"\b(?:Flat|Apt|Apartment|Unit|Suite|No|Room)\b|º")
 _YEAR = re.compile(r"(?:19|20)\d\d")
@@ -103,7 +104,7 @@ def known_values(document) -> str:
     if not isinstance(document, dict):
         return ""
     out = []
-    for member, fields in (("experience", ("title", "organization")), ("education", ("degree", "institution", "raw_text")), ("projects", ("name", "raw_text"))):
+    for member, fields in (("experience", ("title", "organization")), ("education", ("degree", "institution", "raw_text")), ("projects", ("name",))):
         entries = document.get(member)
         for entry in entries if isinstance(entries, list) else [entries]:
             if isinstance(entry, dict):
@@ -195,12 +196,12 @@ def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int
     # A name in small letters: the first line, or what the record calls the person.
     first = joined[: starts[1] - 1] if len(starts) > 1 else joined
     if 0 < len(first) <= 60 and not any(c.isdigit() for c in first) and "@" not in first:
-        out.update((4, a, b) for a, b in _bare_names(first))
+        out.update((4, a, b) for a, b in _bare_names(_BRACKET.split(first)[0]))
     for kind, value in ((0, record.email), (1, record.phone), (4, record.name)):
         at = joined.find(value) if len(value) >= 5 else -1
         if at >= 0:
             if kind == 4:
-                out.update((4, at + a, at + b) for a, b in _bare_names(value))
+                out.update((4, at + a, at + b) for a, b in _bare_names(_BRACKET.split(value)[0]))
             else:
                 out.add((kind, at, at + len(value)))
     return sorted(out)
