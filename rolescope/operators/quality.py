@@ -51,12 +51,14 @@ def field_summary(profiles: DataFrame) -> DataFrame:
 
 
 def run_manifest(outcomes: DataFrame) -> DataFrame:
-    """Processed, persisted and failed files of a run from (path, status, error), and the failures as sorted structs."""
-    failed = F.col("status") == "failed"
-    return outcomes.agg(
-        F.count("*").alias("processed"), F.coalesce(F.sum((F.col("status") == "persisted").cast("long")), F.lit(0)).alias("persisted"),
-        F.coalesce(F.sum(failed.cast("long")), F.lit(0)).alias("failed"), F.array_sort(F.collect_list(F.when(failed, F.struct("path", "error")))).alias("failures"),
-    )
+    """Processed, persisted and failed files of a run from (path, status, error)."""
+    of = lambda status: F.coalesce(F.sum((F.col("status") == status).cast("long")), F.lit(0))
+    return outcomes.agg(F.count("*").alias("processed"), of("persisted").alias("persisted"), of("failed").alias("failed"))
+
+
+def run_failures(outcomes: DataFrame) -> DataFrame:
+    """Failed files of a run and their errors, a row each: their number has no bound, so they are never gathered."""
+    return outcomes.where("status = 'failed'").select("path", "error")
 
 
 def reject_reasons(checks: dict[str, object]):
