@@ -98,7 +98,7 @@ def education_match(job_education: Column, candidate_level: Column) -> Column:
 
 def profile_level(doc: Column) -> Column:
     """Highest education level of a profile document."""
-    levels = F.transform(documents.entry_texts(doc, "$.education", "raw_text"), education_level)
+    levels = F.transform(documents.entry_texts(doc, "$.education", "raw_text"), lambda t: education_level(t))
     return F.coalesce(F.array_max(levels), F.lit(0))
 
 

@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nested
+from . import nested, shortlist
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (nested,)
+_MODULES = (shortlist, nested)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Explainable shortlist: retrieved pairs joined with jobs and profiles, scored and ranked."""
+    return shortlist.shortlist(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -1 +1 @@
-
+"""Event-driven refresh of the tables with Structured Streaming."""
