@@ -109,8 +109,12 @@ def role_relevance(title_tokens: Column, candidate_tokens: Column) -> Column:
 
 
 def final_score(signals: dict[str, Column], weights: dict[str, float] = lexicon.WEIGHTS) -> Column:
-    """Weighted sum of the signals in the order of ``weights``; null if any signal is null."""
-    return F.round(reduce(lambda x, y: x + y, [F.lit(w) * signals[name] for name, w in weights.items()]), DIGITS)
+    """Weighted sum of the signals in the order of ``weights``; null if any signal is null.
+
+    Rounded at nine decimals first: the last bits of the sum must not decide which way a half is rounded.
+    """
+    total = reduce(lambda x, y: x + y, [F.lit(w) * signals[name] for name, w in weights.items()])
+    return F.round(F.round(total, 9), DIGITS)
 
 
 def breakdown(signals: dict[str, Column]) -> Column:

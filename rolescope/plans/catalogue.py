@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nested, shortlist
+from . import auditing, evaluating, nested, serving, shortlist, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (shortlist, nested)
+_MODULES = (shortlist, texts, auditing, evaluating, serving, nested)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ _FEATURES = _LATEST + f""", feat AS (
          CASE WHEN len(title_tok) > 0 THEN round(len(list_intersect(title_tok, tok))::DOUBLE / len(title_tok), 6) ELSE 0.0 END AS role_relevance
   FROM held
 ), scored AS (
-  SELECT *, round(0.45::DOUBLE * semantic_similarity + 0.25::DOUBLE * skill_coverage + 0.15::DOUBLE * experience_alignment + 0.1::DOUBLE * education_match + 0.05::DOUBLE * role_relevance, 6) AS final_score FROM sig
+  SELECT *, CAST(round(CAST(0.45::DOUBLE * semantic_similarity + 0.25::DOUBLE * skill_coverage + 0.15::DOUBLE * experience_alignment + 0.1::DOUBLE * education_match + 0.05::DOUBLE * role_relevance AS DECIMAL(18, 9)), 6) AS DOUBLE) AS final_score FROM sig
 )"""
 
 
