@@ -64,7 +64,7 @@ def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] |
     """
     chosen = EXTRACTORS if extractors is None else extractors
     kind = text.suffix(F.col("path"))
-    plain = files.where(kind == ".txt").select("path", F.regexp_replace(F.decode("content", "UTF-8"), "�", "").alias("raw"), F.sha2("content", 256).alias("file_sha256"), F.lit(None).cast("string").alias("error"))
+    plain = files.where(kind == ".txt").select("path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\uFFFD", "").alias("raw"), F.sha2("content", 256).alias("file_sha256"), F.lit(None).cast("string").alias("error"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,8 @@ def checked(uploads: DataFrame, suffixes: tuple[str, ...] = lexicon.RESUME_SUFFI
         "no name": F.coalesce(name == "", F.lit(True)), "bad suffix": ~kind.isin(*suffixes), "empty": F.coalesce(F.col("size_bytes") <= 0, F.lit(True)),
         "too large": F.col("size_bytes") > most_bytes, "no id": own.isNull(),
     })
-    return uploads.drop("resume_id").withColumn("resume_id", own).withColumn("source_filename", name).withColumn("stored_name", F.concat(own, kind)).withColumn("reject", reject)
+    others = [c for c in uploads.columns if c not in ("resume_id", "source_filename", "stored_name", "reject")]
+    return uploads.select(*others, own.alias("resume_id"), name.alias("source_filename"), F.concat(own, kind).alias("stored_name"), reject.alias("reject"))
 
 
 def accepted(checked_uploads: DataFrame) -> DataFrame:
