@@ -75,14 +75,21 @@ def same_judgement(a: str, b: str) -> bool:
     return same_id(job_a, job_b) and same_id(resume_a, resume_b)
 
 
-def spellings(key: str) -> list[tuple[str, str]]:
-    """(route, text) of both texts of a key. In the first the résumé's head follows the job's tail, in the second the
-    résumé is written backwards: of two keys of one judgement, one of the texts has an equal stretch across the centre
-    and an equal route, whichever part of the résumé id holds a slip."""
+def spellings(key: str) -> list[tuple[str, str, int, int]]:
+    """(route, text, start, end) of both texts of a key.
+
+    A text holds the job's letters and number, then the résumé's number and letters, or its letters and number. The
+    stretch from ``start`` to ``end``, around the centre, is the job's number and the résumé's first half: the route. Of
+    two keys of one judgement, one of the routes is equal, whichever half of the résumé id holds a slip.
+    """
     job, resume = key.split(_CENTRE)
-    number = numbers_and_letters(job)[0]
+    number, words, _ = numbers_and_letters(job)
     digits, letters, _ = numbers_and_letters(resume)
-    return [(f">{number}{_CENTRE}{digits}", f"{job}{_CENTRE}{resume}"), (f"<{number}{_CENTRE}{letters}", f"{job}{_CENTRE}{resume[::-1]}")]
+    out = []
+    for mark, head, tail in ((">", digits, letters), ("<", letters, digits)):
+        route = f"{mark}{number}{_CENTRE}{head}{mark}"
+        out.append((route, f"{words}{route}{tail}", len(words.encode()), len((words + route).encode())))
+    return out
 
 
 class FullTextIndex:
@@ -116,52 +123,57 @@ class FullTextIndex:
         """One step of backward search for many interval bounds at once."""
         return np.searchsorted(self.rows, symbol * (self.n + 1) + bound)
 
-    def maximal_matches(self, texts: list[bytes], cross: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text number, start, end, low, high): matches that cannot be extended to either side and contain the symbol at
-        ``cross``, with the rows of the index where they occur."""
-        owner = np.repeat(np.arange(len(texts)), [len(t) - c for t, c in zip(texts, cross, strict=True)])
-        ends = np.concatenate([np.arange(len(t), c, -1) for t, c in zip(texts, cross, strict=True)]) if texts else np.empty(0, np.int64)
+    def maximal_matches(self, texts: list[bytes], stretches: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text number, start, end, low, high): matches that contain the text's stretch, for every end behind it, with the
+        rows of the index where they occur. A match is given for each start at which it loses some of its rows, so every
+        indexed text is met at its own longest match."""
+        count = [len(t) - b + 1 for t, (_, b) in zip(texts, stretches, strict=True)]
+        owner = np.repeat(np.arange(len(texts)), count)
+        ends = np.concatenate([np.arange(len(t), b - 1, -1) for t, (_, b) in zip(texts, stretches, strict=True)]) if texts else np.empty(0, np.int64)
+        need = np.array([a for a, _ in stretches], np.int64)[owner] if len(owner) else owner
         flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
         base = np.cumsum([0, *(len(t) for t in texts)])[:-1]
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         start = ends.copy()
         active = np.arange(len(ends))
         while len(active):
-            active = active[start[active] > 0]
+            inside = start[active] > 0
+            for k in active[~inside & (start[active] <= need[active])].tolist():
+                yield int(owner[k]), int(start[k]), int(ends[k]), int(low[k]), int(high[k])
+            active = active[inside]
             symbol = flat[base[owner[active]] + start[active] - 1]
             lo, hi = self.extend(symbol, low[active]), self.extend(symbol, high[active])
+            lost = (hi - lo < high[active] - low[active]) & (start[active] <= need[active])
+            for k in active[lost].tolist():
+                yield int(owner[k]), int(start[k]), int(ends[k]), int(low[k]), int(high[k])
             going = lo < hi
             active = active[going]
             low[active], high[active] = lo[going], hi[going]
             start[active] -= 1
-        centre = np.asarray(cross)[owner] if len(owner) else owner
-        longer = np.zeros(len(ends), bool)  # the match that ends one symbol later starts no later
-        longer[1:] = (owner[1:] == owner[:-1]) & (start[1:] >= start[:-1])
-        for k in np.flatnonzero((start < centre) & (ends > centre + 1) & ~longer):
-            yield int(owner[k]), int(start[k]), int(ends[k]), int(low[k]), int(high[k])
 
     def located(self, low: int, high: int) -> np.ndarray:
         """Numbers of the texts in which the rows' suffixes start."""
         return np.searchsorted(self.starts, self.suffixes[low:high], "right") - 1
 
 
-def overlaps(index: FullTextIndex, keys: list[str], texts: list[tuple[str, str]]) -> list[tuple[str, str, int, int]]:
-    """(training key, evaluation key, covered symbols, matches) of (key, text) pairs streamed through an index."""
-    raw = [t.encode() for _, t in texts]
-    cross = [t.index(_CENTRE.encode()) for t in raw]
+def overlaps(index: FullTextIndex, keys: list[str], waiting: list[tuple[str, str, int, int]]) -> list[tuple[str, str, int, int]]:
+    """(training key, evaluation key, covered symbols, spans) of (key, text, start, end) streamed through an index of the
+    texts of ``keys``. Matches of a pair are merged into spans; pairs are verified."""
+    raw = [t.encode() for _, t, _, _ in waiting]
     spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for t, start, end, low, high in index.maximal_matches(raw, cross):
+    for t, start, end, low, high in index.maximal_matches(raw, [(a, b) for _, _, a, b in waiting]):
         for e in np.unique(index.located(low, high)).tolist():
             spans.setdefault((t, e), []).append((start, end))
     out = []
     for (t, e), own in spans.items():
-        if not same_judgement(texts[t][0], keys[e]):
+        if not same_judgement(waiting[t][0], keys[e]):
             continue
-        covered, reach = 0, 0
+        covered = reach = merged = 0
         for start, end in sorted(own):
+            merged += start >= reach
             covered += max(0, end - max(start, reach))
             reach = max(reach, end)
-        out.append((texts[t][0], keys[e], covered, len(own)))
+        out.append((waiting[t][0], keys[e], covered, merged))
     return out
 
 
@@ -194,14 +206,13 @@ def key_pairs(keys: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (zlib.crc32(way.encode()) % shards, role == "train", key, text)
+                (zlib.crc32(way.encode()) % shards, role == "train", key, text, start, end)
                 for role, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for way, text in spellings(key)
+                for way, text, start, end in spellings(key)
             ]
-            shard, train, key, text = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), pa.array(train, pa.bool_()), pa.array(key, pa.string()), pa.array(text, pa.string())], names=["shard", "train", "key", "text"]
-            )
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            types = (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "train", "key", "text", "start", "end"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: int | None = None
@@ -210,8 +221,8 @@ def key_pairs(keys: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
         index: FullTextIndex | None = None
         for batch in batches:
             found: list[tuple] = []
-            waiting: list[tuple[str, str]] = []
-            for s, train, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            waiting: list[tuple[str, str, int, int]] = []
+            for s, train, key, text, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard:
                     found += overlaps(index, keys, waiting) if index and waiting else []
                     shard, keys, texts, index, waiting = s, [], [], None, []
@@ -220,13 +231,13 @@ def key_pairs(keys: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
                     texts.append(text.encode())
                 elif keys:
                     index = index or FullTextIndex(texts)
-                    waiting.append((key, text))
+                    waiting.append((key, text, start, end))
             found += overlaps(index, keys, waiting) if index and waiting else []
             columns = list(zip(*found, strict=True)) if found else [(), (), (), ()]
             types = (pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["train_key", "eval_key", "covered", "matches"])
 
-    routed = keys.select("role", "key").mapInArrow(route, "shard int, train boolean, key string, text string")
+    routed = keys.select("role", "key").mapInArrow(route, "shard int, train boolean, key string, text string, start int, end int")
     # Evaluation keys of a shard come first, so the index stands before the shard's training keys stream by.
     sharded = routed.repartition(shards, "shard").sortWithinPartitions("shard", "train", "key")
     pairs = sharded.mapInArrow(search, "train_key string, eval_key string, covered int, matches int")
