@@ -13,14 +13,28 @@ from .text import feature_form, token_set
 DIGITS = 6
 
 
-def _held(skills: Column, own: Column, text: Column, match: str) -> Column:
-    """Share of ``skills`` that the candidate has."""
-    forms = F.transform(skills, feature_form)
+def _some(c: Column) -> Column:
+    """Array without nulls; an empty one for a null array."""
+    return F.filter(F.coalesce(c, F.expr("cast(array() as array<string>)")), lambda s: s.isNotNull())
+
+
+def skill_forms(skills: Column, drop_empty: bool = False) -> Column:
+    """Folded forms of an array of skills; ``drop_empty`` leaves out empty skills, not those that fold to nothing."""
+    some = _some(skills)
+    return F.transform(F.filter(some, lambda s: s != "") if drop_empty else some, lambda s: feature_form(s))
+
+
+def folded_coverage(required: Column, preferred: Column, own: Column, text: Column, match: str = "substring", weights: tuple[float, float] = (0.7, 0.3)) -> Column:
+    """``skill_coverage`` of arrays and a text that are folded already, so that a text is folded once for each candidate
+    and not once for each pair and skill."""
     if match == "substring":
         hit = lambda s: F.array_contains(own, s) | text.contains(s)
     else:
         hit = lambda s: F.array_contains(own, s) | F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), s, F.lit(" ")))
-    return F.size(F.filter(forms, hit)) / F.size(skills)
+    share = lambda skills: F.size(F.filter(skills, hit)) / F.size(skills)
+    some_r, some_p = F.size(required) > 0, F.size(preferred) > 0
+    both = F.lit(weights[0]) * share(required) + F.lit(weights[1]) * share(preferred)
+    return F.round(F.when(some_r & some_p, both).when(some_r, share(required)).when(some_p, share(preferred)).otherwise(F.lit(0.5)), DIGITS)
 
 
 def skill_coverage(required: Column, preferred: Column, candidate_skills: Column, candidate_text: Column, match: str = "substring", weights: tuple[float, float] = (0.7, 0.3)) -> Column:
@@ -29,14 +43,8 @@ def skill_coverage(required: Column, preferred: Column, candidate_skills: Column
     A skill is held if its folded form is one of the candidate's skills or occurs in the text, anywhere
     (``match='substring'``) or as whole words (``match='token'``). Null skills are left out; null arrays are empty.
     """
-    some = lambda c: F.filter(F.coalesce(c, F.expr("cast(array() as array<string>)")), lambda s: s.isNotNull())
-    required, preferred = some(required), some(preferred)
-    own = F.transform(F.filter(some(candidate_skills), lambda s: s != ""), feature_form)
     text = feature_form(F.coalesce(candidate_text, F.lit("")))
-    r, p = _held(required, own, text, match), _held(preferred, own, text, match)
-    both = F.lit(weights[0]) * r + F.lit(weights[1]) * p
-    score = F.when((F.size(required) > 0) & (F.size(preferred) > 0), both).when(F.size(required) > 0, r).when(F.size(preferred) > 0, p).otherwise(F.lit(0.5))
-    return F.round(score, DIGITS)
+    return folded_coverage(skill_forms(required), skill_forms(preferred), skill_forms(candidate_skills, drop_empty=True), text, match, weights)
 
 
 def required_years(c: Column) -> tuple[Column, Column]:

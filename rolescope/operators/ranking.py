@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import documents, lexicon, scoring
-from ..functions.text import token_set
+from ..functions.text import feature_form, token_set
 from .versions import latest_rows
 
 
@@ -32,10 +32,11 @@ def candidate_features(profiles: DataFrame) -> DataFrame:
     """What scoring needs of each profile, computed once for each and not once for each pair."""
     parsed = profiles.withColumn("doc", documents.document(F.col("profile_json")))
     skills = F.filter(F.coalesce("skills", F.expr("cast(array() as array<string>)")), lambda s: s.isNotNull() & (s != ""))
-    text = scoring.candidate_feature_text(skills, F.col("doc"))
+    parsed = parsed.withColumn("text", scoring.candidate_feature_text(skills, F.col("doc")))
+    parsed = parsed.withColumn("candidate_form", feature_form(F.coalesce("text", F.lit(""))))
     filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
     return parsed.select(
-        "resume_id", skills.alias("candidate_skills"), text.alias("candidate_text"), token_set(text).alias("candidate_tokens"),
+        "resume_id", scoring.skill_forms(skills, drop_empty=True).alias("candidate_skills"), "candidate_form", token_set(F.col("candidate_form")).alias("candidate_tokens"),
         scoring.profile_years(F.col("doc")).alias("candidate_years"), scoring.profile_level(F.col("doc")).alias("candidate_level"),
         F.coalesce("warning_count", F.lit(0)).alias("warning_count"),
         scoring.stored_or_counted(F.col("education_count"), documents.entries(F.col("doc"), "$.education")).alias("education_count"),
@@ -46,9 +47,8 @@ def candidate_features(profiles: DataFrame) -> DataFrame:
 
 
 def job_features(jobs: DataFrame) -> DataFrame:
-    none = F.expr("cast(array() as array<string>)")
     return jobs.select(
-        "job_id", "job_title", F.coalesce("required_skills", none).alias("required_skills"), F.coalesce("preferred_skills", none).alias("preferred_skills"),
+        "job_id", "job_title", scoring.skill_forms(F.col("required_skills")).alias("required_skills"), scoring.skill_forms(F.col("preferred_skills")).alias("preferred_skills"),
         "experience_required", F.col("education").alias("job_education"), scoring.title_tokens(F.col("job_title")).alias("title_tokens"),
     )
 
@@ -62,7 +62,7 @@ def signals(retrievals: DataFrame, jobs: DataFrame, profiles: DataFrame, match:
     pairs = retrievals.join(job_features(jobs), "job_id").join(candidate_features(profiles), "resume_id")
     own = {
         "semantic_similarity": F.round("semantic_similarity", scoring.DIGITS),
-        "skill_coverage": scoring.skill_coverage(F.col("required_skills"), F.col("preferred_skills"), F.col("candidate_skills"), F.col("candidate_text"), match),
+        "skill_coverage": scoring.folded_coverage(F.col("required_skills"), F.col("preferred_skills"), F.col("candidate_skills"), F.col("candidate_form"), match),
         "experience_alignment": scoring.experience_alignment(F.col("experience_required"), F.col("candidate_years")),
         "education_match": scoring.education_match(F.col("job_education"), F.col("candidate_level")),
         "role_relevance": scoring.role_relevance(F.col("title_tokens"), F.col("candidate_tokens")),
