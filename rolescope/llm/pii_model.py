@@ -202,7 +202,7 @@ def invented_sample(names: dict[str, float], documents: int, seed: int) -> tuple
         texts, record, truth = maker.document()
         items.append((texts, record))
         truths.append(truth)
-    batch = describe(items, names)
+    batch = describe(items, names, settled=True)
     y = np.array([(kind, batch.joined[r][a:b]) in truths[r] for r, kind, a, b in batch.spans], float)
     return batch, y
 
@@ -263,7 +263,7 @@ class Detector:
 def fit_detector(names: dict[str, float], rows: list[tuple[list[str], Record]], documents: int = INVENTED_DOCUMENTS, seed: int = 7) -> Detector:
     """Detector from invented documents and sampled rows, repeatable for equal samples."""
     made, y_made = invented_sample(names, documents, seed)
-    real = describe(rows, names)
+    real = describe(rows, names, settled=True)
     y_real = sampled_labels(real, [r for _, r in rows])
     known = np.flatnonzero(~np.isnan(y_real))
     rows_of = made.rows + [real.rows[k] for k in known]

@@ -207,7 +207,7 @@ def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int
     return sorted(out)
 
 
-_COMMON = "own_cue other_cue code_cue after_cue after_mark first_line line_start line_end is_column"
+_COMMON = "own_cue other_cue code_cue after_mark first_line line_start line_end is_column"
 #: Features of each kind, in the order in which ``features`` gives them.
 FEATURES = tuple(
     f"{_COMMON} {own}".split()
@@ -215,22 +215,25 @@ FEATURES = tuple(
         "length at_sign dots spaces",
         "digits groups first_group last_group plus brackets dots hyphens spaces years letters_beside",
         "digits groups first_group last_group dots hyphens spaces prefix suffix years is_phone",
-        "length words street_last number_first digits unit comma known",
-        "length words capitals upper lower comma initials name_first name_last name_share institution known column_share",
+        "length words street_last number_first digits unit comma",
+        "length words capitals upper lower comma initials name_first name_last name_share institution column_share",
     )
 )
+_AROUND = ".,:;-<>()[]\"'"
 _MARKS = {c: k for k, c in enumerate("\n ,.;:)>(", 1)}
 
 
 def features(kind: int, start: int, end: int, joined: str, low: int, high: int, record: Record, shape_of, column_words: frozenset[str]) -> list[float]:
     """Feature values of one span; ``low`` and ``high`` bound its piece, ``shape_of`` gives the ``name_shape`` of a text."""
     span = joined[start:end]
-    cues = [_CUE_OF[w] for w in _WORD.findall(joined[max(low, start - 30) : start].lower())[-3:] if w in _CUE_OF]
-    follow = _WORD.match(joined[end + 1 : min(high, end + 16)].lower()) or _WORD.match(joined[end : min(high, end + 16)].lower())
+    cues = ()
+    if start > low:
+        before = joined[max(low, start - 30) : start].lower().replace("/", " ").split()[-3:]
+        cues = [_CUE_OF[w] for w in [w.strip(_AROUND) for w in before] if w in _CUE_OF]
     value = (record.email, record.phone, "", "", record.name)[kind]
     row = [
-        float(kind + 1 in cues), float(any(c != kind + 1 and c != 6 for c in cues)), float(6 in cues), float(follow is not None and _CUE_OF.get(follow.group(), 0) == 6),
-        _MARKS.get(joined[end], 0) if end < high else 1, float(low == 0), float(start == low), float(end == high), float(value != "" and (span == value or kind == 4 and end - start > 4 and span in value)),
+        float(kind + 1 in cues), float(any([c != kind + 1 and c != 6 for c in cues])), float(6 in cues), _MARKS.get(joined[end], 0) if end < high else 1, float(low == 0), float(start == low), float(end == high),
+        float(value != "" and (span == value or kind == 4 and end - start > 4 and span in value)),
     ]
     if kind == 0:
         return row + [end - start, float("@" in span), span.count(".") + span.lower().count("dot"), span.count(" ")]
@@ -244,14 +247,14 @@ def features(kind: int, start: int, end: int, joined: str, low: int, high: int,
             beside = joined[max(low, start - 3) : start]
             return row + sizes + [float(span[0] == "+" or span[:2] == "00"), float("(" in span), *marks, years, float(beside[-1:] in "- " and beside[:2].isupper())]
         return row + sizes + marks + [float(span[0].isalpha()), float(span[-1].isalpha()), years, float(span in record.phone)]
-    known = float(span in record.known_text)
     if kind == 4:
         shape, folded = shape_of(span)
-        return [*row, *shape, known, sum([w in column_words for w in folded]) / (len(folded) or 1) if column_words else 0.0]
-    if kind == 3:
-        words = _WORD.findall(span)
-        n = len(words) or 1
-        return row + [end - start, n, float(bool(words) and bool(_STREET_WORD.fullmatch(words[-1]))), float(span[0].isdigit()), float(_GROUP.search(span) is not None), float(_UNIT_WORD.search(span) is not None), float("," in span), known]
+        return [*row, *shape, sum([w in column_words for w in folded]) / (len(folded) or 1) if column_words else 0.0]
+    words = _WORD.findall(span)
+    n = len(words) or 1
+    return row + [end - start, n, float(bool(words) and bool(_STREET_WORD.fullmatch(words[-1]))), float(span[0].isdigit()), float(_GROUP.search(span) is not None), float(_UNIT_WORD.search(span) is not None), float("," in span)]
+
+
 def name_shape(span: str, names: dict[str, float]) -> tuple[list[float], list[str]]:
     """Features of a name candidate that depend on its words alone, and the folded words."""
     words = _WORD.findall(span)
@@ -275,9 +278,10 @@ class Batch:
     joined: list[str]
 
 
-def describe(items: list[tuple[list[str], Record]], names: dict[str, float], cache: dict | None = None) -> Batch:
+def describe(items: list[tuple[list[str], Record]], names: dict[str, float], cache: dict | None = None, settled: bool = False) -> Batch:
     """Candidates and features of (texts, record) pairs; pieces that a record repeats are described once. ``cache`` keeps
-    what was found of spans that many records repeat, such as firms and schools."""
+    what was found of spans that many records repeat. Names and addresses that are values of members which never hold a
+    person are settled by the record itself and only described if ``settled``, for learning from them."""
     batch = Batch([], [], [])
     shapes: dict[str, tuple[list[float], list[str]]] = {} if cache is None else cache
 
@@ -299,6 +303,8 @@ def describe(items: list[tuple[list[str], Record]], names: dict[str, float], cac
             at += len(p) + 1
         column_words = frozenset(plain(w) for w in _WORD.findall(record.name))
         for kind, start, end in candidates(joined, starts, record):
+            if not settled and kind > 2 and joined[start:end] in record.known_text and joined[start:end] not in record.name:
+                continue
             k = bisect_right(starts, start) - 1
             low, high = starts[k], starts[k] + len(pieces[k])
             if end <= high:
