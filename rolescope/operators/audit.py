@@ -81,27 +81,61 @@ def rule_links(features: DataFrame) -> DataFrame:
     return every.withColumn("left", first).where("left <> relative_path").select("left", F.col("relative_path").alias("right"), "reason").distinct()
 
 
+def _by_token(usable: DataFrame) -> DataFrame:
+    """Pairs of paths whose word sets may share three quarters of the smaller one.
+
+    Such pairs share a word among the few rarest words of the smaller set; only these are looked up, so frequent words
+    bring no pairs together.
+    """
+    words = usable.select("relative_path", F.explode(F.array_distinct("tokens")).alias("w"))
+    frequency = words.groupBy("w").agg(F.count("*").alias("n"))
+    ordered = words.join(frequency, "w").groupBy("relative_path").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    size = F.size("ws")
+    rare = F.slice("ws", F.lit(1), (size - F.ceil(size * 0.75) + 1).cast("int"))
+    small = ordered.select(F.col("relative_path").alias("a"), size.alias("sa"), F.explode(rare).alias("x")).select("a", "sa", F.col("x.w").alias("w"))
+    other = ordered.select(F.col("relative_path").alias("b"), size.alias("sb"), F.explode("ws").alias("x")).select("b", "sb", F.col("x.w").alias("w"))
+    met = small.join(other, "w").where("sa <= sb and a <> b")
+    return met.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
+
+
+def _by_segment(usable: DataFrame, gap: int, least_ratio: float = 0.92) -> DataFrame:
+    """Pairs of paths whose person keys may have a similarity of ``least_ratio``.
+
+    Strings so alike differ in few letters: cut the shorter into one segment more than that, and one segment stands in
+    the longer at nearly the same place. Segments are looked up by text, place and the shorter's length.
+    """
+    keys = usable.select("relative_path", F.col("candidate_compact").alias("k")).withColumn("n", F.length("k"))
+    # Letters that may be left over in a pair whose shorter string has n letters and whose longer has at most n + gap.
+    spare = lambda n: F.floor((n * 2 + gap) * (1 - least_ratio)).cast("int")
+    bounds = lambda n: F.transform(F.sequence(F.lit(0), spare(n)), lambda i: F.struct(i.alias("i"), F.floor(i * n / (spare(n) + 1)).cast("int").alias("f"), F.floor((i + 1) * n / (spare(n) + 1)).cast("int").alias("t")))
+    short = keys.withColumn("s", F.explode(bounds(F.col("n")))).select(F.col("relative_path").alias("a"), F.col("n").alias("na"), F.col("s.i").alias("i"), F.expr("substring(k, s.f + 1, s.t - s.f)").alias("seg"))
+    lengths = F.sequence(F.greatest(F.lit(1), F.col("n") - gap), F.col("n"))
+    cut = keys.withColumn("na", F.explode(lengths)).withColumn("s", F.explode(bounds(F.col("na")))).withColumn("d", F.explode(F.sequence(-spare(F.col("na")), spare(F.col("na")))))
+    inside = cut.where("s.f + d >= 0 and s.t + d <= n")
+    long = inside.select(F.col("relative_path").alias("b"), "na", F.col("s.i").alias("i"), F.expr("substring(k, s.f + d + 1, s.t - s.f)").alias("seg")).distinct()
+    met = short.where("seg <> ''").join(long, ["na", "i", "seg"]).where("a <> b")
+    return met.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
+
+
 def near_links(features: DataFrame, most_length_gap: int = 4) -> DataFrame:
     """``left``, ``right``, ``similarity``, ``reason`` of files whose person keys are alike.
 
-    Keys are compared once for each distinct (key, size), within blocks of the first letter and of lengths that are
-    near: each key is sent to the length buckets it can meet. The similarity is that of matching blocks, asymmetric in
-    its arguments; the left file is the first by path. Files with equal keys belong to ``rule_links``.
+    Keys begin with the same letter, their lengths are near, and either their words overlap or their letters do.
+    Candidates come from two lossless filters, rare shared words and shared segments, not from all pairs of a letter. The
+    similarity is that of matching blocks, asymmetric in its arguments; the left file is the first by path. Files with
+    equal keys belong to ``rule_links``.
     """
-    usable = features.where("is_informative and not is_template and candidate_compact <> ''").select("relative_path", "size_bytes", "candidate_key", "candidate_compact", "tokens")
-    block = F.substring("candidate_compact", 1, 1)
-    bucket = F.floor(F.length("candidate_compact") / (most_length_gap + 1))
-    left = usable.select(*(F.col(c).alias(f"l_{c}") for c in usable.columns), block.alias("b"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("n"))
-    right = usable.select(*(F.col(c).alias(f"r_{c}") for c in usable.columns), block.alias("b"), bucket.alias("n"))
-    overlap = scoring.token_overlap(F.col("l_tokens"), F.col("r_tokens")) >= 0.75
-    contains = F.col("l_candidate_compact").contains(F.col("r_candidate_compact")) | F.col("r_candidate_compact").contains(F.col("l_candidate_compact"))
-    ratio = scoring.size_ratio(F.col("l_size_bytes"), F.col("r_size_bytes"))
-    # No pair whose lengths differ too much, or that no rule can accept, reaches the similarity.
-    pairs = left.join(right, ["b", "n"]).where(
-        (F.col("l_relative_path") < F.col("r_relative_path")) & (F.col("l_candidate_compact") != F.col("r_candidate_compact"))
-        & (F.abs(F.length("l_candidate_compact") - F.length("r_candidate_compact")) <= most_length_gap)
-    ).withColumn("overlap", overlap).withColumn("contains", contains).withColumn("ratio", ratio).where("overlap or contains or ratio >= 0.7")
-    wanted = pairs.select("l_relative_path", "r_relative_path", "l_candidate_compact", "r_candidate_compact", "overlap", "contains", "ratio")
+    usable = features.where("is_informative and not is_template and candidate_compact <> ''").select("relative_path", "size_bytes", "candidate_compact", "tokens")
+    met = _by_token(usable).unionByName(_by_segment(usable, most_length_gap)).distinct()
+    side = lambda name: usable.select(F.col("relative_path").alias(name), *(F.col(c).alias(f"{name[0]}_{c}") for c in usable.columns[1:]))
+    l_key, r_key = F.col("l_candidate_compact"), F.col("r_candidate_compact")
+    pairs = (
+        met.join(side("left"), "left").join(side("right"), "right")
+        .where((l_key != r_key) & (F.substring(l_key, 1, 1) == F.substring(r_key, 1, 1)) & (F.abs(F.length(l_key) - F.length(r_key)) <= most_length_gap))
+        .withColumn("overlap", scoring.token_overlap(F.col("l_tokens"), F.col("r_tokens")) >= 0.75).withColumn("contains", l_key.contains(r_key) | r_key.contains(l_key))
+        .withColumn("ratio", scoring.size_ratio(F.col("l_size_bytes"), F.col("r_size_bytes"))).where("overlap or contains or ratio >= 0.7")
+    )
+    wanted = pairs.select("left", "right", "l_candidate_compact", "r_candidate_compact", "overlap", "contains", "ratio")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

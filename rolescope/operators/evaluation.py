@@ -69,21 +69,23 @@ def job_metrics(rows: DataFrame, precision_at: int = 5, recall_at: int = 10, ndc
     score_field, score).
 
     Rows are ordered by score, then retrieval rank (missing and zero last), then id; precision divides by the rows
-    there are if fewer than asked. Gains and hits are sums over two positions, so nothing is collected.
+    there are if fewer than asked. Totals are partial sums and only the first positions of either order are needed, so
+    group limits prune a job of any size before the shuffle.
     """
+    deepest = max(precision_at, recall_at, ndcg_at)
     rank = F.when(F.coalesce("retrieval_rank", F.lit(0)) == 0, NO_RANK).otherwise(F.col("retrieval_rank"))
     group = ["score_field", "job_id"]
     by_score = Window.partitionBy(*group).orderBy(F.col("score").desc(), rank, "resume_id")
     by_label = Window.partitionBy(*group).orderBy(F.col("label").desc())
-    placed = rows.withColumn("at", F.row_number().over(by_score)).withColumn("ideal_at", F.row_number().over(by_label))
     hit = F.col("label") >= least_label
-    gain = F.pow(F.lit(2.0), F.col("label")) - 1
-    discounted = lambda at: F.coalesce(F.sum(F.when(F.col(at) <= ndcg_at, gain / F.log2(F.col(at) + 1))), F.lit(0.0))
-    sums = placed.groupBy(*group).agg(
-        F.count("*").alias("labeled_pair_count"), F.sum(hit.cast("long")).alias("relevant_pair_count"),
+    gain = (F.pow(F.lit(2.0), F.col("label")) - 1) / F.log2(F.col("at") + 1)
+    totals = rows.groupBy(*group).agg(F.count("*").alias("labeled_pair_count"), F.sum(hit.cast("long")).alias("relevant_pair_count"))
+    found = rows.withColumn("at", F.row_number().over(by_score)).where(F.col("at") <= deepest).groupBy(*group).agg(
         F.sum((hit & (F.col("at") <= precision_at)).cast("long")).alias("p_hits"), F.sum((hit & (F.col("at") <= recall_at)).cast("long")).alias("r_hits"),
-        discounted("at").alias("dcg"), discounted("ideal_at").alias("ideal"),
+        F.coalesce(F.sum(F.when(F.col("at") <= ndcg_at, gain)), F.lit(0.0)).alias("dcg"),
     )
+    ideal = rows.withColumn("at", F.row_number().over(by_label)).where(F.col("at") <= ndcg_at).groupBy(*group).agg(F.sum(gain).alias("ideal"))
+    sums = totals.join(found, group).join(ideal, group)
     return sums.select(
         *group, "labeled_pair_count", "relevant_pair_count", F.round(F.col("p_hits") / F.least(F.lit(precision_at), F.col("labeled_pair_count")), 6).alias("precision_at_k"),
         F.when(F.col("relevant_pair_count") > 0, F.round(F.col("r_hits") / F.col("relevant_pair_count"), 6)).otherwise(0.0).alias("recall_at_k"),
