@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Cells into which the gap between two bands is cut when the corpus is asked where it is thinnest.
+GAP_CELLS = 24
 #: Graded passages beyond this number are left out of the fit, lowest anchor_id first kept.
 MAX_ANCHORS = 2_000
 # Class of each byte.
@@ -153,12 +155,8 @@ def fit_anchors(anchors: DataFrame, max_anchors: int = MAX_ANCHORS) -> LevelMode
     return fit(text_features([r.text for r in rows]), np.array([r.band for r in rows]))
 
 
-def reading_levels(documents: DataFrame, model: LevelModel) -> DataFrame:
-    """``doc_id``, ``level`` (DOUBLE) and ``band`` of each document.
-
-    A null text, and a text without a single word, has null level and band. Whole texts are read; the only data that
-    leaves the scan is the text itself, in one pass without a shuffle.
-    """
+def _scores(documents: DataFrame, model: LevelModel) -> DataFrame:
+    """``doc_id`` and ``score`` of each document, null for a null text and a text without a single word."""
     source = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +166,56 @@ def reading_levels(documents: DataFrame, model: LevelModel) -> DataFrame:
             offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
             x = features(data, offsets)
-            empty = ~x.any(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(model.level(x), pa.float64(), mask=empty), pa.array(model.band(x), pa.int32(), mask=empty)],
-                names=["doc_id", "level", "band"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64(), mask=~x.any(axis=1))], names=["doc_id", "score"])
+
+    return source.mapInArrow(run, "doc_id bigint, score double")
+
+
+def fitted_to_corpus(model: LevelModel, documents: DataFrame, cells: int = GAP_CELLS) -> LevelModel:
+    """The model with each step between two bands placed where the corpus is thinnest.
 
-    return source.mapInArrow(run, "doc_id bigint, level double, band int")
+    The graded passages leave a gap between neighbouring bands, in which isotonic regression says nothing. All documents
+    are counted in cells of these gaps, at most ``cells`` for each pair of bands, and the step goes to the cell with the
+    fewest neighbours; a gap without documents is halved.
+    """
+    gaps = [k for k in range(len(model.knots) - 1) if model.levels[k + 1] > model.levels[k] and model.knots[k + 1] > model.knots[k]]
+    if not gaps:
+        return model
+    lows, highs = model.knots[gaps], model.knots[[k + 1 for k in gaps]]
+    reach = (highs - lows) / cells
+    counted = {}
+    own = _scores(documents, model).where("score is not null")
+    # Cells reach beyond the gap by half its width, so that its edges have neighbours too.
+    named = [F.when((F.col("score") >= float(lo - (hi - lo) / 2)) & (F.col("score") < float(hi + (hi - lo) / 2)), F.struct(F.lit(g).alias("g"), F.floor((F.col("score") - float(lo)) / float(r)).cast("int").alias("c"))) for g, (lo, hi, r) in enumerate(zip(lows, highs, reach, strict=True))]
+    for r in own.select(F.explode(F.array_compact(F.array(*named))).alias("x")).groupBy("x.g", "x.c").agg(F.count("*").alias("n")).collect():
+        counted[r.g, r.c] = r.n
+    knots, levels = list(model.knots), list(model.levels)
+    for g in reversed(range(len(gaps))):
+        density = np.array([counted.get((g, c), 0) for c in range(-cells // 2, cells + cells // 2)], float)
+        smooth = np.convolve(density, np.ones(7) / 7, "same")[cells // 2 : cells // 2 + cells]
+        thin = np.flatnonzero(smooth == smooth.min())
+        at = float(lows[g] + (thin[len(thin) // 2] + 0.5) * reach[g])
+        k = gaps[g]
+        middle = (levels[k] + levels[k + 1]) / 2
+        knots.insert(k + 1, at)
+        levels.insert(k + 1, middle)
+    return LevelModel(model.mean, model.scale, model.weights, np.array(knots), np.array(levels))
+
+
+def reading_levels(documents: DataFrame, model: LevelModel) -> DataFrame:
+    """``doc_id``, ``level`` (DOUBLE) and ``band`` of each document.
+
+    A null text, and a text without a single word, has null level and band. Whole texts are read; the only data that
+    leaves the scan is the text itself, in one pass without a shuffle. Levels between the knots are straight lines, inside
+    the JVM.
+    """
+    score = F.col("score")
+    level = F.when(score <= float(model.knots[0]), float(model.levels[0]))
+    for x0, x1, y0, y1 in zip(model.knots, model.knots[1:], model.levels, model.levels[1:], strict=False):
+        if x1 > x0:
+            level = level.when(score <= float(x1), float(y0) + (score - float(x0)) * float((y1 - y0) / (x1 - x0)))
+    level = F.when(score.isNotNull(), level.otherwise(float(model.levels[-1])))
+    return _scores(documents, model).select("doc_id", level.alias("level")).withColumn("band", F.floor(F.col("level") + 0.5).cast("int"))
 
 
 def bands_of_english(documents: DataFrame, anchors: DataFrame, lang: str = "en", least_chars: int = 600) -> DataFrame:
@@ -183,12 +224,12 @@ def bands_of_english(documents: DataFrame, anchors: DataFrame, lang: str = "en",
     Documents whose language or length is null are not asked for.
     """
     asked = documents.where((F.col("lang") == lang) & (F.col("n_chars") >= least_chars))
-    return reading_levels(asked, fit_anchors(anchors)).select("doc_id", "band").where("band is not null")
+    return reading_levels(asked, fitted_to_corpus(fit_anchors(anchors), asked)).select("doc_id", "band").where("band is not null")
 
 
 def band_profile(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     """Documents and mean level of each source and band, over all documents; null band where a text has no word."""
-    levels = reading_levels(documents, fit_anchors(anchors))
+    levels = reading_levels(documents, fitted_to_corpus(fit_anchors(anchors), documents.where("lang = 'en'")))
     # The source travels by a join on the key: only the text goes through Python.
     return documents.select("doc_id", "source").join(levels, "doc_id").groupBy("source", "band").agg(
         F.count("*").alias("documents"), F.round(F.avg("level"), 6).alias("mean_level")
