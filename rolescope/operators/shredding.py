@@ -9,7 +9,7 @@ so no document and no entity is gathered in one place.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +29,6 @@ class Entity:
     path: tuple[str, ...]
     columns: tuple[str, ...] = ()
     parent: str | None = None
-    lists: tuple[str, ...] = field(default=())
 
 
 #: Entities of a parsed profile.
@@ -80,50 +79,61 @@ def adjacency(df: DataFrame, key: str, json_col: str, members: list[str] | None
     return source.mapInArrow(run, f"key {key_type}, node int, parent int, label string, ordinal int, kind string, scalar string")
 
 
-def _members(tree: DataFrame, holders: DataFrame, label: str) -> DataFrame:
-    """Members called ``label`` of the object nodes in ``holders`` (key, node, pos)."""
-    named = tree.where(F.col("label") == label).select("key", F.col("parent").alias("node"), F.col("node").alias("member"), "kind", "scalar")
-    return holders.join(named, ["key", "node"]).select("key", "pos", F.col("member").alias("node"), "kind", "scalar")
+def _steps(entities: tuple[Entity, ...]) -> tuple[list[tuple[str, int]], dict[int, list[tuple[int, str, bool]]]]:
+    """States (entity, labels followed) and, from each state (-1 is the root), the next states with their label and
+    whether the step enters a child entity."""
+    states = [(e.name, k) for e in entities for k in range(1, len(e.path) + 1)]
+    number = {s: k for k, s in enumerate(states)}
+    steps: dict[int, list[tuple[int, str, bool]]] = {}
+    for e in entities:
+        before = -1 if e.parent is None else number[e.parent, max(k for n, k in states if n == e.parent)]
+        for k, label in enumerate(e.path, 1):
+            steps.setdefault(before, []).append((number[e.name, k], label, k == 1))
+            before = number[e.name, k]
+    return states, steps
 
 
-def _records(tree: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, parent_pos, pos, node, kind, scalar): elements of list members, and lone values as lists of one.
+def entity_records(tree: DataFrame, entities: tuple[Entity, ...] = PROFILE_ENTITIES) -> DataFrame:
+    """Records of all entities: ``key``, ``entity``, ``parent_pos``, ``pos``, ``node``, ``kind``, ``scalar``.
 
-    A null is no record but keeps its place.
+    ``pos`` is the place in the entity's own list, ``parent_pos`` the place of the parent record, -1 where the entity
+    hangs on the document itself. A lone value is a list of one; a null is no record but keeps its place; a nested path
+    opens single objects and lists alike. All entities take a step together: each level of nesting costs one join with
+    the labelled members and one with the elements of lists.
     """
+    states, steps = _steps(entities)
+    final = {k: name for k, (name, depth) in enumerate(states) if depth == len(next(e.path for e in entities if e.name == name))}
+    named = tree.where(F.col("label").isin(sorted({label for e in entities for label in e.path}))).select(
+        "key", F.col("parent").alias("node"), "label", F.col("node").alias("member"), F.col("kind").alias("m_kind"), F.col("scalar").alias("m_scalar")
+    )
     element = tree.where(F.col("label").isNull() & (F.col("parent") >= 0)).select(
-        "key", F.col("parent").alias("node"), F.col("node").alias("element"), F.col("ordinal").alias("place"), F.col("kind").alias("e_kind"), F.col("scalar").alias("e_scalar")
+        "key", F.col("parent").alias("member"), F.col("node").alias("element"), F.col("ordinal").alias("place"), F.col("kind").alias("e_kind"), F.col("scalar").alias("e_scalar")
     )
-    listed = found.where("kind = 'array'").select("key", "node", F.col("pos").alias("parent_pos")).join(element, ["key", "node"])
-    listed = listed.select("key", "parent_pos", F.col("place").alias("pos"), F.col("element").alias("node"), F.col("e_kind").alias("kind"), F.col("e_scalar").alias("scalar"))
-    lone = found.where("kind <> 'array'").select("key", F.col("pos").alias("parent_pos"), F.lit(0).alias("pos"), "node", "kind", "scalar")
-    return listed.unionByName(lone).where("kind <> 'null'")
-
-
-def entity_records(tree: DataFrame, entities: tuple[Entity, ...] = PROFILE_ENTITIES) -> dict[str, DataFrame]:
-    """Records of each entity: ``key``, ``parent_pos``, ``pos``, ``node``, ``kind``, ``scalar``.
-
-    ``pos`` is the place in the entity's own list, ``parent_pos`` the place of the parent record, -1 where the entity
-    hangs on the document itself. A nested path opens single objects and lists alike.
-    """
-    root = tree.where("parent = -1 and kind = 'object'").select("key", "node", F.lit(-1).alias("pos"))
-    out: dict[str, DataFrame] = {}
-    for e in entities:
-        holders = root if e.parent is None else out[e.parent].where("kind = 'object'").select("key", "node", "pos")
-        for label in e.path[:-1]:
-            step = _records(tree, _members(tree, holders, label))
-            holders = step.where("kind = 'object'").select("key", "node", F.col("parent_pos").alias("pos"))
-        out[e.name] = _records(tree, _members(tree, holders, e.path[-1]))
+    at = tree.where("parent = -1 and kind = 'object'").select("key", "node", F.lit(-1).alias("state"), F.lit(-1).alias("parent_pos"), F.lit(-1).alias("pos"))
+    reached, found = {-1}, []
+    while reached & set(steps):
+        going = {k: v for k, v in steps.items() if k in reached}
+        moves = F.create_map(*(x for k, v in going.items() for x in (F.lit(k), F.array(*(F.struct(F.lit(n).alias("to"), F.lit(label).alias("label"), F.lit(enters).alias("enters")) for n, label, enters in v)))))
+        moved = at.withColumn("move", F.explode(moves[F.col("state")])).select("key", "node", F.col("move.to").alias("state"), F.col("move.label").alias("label"), F.when(F.col("move.enters"), F.col("pos")).otherwise(F.col("parent_pos")).alias("parent_pos"))
+        met = moved.join(named, ["key", "node", "label"]).select("key", "state", "parent_pos", "member", "m_kind", "m_scalar")
+        listed = met.where("m_kind = 'array'").join(element, ["key", "member"])
+        listed = listed.select("key", "state", "parent_pos", F.col("place").alias("pos"), F.col("element").alias("node"), F.col("e_kind").alias("kind"), F.col("e_scalar").alias("scalar"))
+        lone = met.where("m_kind <> 'array'").select("key", "state", "parent_pos", F.lit(0).alias("pos"), F.col("member").alias("node"), F.col("m_kind").alias("kind"), F.col("m_scalar").alias("scalar"))
+        records = listed.unionByName(lone).where("kind <> 'null'")
+        reached = {n for v in going.values() for n, _, _ in v}
+        names = F.create_map(*(x for k in sorted(reached & set(final)) for x in (F.lit(k), F.lit(final[k])))) if reached & set(final) else None
+        if names is not None:
+            found.append(records.withColumn("entity", names[F.col("state")]).where("entity is not null").drop("state"))
+        at = records.where((F.col("kind") == "object") & F.col("state").isin(sorted(reached & set(steps)) or [-2])).select("key", "node", "state", "parent_pos", "pos")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
     return out
 
 
 def entity_index(tree: DataFrame, entities: tuple[Entity, ...] = PROFILE_ENTITIES) -> DataFrame:
     """All records of all entities: ``key``, ``entity``, ``parent_pos``, ``pos``."""
-    frames = [df.select("key", F.lit(name).alias("entity"), "parent_pos", "pos") for name, df in entity_records(tree, entities).items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return entity_records(tree, entities).select("key", "entity", "parent_pos", "pos")
 
 
 def entity_table(tree: DataFrame, name: str, entities: tuple[Entity, ...] = PROFILE_ENTITIES) -> DataFrame:
@@ -132,8 +142,12 @@ def entity_table(tree: DataFrame, name: str, entities: tuple[Entity, ...] = PROF
     A record that is a scalar has its text in ``value``; a label that a record lacks is null; of a label that stands
     twice in a record the last holds. Nested members are tables of their own.
     """
-    entity = next(e for e in entities if e.name == name)
-    records = entity_records(tree, entities)[name]
+    by_name = {e.name: e for e in entities}
+    entity = by_name[name]
+    line = [entity]
+    while line[0].parent is not None:
+        line.insert(0, by_name[line[0].parent])
+    records = entity_records(tree, tuple(line)).where(F.col("entity") == name).drop("entity")
     scalars = F.col("scalar").alias("value")
     if not entity.columns:
         return records.select("key", "parent_pos", "pos", scalars)
