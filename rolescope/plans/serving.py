@@ -54,6 +54,19 @@ def api_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 API_PAGE_SQL = f"SELECT r.resume_id, r.ranking_rank, p.name FROM (SELECT * FROM ({_RANK}) WHERE job_id = '{JOB}' ORDER BY ranking_rank NULLS FIRST, resume_id LIMIT 50 OFFSET 50) r LEFT JOIN ({_PROF}) p ON p.resume_id = r.resume_id"
 
 
+def api_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both halves of the best stored pair of the job, read by its two keys."""
+    _, ranked, profiles = _tables(spark, sf_dir)
+    best = ranked.where((F.col("job_id") == JOB) & F.col("ranking_rank").isNotNull()).orderBy("ranking_rank", "resume_id").select("resume_id").first()
+    one = serve.ranking_detail(ranked, profiles, JOB, best.resume_id if best else "")
+    return one.select("ranking.job_id", "ranking.resume_id", "ranking.final_score", "candidate_profile.name", "candidate_profile.experience_count")
+
+
+API_DETAIL_SQL = f"""
+WITH r AS ({_RANK}), b AS (SELECT * FROM r WHERE job_id = '{JOB}' AND ranking_rank IS NOT NULL ORDER BY ranking_rank, resume_id LIMIT 1)
+SELECT b.job_id, b.resume_id, b.final_score, p.name, p.experience_count FROM b JOIN ({_PROF}) p ON p.resume_id = b.resume_id"""
+
+
 def score_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of each named part of the stored breakdowns."""
     parts = serve.score_parts(_tables(spark, sf_dir)[1])
@@ -151,13 +164,13 @@ STREAM_SQL = f"SELECT string_split(source_path, '/')[-2] AS folder, count(*) AS
 
 
 def queries() -> dict:
-    own = [api_jobs, job_search, api_rankings, api_page, score_parts, jobs_of_candidates, upsert_events, replaced_rankings, not_yet_parsed, orphan_rankings, event_payloads, stream_upserts]
+    own = [api_jobs, job_search, api_rankings, api_page, api_detail, score_parts, jobs_of_candidates, upsert_events, replaced_rankings, not_yet_parsed, orphan_rankings, event_payloads, stream_upserts]
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "api_jobs": f"SELECT job_id, job_title, location, concat_ws(' • ', nullif(location, ''), nullif(employment_type, ''), nullif(experience_required, '')) AS subtitle FROM ({_JOB})",
-        "job_search": f"SELECT job_id, job_title FROM ({_JOB}) WHERE contains(lower(concat_ws(' ', job_title, location, job_id)), 'engineer')", "api_rankings": API_RANKINGS_SQL, "api_page": API_PAGE_SQL, "score_parts": PARTS_SQL,
+        "job_search": f"SELECT job_id, job_title FROM ({_JOB}) WHERE contains(lower(concat_ws(' ', job_title, location, job_id)), 'engineer')", "api_rankings": API_RANKINGS_SQL, "api_page": API_PAGE_SQL, "api_detail": API_DETAIL_SQL, "score_parts": PARTS_SQL,
         "jobs_of_candidates": f"SELECT resume_id, count(DISTINCT job_id) AS jobs FROM ({_RANK}) GROUP BY 1", "upsert_events": UPSERT_SQL, "replaced_rankings": REPLACED_SQL, "not_yet_parsed": NOT_YET_SQL, "orphan_rankings": ORPHANS_SQL, "event_payloads": PAYLOADS_SQL, "stream_upserts": STREAM_SQL,
     }

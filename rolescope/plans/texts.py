@@ -171,13 +171,23 @@ WITH p AS (SELECT CASE WHEN json_type(profile_json) = 'VARCHAR' THEN json_extrac
 SELECT warning, count(*) AS profiles FROM (SELECT json_extract_string(unnest(json_extract(json_extract(d, '$.metadata.warnings'), '$[*]')), '$') AS warning FROM p) WHERE warning IS NOT NULL GROUP BY 1"""
 
 
+def warning_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.examples(quality.warnings(table(spark, sf_dir, "candidate_profiles")), "warning")
+
+
+WARNING_EXAMPLES_SQL = """
+WITH p AS (SELECT source_filename, CASE WHEN json_type(profile_json) = 'VARCHAR' THEN json_extract_string(profile_json, '$') ELSE profile_json END AS d FROM candidate_profiles),
+w AS (SELECT DISTINCT source_filename, json_extract_string(x, '$') AS warning FROM (SELECT source_filename, unnest(json_extract(json_extract(d, '$.metadata.warnings'), '$[*]')) AS x FROM p))
+SELECT source_filename, warning, CAST(row_number() OVER (PARTITION BY warning ORDER BY source_filename) AS INTEGER) AS example FROM w WHERE warning IS NOT NULL QUALIFY row_number() OVER (PARTITION BY warning ORDER BY source_filename) <= 10"""
+
+
 def queries() -> dict:
-    own = [normalised_text, section_lines, section_texts, text_blocks, contacts, lexicon_counts, job_parts, skill_line_tokens, profile_parse, missing_fields, missing_examples, warning_counts]
+    own = [normalised_text, section_lines, section_texts, text_blocks, contacts, lexicon_counts, job_parts, skill_line_tokens, profile_parse, missing_fields, missing_examples, warning_counts, warning_examples]
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "normalised_text": NORMALISED_SQL, "section_lines": _FILLED + "\nSELECT resume_id, section, count(*) AS lines, CAST(max(line_no) AS INTEGER) AS last_line FROM filled WHERE s IS NULL GROUP BY 1, 2", "section_texts": SECTION_TEXTS_SQL, "text_blocks": BLOCKS_SQL,
-        "contacts": CONTACTS_SQL, "lexicon_counts": LEXICON_SQL, "job_parts": JOB_PARTS_SQL, "skill_line_tokens": SKILL_TOKENS_SQL, "missing_fields": MISSING_SQL, "missing_examples": MISSING_EXAMPLES_SQL, "warning_counts": WARNINGS_SQL,
+        "contacts": CONTACTS_SQL, "lexicon_counts": LEXICON_SQL, "job_parts": JOB_PARTS_SQL, "skill_line_tokens": SKILL_TOKENS_SQL, "missing_fields": MISSING_SQL, "missing_examples": MISSING_EXAMPLES_SQL, "warning_counts": WARNINGS_SQL, "warning_examples": WARNING_EXAMPLES_SQL,
     }

@@ -36,10 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Like ``cut`` but as Parquet, which keeps column pruning and compression for wide rows."""
+    """Like ``cut`` but as Parquet, which keeps column pruning and compression for wide rows. The table goes when the
+    driver ends."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.parquet(path)
 
 
