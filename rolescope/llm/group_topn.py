@@ -18,12 +18,10 @@ def top_n(df: DataFrame, group: list[str], score: str, ties: list[Column], n: in
 
     Rows with a null (or NaN) score take no part. Equal scores are ordered by ``ties``; with ties that identify a
     row the result is the same on every run. Groups with fewer than ``n`` scored rows return all of them, empty
-    input returns no rows. ``position`` must not exist in ``df``.
+    input returns no rows. A column that is called ``position`` already is replaced.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    if position in df.columns:
-        raise ValueError(f"column {position} already exists")
     scored = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     w = Window.partitionBy(*group).orderBy(F.col(score).desc(), *ties)
     return scored.withColumn(position, F.row_number().over(w)).where(F.col(position) <= n)

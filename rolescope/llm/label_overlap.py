@@ -180,11 +180,11 @@ def overlaps(index: FullTextIndex, keys: list[str], waiting: list[tuple[str, str
 def judged(labels: DataFrame) -> DataFrame:
     """``label_id``, ``role`` (train or eval), ``split``, ``source`` and ``key`` of each label of a known split.
 
-    Null, blank and unknown splits take no part, nor do labels without a job or a résumé.
+    Null, blank and unknown splits take no part, nor do labels without an id, a job or a résumé.
     """
     known = F.create_map(*(F.lit(x) for kv in SPLITS.items() for x in kv))
     split = known[F.lower(F.regexp_replace("split", r"(?U)^\s+|\s+$", ""))]
-    rows = labels.select(F.col("label_id").cast("long").alias("label_id"), split.alias("split"), F.trim(F.lower("source")).alias("source"), "job_id", "resume_id").where("split is not null")
+    rows = labels.select(F.col("label_id").cast("long").alias("label_id"), split.alias("split"), F.trim(F.lower("source")).alias("source"), "job_id", "resume_id").where("split is not null and label_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -31,8 +31,10 @@ def test_best_candidates(spark):
     got = [tuple(r) for r in group_topn.best_candidates(df, 3).orderBy("job_id", "pos").collect()]
     assert got == [(None, "n", 1), ("j", "c", 1), ("j", "b", 2), ("j", "d", 3), ("k", "z", 1)]
     assert group_topn.best_candidates(df.limit(0)).count() == 0
+    again = group_topn.top_n(df, ["job_id"], "final_score", [F.col("resume_id")], 1)
+    assert {(r.job_id, r.resume_id, r.pos) for r in again.collect()} == {(None, "n", 1), ("j", "a", 1), ("k", "z", 1)}
     with pytest.raises(ValueError):
-        group_topn.top_n(df, ["job_id"], "final_score", [], 3)
+        group_topn.top_n(df, ["job_id"], "final_score", [], 0)
 
 
 def test_the_limit_prunes_before_the_shuffle(spark):

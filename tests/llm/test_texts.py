@@ -287,4 +287,6 @@ def test_profiles_of_any_shape(spark, detector):
 
 
 def test_fitting_on_a_table(spark):
+    none = spark.createDataFrame([], "resume_id string, profile_json string, name string, email string, phone string, updated_at string")
+    assert pii.found_spans(none).count() == 0
     assert pii.found_spans(spark.createDataFrame([("a", json.dumps({"raw_text": "Tel. 07700 900456"}), None, None, None, "x")], "resume_id string, profile_json string, name string, email string, phone string, updated_at string")).count() == 1
