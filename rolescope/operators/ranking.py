@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, lexicon, scoring
 from ..functions.text import feature_form, token_set
+from .positions import positions
 from .versions import latest_rows
 
 
@@ -78,11 +79,15 @@ def signals(retrievals: DataFrame, jobs: DataFrame, profiles: DataFrame, match:
 
 
 def ranked(scored: DataFrame, top: int | None = None) -> DataFrame:
-    """``ranking_rank`` of each pair within its job: by score, then retrieval rank, then id; the first ``top`` of each
-    job if given, pruned before and after the shuffle."""
+    """``ranking_rank`` of each pair within its job: by score, then retrieval rank, then id.
+
+    The first ``top`` of each job are pruned before and after the shuffle; a complete ranking is numbered in ranges, so
+    that no job is sorted in one task.
+    """
     order = [F.col("final_score").desc_nulls_last(), F.col("retrieval_rank").asc_nulls_last(), F.col("resume_id").asc()]
-    out = scored.withColumn("ranking_rank", F.row_number().over(Window.partitionBy("job_id").orderBy(*order)))
-    return out if top is None else out.where(F.col("ranking_rank") <= top)
+    if top is None:
+        return positions(scored, ["job_id"], order, "ranking_rank")
+    return scored.withColumn("ranking_rank", F.row_number().over(Window.partitionBy("job_id").orderBy(*order))).where(F.col("ranking_rank") <= top)
 
 
 def run_counters(ranking: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rolescope.functions import json_tree, resume
 from rolescope.operators import audit, profiles, quality, sections, shredding, versions
 from rolescope.operators.components import connected_components
+from rolescope.operators.positions import positions
 from rolescope.sources import files, settings, store, uploads
 
 
@@ -42,6 +43,17 @@ def test_latest_rows(spark):
     assert got == {("a", 3, "y"), ("b", None, "z"), (None, 2, "n")}
 
 
+def test_positions_equal_row_number(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, 1.0, 2.0, rng.random()]), k, "x") for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, s double, i int, at string").repartition(7)
+    got = {r.i: r.at for r in positions(df, ["g"], [F.col("s").desc_nulls_last(), F.col("i").asc()], "at").collect()}
+    for g in ("hot", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
+    assert positions(df.limit(0), ["g"], [F.col("i")], "at").count() == 0
+
+
 # ---- shredding
 
 DOCS = [
