@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.positions import positions
 from ..operators.versions import latest_rows
 from ..session import cut
 from .group_topn import top_n
@@ -117,6 +118,5 @@ def joint_ranking(rankings: DataFrame, jobs: DataFrame, n: int | None = 3) -> Da
     last = latest_rows(rows, ["job_id", "resume_id"], "updated_at", [F.col(s).desc_nulls_last() for s in SIGNALS])
     fused = fuse(last.drop("updated_at"), "job_id", "resume_id")
     if n is None:
-        w = Window.partitionBy("job_id").orderBy(F.col("fused").desc(), F.col("resume_id"))
-        return fused.withColumn("pos", F.row_number().over(w))
+        return positions(fused, ["job_id"], [F.col("fused").desc(), F.col("resume_id").asc()], "pos")
     return top_n(fused, ["job_id"], "fused", [F.col("resume_id").asc()], n)
