@@ -25,8 +25,10 @@ from .folding import damerau, plain
 FAMILY_SIMILARITY, GIVEN_SIMILARITY, SLIP_SIMILARITY = 0.88, 0.86, 0.75
 #: Nicknames that the comparison may hold.
 MAX_NICKNAMES = 50_000
-#: A word of file keys in so many scopes, and in no person's name, is a word about the file.
-NOISE_SCOPES = 3
+#: A word of file keys is known as a name's if people's names hold it more often than once in so many of its keys.
+KNOWN_SHARE = 20
+#: Least keys of a word about the file, least share of them that show a whole name without it, and that hold two parts besides it.
+NOISE_KEYS, NOISE_NAMED, NOISE_BESIDE = 3, 0.25, 0.9
 
 # Forms of address and credentials beside names.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor sir herr frau mme mlle".split())
@@ -210,21 +212,40 @@ def parsed(records: DataFrame) -> DataFrame:
     return records.select("id", "scope", "name", "is_file").mapInArrow(run, "id string, scope string, parts string, is_file boolean").where("parts <> ''")
 
 
-def without_noise(names: DataFrame) -> DataFrame:
+def without_noise(names: DataFrame, nicknames: tuple[tuple[str, str], ...]) -> DataFrame:
     """``names`` (id, scope, parts, is_file) without the words that file keys hold besides a name.
 
-    Such words stand in the keys of several scopes and in no person's name at all; which words they are is counted
-    over all records.
+    A word of a key is known if people's names hold it, more often than once in ``KNOWN_SHARE`` keys, or the nickname table
+    does. A key shows a name without its unknown words if two known parts are left and one of them is mostly a family
+    name. An unknown word is about the file if a share of its keys does so (``NOISE_NAMED``) and nearly all of them that
+    hold a known part hold two parts besides it (``NOISE_BESIDE``): shares do not grow with the table, and beside a family name stand given names only.
+    Where fewer than two parts would be left, a key stays as it is; a key of nothing but such words names nobody.
     """
-    words = names.select("scope", "is_file", F.explode(F.split("parts", " ")).alias("word"))
-    noise = (
-        words.groupBy("word").agg(F.max((~F.col("is_file")).cast("int")).alias("in_name"), F.countDistinct("scope").alias("scopes"))
-        .where((F.col("in_name") == 0) & (F.col("scopes") >= NOISE_SCOPES) & (F.length("word") > 1)).select("word")
-    )
+    spark = names.sparkSession
     keys = names.where("is_file")
     at = keys.select("id", F.posexplode(F.split("parts", " ")).alias("at", "word"))
-    kept = at.join(noise, "word", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
-    kept = kept.select("id", F.array_join(F.expr("transform(w, x -> x.word)"), " ").alias("kept"))
+    part = F.split("parts", " ")
+    in_names = names.where("not is_file and parts like '% %'").select(part.alias("w")).select(F.posexplode("w").alias("at", "word"), (F.size("w") - 1).alias("end"))
+    table = sorted({plain(w).strip() for pair in nicknames for w in pair})
+    counted = (
+        at.select("word", F.lit(1).alias("key"), F.lit(0).alias("name"), F.lit(0).alias("last"), F.lit(False).alias("listed"))
+        .unionByName(in_names.select("word", F.lit(0).alias("key"), F.lit(1).alias("name"), (F.col("at") == F.col("end")).cast("int").alias("last"), F.lit(False).alias("listed")))
+        .unionByName(spark.createDataFrame([(w,) for w in table], "word string").select("word", F.lit(0).alias("key"), F.lit(0).alias("name"), F.lit(0).alias("last"), F.lit(True).alias("listed")))
+        .groupBy("word").agg(F.sum("key").alias("key"), F.sum("name").alias("name"), F.sum("last").alias("last"), F.max("listed").alias("listed"))
+        .where("key > 0")
+        .select("word", (F.col("listed") | (F.col("name") * KNOWN_SHARE > F.col("key")) | (F.length("word") == 1)).alias("known"), ((F.col("last") * 2 > F.col("name")) & (F.length("word") > 1)).alias("family"))
+    )
+    read = at.join(counted, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "known", "family"))).alias("w"))
+    read = cut(read.withColumn("named", F.expr("size(filter(w, x -> x.known)) >= 2 and exists(w, x -> x.known and x.family)")))
+    unknown = read.select("named", F.expr("size(w) > 2 or not exists(w, x -> x.known)").alias("beside"), F.explode(F.expr("array_distinct(transform(filter(w, x -> not x.known), x -> x.word))")).alias("word"))
+    noise = (
+        unknown.groupBy("word").agg(F.count("*").alias("keys"), F.sum(F.col("named").cast("int")).alias("named"), F.sum(F.col("beside").cast("int")).alias("beside"))
+        .where((F.col("keys") >= NOISE_KEYS) & (F.col("named") >= NOISE_NAMED * F.col("keys")) & (F.col("beside") >= NOISE_BESIDE * F.col("keys"))).select("word", F.lit(True).alias("noise"))
+    )
+    words = read.select("id", F.explode("w").alias("x")).select("id", "x.at", "x.word").join(noise, "word", "left")
+    kept = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word", F.coalesce("noise", F.lit(False)).alias("noise")))).alias("w"))
+    kept = kept.withColumn("named", F.expr("filter(w, x -> not x.noise)")).where("size(named) > 0")
+    kept = kept.select("id", F.array_join(F.expr("transform(if(size(named) >= 2, named, w), x -> x.word)"), " ").alias("kept"))
     cleaned = keys.join(kept, "id").select("id", "scope", F.col("kept").alias("parts"), "is_file")
     return names.where("not is_file").unionByName(cleaned)
 
@@ -274,7 +295,7 @@ def people(records: DataFrame, nicknames: DataFrame) -> DataFrame:
     """
     table = nickname_pairs(nicknames)
     scoped = records.withColumn("scope", F.coalesce("scope", F.concat(F.lit("\x00"), "id")))
-    named = without_noise(parsed(scoped)).where("parts like '% %'")
+    named = without_noise(cut(parsed(scoped)), table).where("parts like '% %'")
     firsts = named.groupBy("scope", "parts").agg(F.min("id").alias("node"))
     by_name = cut(named.join(firsts, ["scope", "parts"]).select("id", "scope", "parts", "node"))
     nodes = by_name.select("node", "scope", "parts").distinct()

@@ -183,6 +183,19 @@ def test_file_words_are_no_names(spark):
     assert linked(spark, []) == set()
 
 
+def test_family_names_of_many_folders_stay(spark):
+    rows = [("a", "s0", "devika bropelheim", True), ("b", "s0", "d bropelheim", True), ("c", "s1", "anna bropelheim", True), ("d", "s2", "anna zofia bropelheim", True), ("e", "s3", "zofia anna bropelheim", True)]
+    rows += [("f", "s3", "anna bropelheim", True), ("g", "s4", "Anna Leegard", False), ("h", "s5", "Zofia Oakwick", False), ("i", "s6", "Devika Elmford", False)]
+    assert linked(spark, rows) == {frozenset("ab")}
+
+
+def test_file_words_leave_names_of_one_part_alone(spark):
+    people = [("ann", "leegard"), ("ben", "oakwick"), ("cy", "elmford")]
+    rows = [(f"n{k}", f"s{k}", f"night auditor {g} {f}", True) for k, (g, f) in enumerate(people)] + [(f"p{k}", f"s{k}", f"{g} {f}", False) for k, (g, f) in enumerate(people)]
+    rows += [("x", "s9", "night auditor leegard", True), ("y", "s9", "night auditor leegard", True), ("z", "s9", "night auditor", True), ("w", "s9", "auditor night", True)]
+    assert linked(spark, rows) == {frozenset({f"n{k}", f"p{k}"}) for k in range(3)} | {frozenset("xy")}
+
+
 def test_jaro_winkler_known_values():
     assert round(name_linking.jaro_winkler("martha", "marhta"), 4) == 0.9611 and round(name_linking.jaro_winkler("dixon", "dicksonx"), 4) == 0.8133
     assert name_linking.jaro_winkler("", "a") == 0.0 and name_linking.jaro_winkler("abc", "xyz") == 0.0
