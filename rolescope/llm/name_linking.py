@@ -23,6 +23,9 @@ from .folding import damerau, plain
 
 #: Least Jaro-Winkler similarity of two family names and of two given names, and of either if they are one slip apart.
 FAMILY_SIMILARITY, GIVEN_SIMILARITY, SLIP_SIMILARITY = 0.88, 0.86, 0.75
+#: Letters of a short family name: these are compared for equality or one swap, and their other part as a family name, since
+#: either may be the family name. Likeness of a swapped one.
+SHORT, SWAPPED = 3, 0.9
 #: Nicknames that the comparison may hold.
 MAX_NICKNAMES = 50_000
 #: A word of file keys is known as a name's if people's names hold it more often than once in so many of its keys.
@@ -110,7 +113,7 @@ def readings(parts: tuple[str, ...]) -> list[tuple[str, tuple[str, ...]]]:
             out.append((parts[-2] + parts[-1], parts[:-2]))
         if 3 <= len(parts[0]) <= 4:
             out.append((parts[0] + parts[1], parts[2:]))
-    return [(family, given) for family, given in out if len(family) >= 4]
+    return [(family, given) for family, given in out if len(family) >= 2]
 
 
 def alike(a: str, b: str, least: float, most: int) -> float:
@@ -136,7 +139,7 @@ class Comparer:
     def initials(self, given: str) -> set[str]:
         return {s[0] for s in self.spellings(given)}
 
-    def given(self, a: str, b: str) -> float:
+    def given(self, a: str, b: str, least: float = GIVEN_SIMILARITY) -> float:
         """2 for the same name, 1 for an initial that fits, 0 otherwise."""
         if a == b:
             return 2
@@ -145,12 +148,14 @@ class Comparer:
         if self.spellings(a) & self.spellings(b):
             return 2
         pairs = [(x, y) for x in self.spellings(a) for y in self.spellings(b) if min(len(x), len(y)) >= 4]
-        return 2 if any(alike(x, y, GIVEN_SIMILARITY, 2) for x, y in pairs) else 0
+        return 2 if any(alike(x, y, least, 2) for x, y in pairs) else 0
 
     @staticmethod
     def family(a: str, b: str) -> float:
         if a == b:
             return 1.0
+        if min(len(a), len(b)) <= SHORT:
+            return SWAPPED if sorted(a) == sorted(b) and damerau(a, b, 1) == 1 else 0.0
         return alike(a, b, FAMILY_SIMILARITY, 1 if min(len(a), len(b)) < 6 else 2)
 
     def same(self, a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, bool]:
@@ -161,7 +166,7 @@ class Comparer:
                 s = self.family(family_a, family_b)
                 if not s or not best[1] and s <= best[0]:
                     continue
-                g = self.given(given_a[0], given_b[0])
+                g = self.given(given_a[0], given_b[0], FAMILY_SIMILARITY if len(family_a) <= SHORT else GIVEN_SIMILARITY)
                 if not g:
                     continue
                 rest_a, rest_b = given_a[1:], given_b[1:]
@@ -176,9 +181,12 @@ class Comparer:
 
     def blocks(self, parts: tuple[str, ...]) -> set[str]:
         """Phonetic keys: the first, the last, and the outer sounds of the family name with the initial of the given name, so
-        that a slip anywhere leaves one of them."""
+        that a slip anywhere leaves one of them; of short family names, the letters in any order."""
         out = set()
         for family, given in readings(parts):
+            if len(family) <= SHORT:
+                out.update(f"#{initial}{''.join(sorted(family))}" for initial in self.initials(given[0]))
+                continue
             code = sounds(family)
             for initial in self.initials(given[0]):
                 out.add(f"<{initial}{code[:3]}")

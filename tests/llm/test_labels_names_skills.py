@@ -196,6 +196,14 @@ def test_file_words_leave_names_of_one_part_alone(spark):
     assert linked(spark, rows) == {frozenset({f"n{k}", f"p{k}"}) for k in range(3)} | {frozenset("xy")}
 
 
+def test_short_family_names_link(spark):
+    rows = [
+        ("a", "f", "Tom Lee", False), ("b", "f", "Thomas Lee", False), ("c", "f", "LEE, THOMAS", True), ("d", "f", "lee tom", True), ("e", "f", "Jennifer Lee", False), ("g", "f", "Jenny Lee", False), ("h", "f", "A. Lee", False), ("i", "f", "Anna Lee", False),
+        ("j", "f", "Kwame Kim", False), ("k", "f", "kwame kmi", True), ("l", "f", "Grete Wu", False), ("m", "f", "G Wu", True), ("n", "f", "Grete Ng", False), ("o", "f", "Tom Leigh", False), ("p", "f", "Jennifer Fox", False), ("q", "f", "Thomas Kim", False),
+    ]
+    assert linked(spark, rows, (("Tom", "Thomas"), ("Jenny", "Jennifer"))) == {frozenset("abcd"), frozenset("eg"), frozenset("hi"), frozenset("jk"), frozenset("lm")}
+
+
 def test_jaro_winkler_known_values():
     assert round(name_linking.jaro_winkler("martha", "marhta"), 4) == 0.9611 and round(name_linking.jaro_winkler("dixon", "dicksonx"), 4) == 0.8133
     assert name_linking.jaro_winkler("", "a") == 0.0 and name_linking.jaro_winkler("abc", "xyz") == 0.0
