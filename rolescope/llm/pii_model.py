@@ -17,6 +17,8 @@ from .pii_spans import FEATURES, KINDS, Batch, Record, describe
 
 #: Invented documents, and rows of the table, that the trees are fitted on.
 INVENTED_DOCUMENTS, SAMPLED_ROWS = 700, 300
+#: Rounds of boosting; stretches of one run of words differ by little, so names take more.
+ROUNDS, NAME_ROUNDS = 40, 70
 
 _SYLLABLES = "bar cal dor el fen gar hol ir jas kel lor mar nev or pel quin ros sal tor ul ver wen yor zan".split()
 _ENDS = "ton field man ley worth stein berg ova sen dez ini eau moor wick by".split()
@@ -132,6 +134,12 @@ class Invented:
         form = "Supervised by {}|Referee: {}|References: {} (former manager)|Guide - Prof. {}|worked closely with Dr. {}|{} can vouch for this|Reported to {}|Manager: {}"
         return self.rng.choice(form.split("|")).format(v), 4, v
 
+    def mention_in_run(self) -> tuple[str, int, str]:
+        """A mention among other capitalised words."""
+        v, r = self.full_name(), self.rng
+        form = "Referee Dr. {}|Referee {}|{} {post}|Referee Dr. {} {post}|Manager {} {post}|Senior {post} {} {firm}"
+        return r.choice(form.split("|")).format(v, post=r.choice(_POSTS), firm=r.choice(_FIRMS)), 4, v
+
     def decoy(self) -> str:
         r = self.rng
         t, n, m = r.choice(_TOPICS), r.randint(2, 700), r.randint(2, 90)
@@ -191,12 +199,16 @@ class Invented:
         return ["\n".join(lines)], Record(column if r.random() < 0.9 else "", email, phone, "\n".join(known)), truth
 
 
-def invented_sample(names: dict[str, float], documents: int, seed: int) -> tuple[Batch, np.ndarray]:
-    """Candidates of invented documents and whether each is exactly what was put there."""
+def _maker(names: dict[str, float], seed: int) -> Invented:
     ordered = sorted((w for w in names if len(w) > 2), key=lambda w: (-names[w], w))
     common = max(20, len(ordered) // 20)
     rng = random.Random(seed)
-    maker = Invented(rng, ordered[:common], rng.sample(ordered[common:], min(400, len(ordered) - common)) if len(ordered) > common else [])
+    return Invented(rng, ordered[:common], rng.sample(ordered[common:], min(400, len(ordered) - common)) if len(ordered) > common else [])
+
+
+def invented_sample(names: dict[str, float], documents: int, seed: int) -> tuple[Batch, np.ndarray]:
+    """Candidates of invented documents and whether each is exactly what was put there."""
+    maker = _maker(names, seed)
     items, truths = [], []
     for _ in range(documents):
         texts, record, truth = maker.document()
@@ -207,6 +219,24 @@ def invented_sample(names: dict[str, float], documents: int, seed: int) -> tuple
     return batch, y
 
 
+def run_sample(names: dict[str, float], documents: int, seed: int) -> tuple[Batch, np.ndarray]:
+    """Like ``invented_sample``, name candidates only, of texts that mention a name among other capitalised words."""
+    maker = _maker(names, seed)
+    items, truths = [], []
+    for _ in range(documents):
+        piece, kind, span = maker.mention_in_run()
+        other, other_kind, other_span = maker.mention()
+        name = maker.name()
+        column = maker.rng.choice(_TITLE_FORMS) + name + maker.rng.choice(_AFTER_NAME)
+        items.append((["\n".join((column, piece, f"{maker.decoy()} {other}."))], Record(column)))
+        truths.append({(kind, span), (other_kind, other_span), (kind, name)})
+    batch = describe(items, names, settled=True)
+    own = [k for k, s in enumerate(batch.spans) if KINDS[s[1]] == "name"]
+    batch = Batch([batch.spans[k] for k in own], [batch.rows[k] for k in own], batch.joined)
+    y = np.array([(kind, batch.joined[r][a:b]) in truths[r] for r, kind, a, b in batch.spans], float)
+    return batch, y
+
+
 def sampled_labels(batch: Batch, records: list[Record]) -> np.ndarray:
     """1 and 0 for spans of real rows that the row's own columns and members settle, NaN for all others."""
     y = np.full(len(batch.spans), np.nan)
@@ -262,16 +292,17 @@ class Detector:
 
 def fit_detector(names: dict[str, float], rows: list[tuple[list[str], Record]], documents: int = INVENTED_DOCUMENTS, seed: int = 7) -> Detector:
     """Detector from invented documents and sampled rows, repeatable for equal samples."""
-    made, y_made = invented_sample(names, documents, seed)
+    samples = [invented_sample(names, documents, seed), run_sample(names, documents, seed + 1)]
+    made_rows, made_kinds = [r for b, _ in samples for r in b.rows], [s[1] for b, _ in samples for s in b.spans]
     real = describe(rows, names, settled=True)
     y_real = sampled_labels(real, [r for _, r in rows])
     known = np.flatnonzero(~np.isnan(y_real))
-    rows_of = made.rows + [real.rows[k] for k in known]
-    y = np.concatenate([y_made, y_real[known]])
-    kinds = np.array([s[1] for s in made.spans] + [real.spans[k][1] for k in known])
+    rows_of = made_rows + [real.rows[k] for k in known]
+    y = np.concatenate([*(own for _, own in samples), y_real[known]])
+    kinds = np.array(made_kinds + [real.spans[k][1] for k in known])
     models: list[Calibrated | None] = []
     for kind in range(len(KINDS)):
         own = np.flatnonzero(kinds == kind)
         x = np.array([rows_of[k] for k in own.tolist()])
-        models.append(fit_calibrated(x, y[own]) if len(set(y[own].tolist())) > 1 else None)
+        models.append(fit_calibrated(x, y[own], rounds=NAME_ROUNDS if KINDS[kind] == "name" else ROUNDS) if len(set(y[own].tolist())) > 1 else None)
     return Detector(names, models)

@@ -61,6 +61,8 @@ _CAPITAL = rf"(?:(?:Dr|Prof|Mr|Mrs|Ms|Sr|Jr|St)\.|[{_UPPER}][\w'’-]+|[{_UPPER}
 _RUN = re.compile(rf"(?<![\w@.-]){_CAPITAL}(?:,? +{_CAPITAL})+")
 _TOKEN = re.compile(r"[^\W\d_][\w'’-]*\.?")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
+_WORD_BEFORE = re.compile(rf"(?<![\w@.-])([{_UPPER}][\w'’-]*)\.? +$")
+_WORD_AFTER = re.compile(rf" +([{_UPPER}][\w'’-]*)")
 _BRACKET = re.compile(r"[(\[]")
 _GROUP = re.compile(r"\d+")
 _UNIT_WORD = re.compile(r"\b(?:Flat|Apt|Apartment|Unit|Suite|No|Room)\b|º")
@@ -135,31 +137,31 @@ def pieces_of(texts: list[str]) -> list[str]:
 
 
 @lru_cache(maxsize=50_000)
-def _bare_names(run: str) -> list[tuple[int, int]]:
-    """Spans within a run of capitalised words that may be a name: without titles and credentials, whole and parted
-    at commas, and with the first word left out."""
+def _bare_names(run: str, parts: bool = True) -> list[tuple[int, int]]:
+    """Spans within a run of words that may be a name: every stretch of two to five words without titles and closing
+    credentials inside a comma's bounds, and one or two words on both sides of a comma. Without ``parts``, for a text that
+    is a name or none as a whole, only the whole and all but its first word."""
     tokens = [(m.start(), m.end(), m.group().rstrip(".").lower()) for m in _TOKEN.finditer(run)]
-    while tokens and tokens[0][2] in TITLES:
-        tokens.pop(0)
     while len(tokens) > 1 and tokens[-1][2] in CREDENTIALS:
         tokens.pop()
-    if not tokens:
-        return []
-    groups: list[list[tuple[int, int, str]]] = [[tokens[0]]]
-    for before, token in zip(tokens, tokens[1:], strict=False):
-        if "," in run[before[1] : token[0]]:
+    groups: list[list[tuple[int, int]]] = [[]]
+    commas = set()  # groups that a comma parts from the one before
+    end = 0
+    for start, stop, word in tokens:
+        if "," in run[end:start]:
             groups.append([])
-        groups[-1].append(token)
+            commas.add(len(groups) - 1)
+        if word in TITLES:
+            if groups[-1]:
+                groups.append([])
+        else:
+            groups[-1].append((start, stop))
+        end = stop
     out = []
     for k, g in enumerate(groups):
-        while g and g[0][2] in TITLES:
-            g = g[1:]
-        if 2 <= len(g) <= 5:
-            out.append((g[0][0], g[-1][1]))
-        if 3 <= len(g) <= 5:
-            out.append((g[1][0], g[-1][1]))
-        if k + 1 < len(groups) and len(g) <= 2 and g and len(groups[k + 1]) <= 2:
-            out.append((g[0][0], groups[k + 1][-1][1]))
+        out += [(g[i][0], g[j][1]) for i in range(len(g)) for j in range(i + 1, min(i + 5, len(g))) if parts or j == len(g) - 1 and i <= 1]
+        if k in commas:
+            out += [(x[0], y[1]) for x in groups[k - 1][-2:] for y in g[:2]]
     return [(a, b) for a, b in out if not _GROUP.search(run, a, b)]
 
 
@@ -196,12 +198,12 @@ def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int
     # A name in small letters: the first line, or what the record calls the person.
     first = joined[: starts[1] - 1] if len(starts) > 1 else joined
     if 0 < len(first) <= 60 and not any(c.isdigit() for c in first) and "@" not in first:
-        out.update((4, a, b) for a, b in _bare_names(_BRACKET.split(first)[0]))
+        out.update((4, a, b) for a, b in _bare_names(_BRACKET.split(first)[0], False))
     for kind, value in ((0, record.email), (1, record.phone), (4, record.name)):
         at = joined.find(value) if len(value) >= 5 else -1
         if at >= 0:
             if kind == 4:
-                out.update((4, at + a, at + b) for a, b in _bare_names(_BRACKET.split(value)[0]))
+                out.update((4, at + a, at + b) for a, b in _bare_names(_BRACKET.split(value)[0], False))
             else:
                 out.add((kind, at, at + len(value)))
     return sorted(out)
@@ -216,7 +218,7 @@ FEATURES = tuple(
         "digits groups first_group last_group plus brackets dots hyphens spaces years letters_beside",
         "digits groups first_group last_group dots hyphens spaces prefix suffix years is_phone",
         "length words street_last number_first digits unit comma",
-        "length words capitals upper lower comma initials name_first name_last name_share institution column_share",
+        "length words capitals upper lower comma initials name_first name_last name_share institution column_share run_before run_after known_before known_after",
     )
 )
 _AROUND = ".,:;-<>()[]\"'"
@@ -249,7 +251,12 @@ def features(kind: int, start: int, end: int, joined: str, low: int, high: int,
         return row + sizes + marks + [float(span[0].isalpha()), float(span[-1].isalpha()), years, float(span in record.phone)]
     if kind == 4:
         shape, folded = shape_of(span)
-        return [*row, *shape, sum([w in column_words for w in folded]) / (len(folded) or 1) if column_words else 0.0]
+        # The words of the same run beside the span: a name ends where they stop being words of names.
+        beside = []
+        for m in (_WORD_BEFORE.search(joined, max(low, start - 30), start), _WORD_AFTER.match(joined, end, high)):
+            word = m.group(1) if m else ""
+            beside.append((float(word != "" and word.lower() not in TITLES), shape_of(word)[0][-4] if word else 0.0))
+        return [*row, *shape, sum([w in column_words for w in folded]) / (len(folded) or 1) if column_words else 0.0, beside[0][0], beside[1][0], beside[0][1], beside[1][1]]
     words = _WORD.findall(span)
     n = len(words) or 1
     return row + [end - start, n, float(bool(words) and bool(_STREET_WORD.fullmatch(words[-1]))), float(span[0].isdigit()), float(_GROUP.search(span) is not None), float(_UNIT_WORD.search(span) is not None), float("," in span)]

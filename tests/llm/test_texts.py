@@ -290,3 +290,16 @@ def test_fitting_on_a_table(spark):
     none = spark.createDataFrame([], "resume_id string, profile_json string, name string, email string, phone string, updated_at string")
     assert pii.found_spans(none).count() == 0
     assert pii.found_spans(spark.createDataFrame([("a", json.dumps({"raw_text": "Tel. 07700 900456"}), None, None, None, "x")], "resume_id string, profile_json string, name string, email string, phone string, updated_at string")).count() == 1
+
+
+def test_names_inside_runs_are_candidates():
+    for text in ("Anna Lee Data Analyst", "Referee Dr. Anna Lee", "Senior Data Analyst Anna Lee Quarry Textiles Works Group", "Referee Dr. Anna Lee Data Analyst Freight Works"):
+        assert "Anna Lee" in {text[a:b] for k, a, b in pii_spans.candidates(text, [0], pii_spans.Record()) if k == 4}, text
+    text = "Referee Lee, Anna Data Analyst"
+    assert "Lee, Anna" in {text[a:b] for k, a, b in pii_spans.candidates(text, [0], pii_spans.Record()) if k == 4}
+    given = "anna peter hanne sigrid tomas robert maria ingrid eun kwame oliver walter jorunn maren zofia dragan rashid bjorn renzo devika".split()
+    family = "lee oakwick leegard elmford falstackley norlomarsh ravkiford quimbury yarcamdale cortvorgard bropelheim imeguffe".split()
+    detector = pii_model.fit_detector({w: 5.0 for w in given} | {w: 1.5 for w in family}, [])
+    texts = ["Referee Dr. Anna Lee Data Analyst", "Peter Oakwick Civil Engineer", "Senior Data Analyst Anna Lee Quarry Textiles"]
+    found = detector.find([(["Applicant 3\n" + t], pii_spans.Record()) for t in texts])
+    assert [[t for k, _, _, t in f if k == 4] for f in found] == [["Anna Lee"], ["Peter Oakwick"], ["Anna Lee"]]
