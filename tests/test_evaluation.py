@@ -79,3 +79,25 @@ def test_learned_ranker(spark):
     assert learning.evaluation_split(df) == "test"
     with pytest.raises(ValueError, match="two distinct labels"):
         learning.train_ranker(df.where("label = 1"))
+
+
+def test_registered_reranker_fits_the_operators_trees(spark, data, monkeypatch):
+    import inspect
+
+    from rolescope.operators import learning
+    from rolescope.plans import evaluating
+
+    given = {}
+
+    def train(*args, **kwargs):
+        given.update(inspect.signature(original).bind(*args, **kwargs).arguments)
+        raise StopIteration
+
+    original = learning.train_ranker
+    monkeypatch.setattr(learning, "train_ranker", train)
+    try:
+        evaluating.reranker(spark, data)
+    except StopIteration:
+        pass
+    plain = inspect.signature(original).parameters
+    assert given and [given.get(k, plain[k].default) for k in ("rounds", "depth")] == [40, 4]
