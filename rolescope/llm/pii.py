@@ -6,60 +6,42 @@ spans batch by batch: one narrow pass over the profiles, whole texts, no shuffle
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .folding import plain
-from .pii_model import SAMPLED_ROWS, Detector, fit_detector
+from .pii_model import SAMPLED_NAMES, SAMPLED_ROWS, Detector, fit_detector
 from .pii_spans import KINDS, Record, document_of, free_texts, known_values, pieces_of, redacted
 
-#: Words of names that may weigh in the classifier.
-NAME_WORDS = 20_000
 #: Profiles that a worker holds as Python objects at once, and characters of one such slice.
 SLICE_ROWS, SLICE_CHARS = 250, 2_000_000
 
 
-def name_words(profiles: DataFrame, most: int = NAME_WORDS) -> dict[str, float]:
-    """How often each folded word is part of a name in the table, as log(1 + count) over all rows; the ``most`` most
-    frequent words, as whole powers of two of their counts fit."""
-    words = profiles.select(F.explode(F.expr(r"regexp_extract_all(lower(name), '(\\p{L}+(?:-\\p{L}+)?)')")).alias("word"))
-    counted = cut(words.groupBy("word").agg(F.count("*").alias("n")).withColumn("size", F.floor(F.log2("n")).cast("int")))
-    # At most 64 sizes reach the driver, then only the words of the sizes that fit.
-    least, held = 64, 0
-    for size, n in sorted(((r.size, r.n) for r in counted.groupBy("size").agg(F.count("*").alias("n")).collect()), reverse=True):
-        if held + n > most:
-            break
-        least, held = size, held + n
-    rows = counted.where(F.col("size") >= least).collect()
-    counts: dict[str, int] = {}
-    for r in rows:
-        counts[plain(r.word)] = counts.get(plain(r.word), 0) + r.n
-    return {w: math.log1p(n) for w, n in counts.items()}
-
-
 def _record(name: str | None, email: str | None, phone: str | None, document) -> Record:
     return Record((name or "").strip(), (email or "").strip(), (phone or "").strip(), known_values(document))
 
 
-def fitted_detector(profiles: DataFrame, sampled_rows: int = SAMPLED_ROWS) -> Detector:
-    """Detector fitted on ``sampled_rows`` rows, those of the least hash of their id, besides the invented documents.
+def _sample(rows: DataFrame, order: str, least: int, total: int) -> list:
+    """The ``least`` rows of the lowest hash ``h`` of about ``total``: rows beyond a hash that half as many again have are never
+    sent, so what reaches the driver is bounded at every size."""
+    beyond = min(1.0, 1.5 * least / max(total, 1))
+    return sorted(rows.where(F.col("h") < int(beyond * (1 << 40))).collect(), key=lambda r: (r.h, r[order]))[:least]
 
-    Rows beyond a hash that some eight times as many have are left out first, so that tasks send few rows.
-    """
-    hashed = F.pmod(F.xxhash64("resume_id", "updated_at"), F.lit(1 << 40))
-    beyond = min(1.0, 8.0 * sampled_rows / max(profiles.count(), 1))
-    near = profiles.select("profile_json", "name", "email", "phone", hashed.alias("h")).where(F.col("h") < int(beyond * (1 << 40)))
-    sample = near.where("profile_json is not null").orderBy("h", "profile_json").limit(sampled_rows).collect()
+
+def fitted_detector(profiles: DataFrame, sampled_rows: int = SAMPLED_ROWS, sampled_names: int = SAMPLED_NAMES) -> Detector:
+    """Detector fitted on ``sampled_rows`` rows and ``sampled_names`` names, those of the least hash of their id, besides the
+    invented documents."""
+    hashed = F.pmod(F.xxhash64("resume_id", "updated_at"), F.lit(1 << 40)).alias("h")
+    total = profiles.count()
+    names = _sample(profiles.where("name is not null").select("name", hashed), "name", sampled_names, total)
+    sample = _sample(profiles.where("profile_json is not null").select("profile_json", "name", "email", "phone", hashed), "profile_json", sampled_rows, total)
     rows = []
     for r in sample:
         document = document_of(r.profile_json)
         rows.append(([t for _, t in free_texts(document)], _record(r.name, r.email, r.phone, document)))
-    return fit_detector(name_words(profiles), rows)
+    return fit_detector([r.name for r in names], rows)
 
 
 def _scanned(profiles: DataFrame, detector: Detector, keys: list[str], run_slice, schema: str) -> DataFrame:

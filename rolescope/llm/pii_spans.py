@@ -6,7 +6,6 @@ of the record says about it. Deciding is left to the trees of ``pii_model``.
 
 from __future__ import annotations
 
-import json
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
@@ -15,19 +14,20 @@ from functools import lru_cache
 from ..functions.json_tree import parse
 from .folding import plain
 from .name_linking import CREDENTIALS, TITLES
+from .pii_words import FUNCTION_WORDS, WordModel
 
 #: Spans whose shape a worker remembers.
 CACHE_SPANS = 200_000
 KINDS = ("email", "phone", "id_number", "address", "name")
 
-# Words that announce or follow a kind, in the languages of the corpus.
+# Words that announce a kind, and words that announce a code or an amount, in the languages of the corpus.
 CUES = {
-    "email": "email e-mail mail contact write",
-    "phone": "phone tel telephone telefon mobile cell call whatsapp ph fax mobil handy",
-    "id_number": "passport national id identity card social security ssn insurance tax personal license licence ausweis dni nie",
-    "address": "address addr residence residing resides anschrift adresse dirección domicilio lives living live home street",
-    "name": "supervised supervisor referee reference references guide guided closely by dr prof mr mrs ms name applicant",
-    "code": "order code norm version release invoice under line item serial cases samples shipments worth accounts",
+    "email": "email e-mail mail mailto contact write reach courriel correo",
+    "phone": "phone tel telephone telefon téléphone teléfono mobile cell call ring dial text whatsapp ph fax mobil handy",
+    "id_number": "passport national id identity identification card social security ssn insurance tax taxpayer personal personnel license licence permit driving ausweis ausweisnummer dni nie nif identité",
+    "address": "address addr residence residing resides anschrift adresse wohnhaft dirección domicilio domicile habite lives living live home vive",
+    "name": "name applicant candidate referee reference references supervised supervisor guided guide mentor manager chair coach witness signed dear by with dr prof mr mrs ms herr frau",
+    "code": "order code norm standard version edition release invoice ticket serial model part lot batch item sku firmware catalogue ref iso",
 }
 _CUE_OF = {w: k for k, words in enumerate(CUES.values(), 1) for w in words.split()}
 # Kinds of streets.
@@ -37,9 +37,9 @@ STREETS_FIRST = "Calle Avenida Avda Plaza Paseo Camino Via Viale Piazza"
 STREET_ENDS = "straße strasse str weg gasse platz allee ufer damm"
 # Words of firms, schools, degrees, posts and headings.
 INSTITUTION = frozenset(
-    "university institute college school academy faculty department evening technology inc ltd llc gmbh corp company group partners "
+    "university institute college school academy faculty department technology inc ltd llc gmbh corp company group partners "
     "holdings services solutions systems bank hospital council ministry agency bachelor master diploma degree certificate higher "
-    "secondary science arts commerce engineering pilot project programme skills education experience projects references profile summary "
+    "secondary science arts commerce engineering project programme skills education experience projects references profile summary "
     "contact certifications achievements objective languages senior junior manager engineer officer analyst operator clerk".split()
 )
 
@@ -47,6 +47,7 @@ _PIECE = re.compile("[^\\n\\r|  \u0085]*[^\\s|][^\\n\\r|  \u0085]*")
 _LOCAL = r"[A-Za-z0-9_+%-]+(?:\.[A-Za-z0-9_+%-]+)*(?:\s?[\[(]dot[\])]\s?[A-Za-z0-9_+%-]+)*"
 _EMAIL = re.compile(_LOCAL + r" ?(?:@|[\[(] ?at ?[\])]) ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]+)*", re.I)
 _AT = re.compile(r"@|[\[(] ?at ?[\])]", re.I)
+_ENDING = re.compile(r"[a-z]+$")
 _DIGITS = re.compile(r"(?<!\w)((?:[A-Z]{1,3}[ -]?)?)([+(]?\d(?:(?:[ ./-]|\) ?| ?\()?\d){4,15})((?: ?[A-Z])?)(?![\w])")
 _UPPER = "A-ZÀ-ÖØ-Þ"
 _STREET_WORD = re.compile(rf"\b(?:{STREETS.replace(' ', '|')}|{STREETS_BEFORE.replace(' ', '|')}|{STREETS_FIRST.replace(' ', '|')})\b|(?:{STREET_ENDS.replace(' ', '|')})\b")
@@ -59,10 +60,18 @@ _ADDRESS = re.compile(
 )
 _CAPITAL = rf"(?:(?:Dr|Prof|Mr|Mrs|Ms|Sr|Jr|St)\.|[{_UPPER}][\w'’-]+|[{_UPPER}]\.?(?!\w))"
 _RUN = re.compile(rf"(?<![\w@.-]){_CAPITAL}(?:,? +{_CAPITAL})+")
+#: One capitalised word behind a form of address; small words behind a form of address or the label of a name.
+_TITLED = re.compile(rf"(?<!\w)(?:Dr|Prof|Mr|Mrs|Ms|Miss|Herr|Frau|Mme)\.? +([{_UPPER}][\w'’-]+)(?!\w)")
+_LABELLED = re.compile(r"(?i:(?<!\w)(?:(?:dr|prof|mr|mrs|ms)(?:\.|(?=[ \t]))|(?:name|applicant|candidate|referee|reference|supervisor|guide|mentor|manager|contact)s?[ \t]*[:–-]))[ \t]*((?:[^\W\d_A-Z][\w'’-]*\.?,?[ \t]+){1,3}[^\W\d_A-Z][\w'’-]*)")
+_SMALL = re.compile(r"(?<!\w)[a-zà-öø-ÿ]{3,}(?!\w)")
+#: Letters and digits mixed, as some identity numbers are.
+_MIXED = re.compile(r"(?<![\w-])(?=[A-Z0-9-]*[A-Z])(?=(?:[A-Z-]*\d){4})[A-Z0-9]+(?:-[A-Z0-9]+)*(?![\w-])")
 _TOKEN = re.compile(r"[^\W\d_][\w'’-]*\.?")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 _WORD_BEFORE = re.compile(rf"(?<![\w@.-])([{_UPPER}][\w'’-]*)\.? +$")
 _WORD_AFTER = re.compile(rf" +([{_UPPER}][\w'’-]*)")
+#: The words that a first line begins with: a form of address, a name of five parts, credentials.
+_LEADING = re.compile(r"[^\W\d_][\w'’-]*\.?(?:,? +[^\W\d_][\w'’.-]*){1,7}")
 _BRACKET = re.compile(r"[(\[]")
 _GROUP = re.compile(r"\d+")
 _UNIT_WORD = re.compile(r"\b(?:Flat|Apt|Apartment|Unit|Suite|No|Room)\b|º")
@@ -76,7 +85,7 @@ class Record:
     name: str = ""
     email: str = ""
     phone: str = ""
-    known_text: str = ""  # values of members that never hold a person: posts, firms, schools, degrees, skills, project names; one a line
+    known: tuple[str, ...] = ()  # values of members that hold no person: posts, firms, schools, degrees, skills, project names
 
 
 def free_texts(document) -> list[tuple[str, str]]:
@@ -101,12 +110,12 @@ def free_texts(document) -> list[tuple[str, str]]:
     return out
 
 
-def known_values(document) -> str:
-    """Values of posts, firms, schools, degrees, skills, project and certificate names of a profile document, one a line."""
+def known_values(document) -> tuple[str, ...]:
+    """Values of posts, firms, schools, degrees, skills, project and certificate names of a profile document."""
     if not isinstance(document, dict):
-        return ""
+        return ()
     out = []
-    for member, fields in (("experience", ("title", "organization")), ("education", ("degree", "institution", "raw_text")), ("projects", ("name",))):
+    for member, fields in (("experience", ("title", "organization")), ("education", ("degree", "institution")), ("projects", ("name",))):
         entries = document.get(member)
         for entry in entries if isinstance(entries, list) else [entries]:
             if isinstance(entry, dict):
@@ -114,7 +123,7 @@ def known_values(document) -> str:
     for member in ("certifications", "skills"):
         entries = document.get(member)
         out += [c for c in (entries if isinstance(entries, list) else [entries]) if type(c) is str]
-    return "\n".join(out)
+    return tuple(out)
 
 
 def document_of(text: str | None):
@@ -165,23 +174,33 @@ def _bare_names(run: str, parts: bool = True) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if not _GROUP.search(run, a, b)]
 
 
-def _around(joined: str, starts: list[int], m: re.Match, reach: int) -> tuple[int, int]:
-    """Bounds of the words of a match's piece that stand within ``reach`` of it: contacts are short, so only they are
-    read closely."""
-    k = bisect_right(starts, m.start()) - 1
-    end = starts[k + 1] - 1 if k + 1 < len(starts) else len(joined)
-    low, high = starts[k], min(end, m.end() + reach)
-    if m.start() - reach > low:
-        low = joined.find(" ", m.start() - reach) + 1
-    return low, high
+#: Characters that an e-mail address has before and behind its at sign: 64 and 255 by its standard, and as many again for dots
+#: and blanks that are written out.
+BEFORE_AT, BEHIND_AT = 128, 510
+
+
+def _piece_bounds(joined: str, starts: list[int], pattern: re.Pattern):
+    """Bounds of the pieces that hold a match, each once."""
+    last = -1
+    for m in pattern.finditer(joined):
+        k = bisect_right(starts, m.start()) - 1
+        if k != last:
+            last = k
+            yield starts[k], starts[k + 1] - 1 if k + 1 < len(starts) else len(joined)
+
+
+def _bare_values(record: Record) -> set[str]:
+    return {b for b in (_BRACKET.split(record.name)[0][a:e].strip() for a, e in _bare_names(_BRACKET.split(record.name)[0], False)) if len(b) >= 4}
 
 
 def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the spans that may be personal information, in pieces joined by line ends."""
+    """(kind, start, end) of the spans that may be personal information, in pieces joined by line ends: every occurrence, in
+    texts of any length. A name has two to five parts, or one behind a form of address."""
     out = set()
     for m in _AT.finditer(joined):
-        low, high = _around(joined, starts, m, 70)
-        out.update((0, e.start(), e.end()) for e in _EMAIL.finditer(joined, low, high))
+        k = bisect_right(starts, m.start()) - 1
+        end = starts[k + 1] - 1 if k + 1 < len(starts) else len(joined)
+        out.update((0, e.start(), e.end()) for e in _EMAIL.finditer(joined, max(starts[k], m.start() - BEFORE_AT), min(end, m.end() + BEHIND_AT)))
     for m in _DIGITS.finditer(joined):
         start, end = m.span(2)
         if "\n" not in m.group():
@@ -189,56 +208,113 @@ def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int
             out.add((2, m.start(), m.end()))
             if m.group(1) or m.group(3):
                 out.add((2, start, end))
-    for m in _STREET_WORD.finditer(joined):
-        low, high = _around(joined, starts, m, 60)
+    out.update((2, m.start(), m.end()) for m in _MIXED.finditer(joined))
+    for low, high in _piece_bounds(joined, starts, _STREET_WORD):
         out.update((3, e.start(), e.end()) for e in _ADDRESS.finditer(joined, low, high))
     for m in _RUN.finditer(joined):
         base = m.start()
         out.update((4, base + a, base + b) for a, b in _bare_names(m.group()))
-    # A name in small letters: the first line, or what the record calls the person.
+    out.update((4, m.start(1), m.end(1)) for m in _TITLED.finditer(joined))
+    for m in _LABELLED.finditer(joined):
+        base = m.start(1)
+        out.update((4, base + a, base + b) for a, b in _bare_names(m.group(1)))
+    # A name in small letters: what a first line begins with, or what the record calls the person, wherever it stands.
     first = joined[: starts[1] - 1] if len(starts) > 1 else joined
-    if 0 < len(first) <= 60 and not any(c.isdigit() for c in first) and "@" not in first:
-        out.update((4, a, b) for a, b in _bare_names(_BRACKET.split(first)[0], False))
-    for kind, value in ((0, record.email), (1, record.phone), (4, record.name)):
-        at = joined.find(value) if len(value) >= 5 else -1
-        if at >= 0:
-            if kind == 4:
-                out.update((4, at + a, at + b) for a, b in _bare_names(_BRACKET.split(value)[0], False))
-            else:
+    lead = _LEADING.match(first)
+    if lead:
+        out.update((4, a, b) for a, b in _bare_names(lead.group(), lead.end() < len(first) and first[lead.end()] not in "([-|"))
+    for bare in _bare_values(record):
+        out.update((4, m.start(), m.end()) for m in re.finditer(rf"(?<!\w){re.escape(bare)}(?!\w)", joined, re.I))
+    for kind, value in ((0, record.email), (1, record.phone)):
+        if len(value) >= 5:
+            at = joined.find(value)
+            while at >= 0:
                 out.add((kind, at, at + len(value)))
+                at = joined.find(value, at + len(value))
     return sorted(out)
 
 
-_COMMON = "own_cue other_cue code_cue after_mark first_line line_start line_end is_column"
+_COMMON = "own_cue other_cue code_cue after_mark first_line line_start line_end is_column before_kind"
 #: Features of each kind, in the order in which ``features`` gives them.
 FEATURES = tuple(
     f"{_COMMON} {own}".split()
     for own in (
-        "length at_sign dots spaces",
+        "length at_sign dots spaces domain_dots ending",
         "digits groups first_group last_group plus brackets dots hyphens spaces years letters_beside",
-        "digits groups first_group last_group dots hyphens spaces prefix suffix years is_phone",
-        "length words street_last number_first digits unit comma",
-        "length words capitals upper lower comma initials name_first name_last name_share institution column_share run_before run_after known_before known_after",
+        "digits groups first_group last_group dots hyphens spaces prefix suffix years is_phone letters",
+        "length words street_last number_first digits unit comma in_known",
+        "length words capitals upper lower comma initials look_first look_last look_least look_mean institution function_words "
+        "column_share in_known small_elsewhere run_before run_after look_before look_after title_before",
     )
 )
 _AROUND = ".,:;-<>()[]\"'"
 _MARKS = {c: k for k, c in enumerate("\n ,.;:)>(", 1)}
 
 
-def features(kind: int, start: int, end: int, joined: str, low: int, high: int, record: Record, shape_of, column_words: frozenset[str]) -> list[float]:
+@dataclass
+class Context:
+    """What the features of a record's spans have in common."""
+
+    joined: str
+    record: Record
+    known: frozenset[str]
+    known_text: str
+    column_words: frozenset[str]
+    small: frozenset[str]  # words that the record writes in small letters
+
+
+def context_of(joined: str, record: Record) -> Context:
+    small = frozenset(_SMALL.findall(joined))
+    column = frozenset(plain(w) for w in _WORD.findall(record.name))
+    return Context(joined, record, frozenset(record.known), "\n".join(record.known), column, small)
+
+
+def _before_kind(joined: str, low: int, start: int) -> float:
+    """0 at the start of a piece, else what stands before the blank: 1 a small word, 2 a capitalised one, 3 the end of a sentence,
+    4 another mark, 5 a digit."""
+    at = start - 1
+    while at >= low and joined[at] == " ":
+        at -= 1
+    if at < low:
+        return 0.0
+    c = joined[at]
+    if c.isalpha():
+        word = at
+        while word > low and (joined[word - 1].isalpha() or joined[word - 1] in "'’-"):
+            word -= 1
+        return 2.0 if joined[word].isupper() else 1.0
+    return 3.0 if c in ".!?" else 5.0 if c.isdigit() else 4.0
+
+
+def _cues(before: str) -> list[int]:
+    """Kinds announced by the three words before a span, as far as they belong to its sentence."""
+    out = []
+    for word in reversed(before.lower().replace("/", " ").split()[-3:]):
+        bare = word.strip(_AROUND)
+        if bare in _CUE_OF:
+            out.append(_CUE_OF[bare])
+        elif word[-1] in ".!?" and len(bare) > 2:
+            break
+    return out
+
+
+def features(kind: int, start: int, end: int, own: Context, low: int, high: int, shape_of, look) -> list[float]:
     """Feature values of one span; ``low`` and ``high`` bound its piece, ``shape_of`` gives the ``name_shape`` of a text."""
+    joined, record = own.joined, own.record
     span = joined[start:end]
     cues = ()
     if start > low:
-        before = joined[max(low, start - 30) : start].lower().replace("/", " ").split()[-3:]
-        cues = [_CUE_OF[w] for w in [w.strip(_AROUND) for w in before] if w in _CUE_OF]
+        cues = _cues(joined[max(low, start - 40) : start])
     value = (record.email, record.phone, "", "", record.name)[kind]
     row = [
         float(kind + 1 in cues), float(any([c != kind + 1 and c != 6 for c in cues])), float(6 in cues), _MARKS.get(joined[end], 0) if end < high else 1, float(low == 0), float(start == low), float(end == high),
-        float(value != "" and (span == value or kind == 4 and end - start > 4 and span in value)),
+        float(value != "" and (span == value or kind == 4 and end - start > 4 and span in value)), _before_kind(joined, low, start),
     ]
     if kind == 0:
-        return row + [end - start, float("@" in span), span.count(".") + span.lower().count("dot"), span.count(" ")]
+        low_span = span.lower()
+        domain = _AT.split(low_span, maxsplit=1)[-1]
+        ending = _ENDING.search(domain)
+        return [*row, end - start, float("@" in span), low_span.count(".") + low_span.count("dot"), span.count(" "), domain.count(".") + domain.count("dot"), len(ending.group()) if ending else 0]
     if kind < 3:
         groups = _GROUP.findall(span)
         count = sum(map(len, groups))
@@ -248,32 +324,37 @@ def features(kind: int, start: int, end: int, joined: str, low: int, high: int,
         if kind == 1:
             beside = joined[max(low, start - 3) : start]
             return row + sizes + [float(span[0] == "+" or span[:2] == "00"), float("(" in span), *marks, years, float(beside[-1:] in "- " and beside[:2].isupper())]
-        return row + sizes + marks + [float(span[0].isalpha()), float(span[-1].isalpha()), years, float(span in record.phone)]
+        return row + sizes + marks + [float(span[0].isalpha()), float(span[-1].isalpha()), years, float(span in record.phone), sum(map(str.isalpha, span))]
+    known = 2.0 if span in own.known else float(span in own.known_text)
     if kind == 4:
-        shape, folded = shape_of(span)
+        shape, folded, words = shape_of(span)
         # The words of the same run beside the span: a name ends where they stop being words of names.
-        beside = []
-        for m in (_WORD_BEFORE.search(joined, max(low, start - 30), start), _WORD_AFTER.match(joined, end, high)):
-            word = m.group(1) if m else ""
-            beside.append((float(word != "" and word.lower() not in TITLES), shape_of(word)[0][-4] if word else 0.0))
-        return [*row, *shape, sum([w in column_words for w in folded]) / (len(folded) or 1) if column_words else 0.0, beside[0][0], beside[1][0], beside[0][1], beside[1][1]]
+        m = _WORD_BEFORE.search(joined, max(low, start - 30), start)
+        before = m.group(1) if m else ""
+        m = _WORD_AFTER.match(joined, end, high)
+        after = m.group(1) if m else ""
+        titled = before.lower() in TITLES
+        return [
+            *row, *shape, sum([w in own.column_words for w in folded]) / (len(folded) or 1) if own.column_words else 0.0, known,
+            sum([w in own.small for w in words]) / (len(words) or 1), float(before != "" and not titled), float(after != ""),
+            look(before) if before and not titled else 0.0, look(after) if after else 0.0, float(titled),
+        ]
     words = _WORD.findall(span)
     n = len(words) or 1
-    return row + [end - start, n, float(bool(words) and bool(_STREET_WORD.fullmatch(words[-1]))), float(span[0].isdigit()), float(_GROUP.search(span) is not None), float(_UNIT_WORD.search(span) is not None), float("," in span)]
+    return row + [end - start, n, float(bool(words) and bool(_STREET_WORD.fullmatch(words[-1]))), float(span[0].isdigit()), float(_GROUP.search(span) is not None), float(_UNIT_WORD.search(span) is not None), float("," in span), known]
 
 
-def name_shape(span: str, names: dict[str, float]) -> tuple[list[float], list[str]]:
-    """Features of a name candidate that depend on its words alone, and the folded words."""
+def name_shape(span: str, look) -> tuple[list[float], list[str], list[str]]:
+    """Features of a name candidate that depend on its words alone, the folded words, and the words in small letters."""
     words = _WORD.findall(span)
     n = len(words) or 1
     folded = [plain(w) for w in words]
-    long = [w for w in folded if len(w) > 1]
-    hits = [w in names for w in long]
+    looks = [look(w) for w, f in zip(words, folded, strict=True) if len(f) > 1]
     return [
-        len(span), n, sum([w[0].isupper() for w in words]), float(span.isupper()), float(span.islower()), float("," in span), n - len(long),
-        names.get(folded[0], 0.0) if folded else 0.0, names.get(folded[-1], 0.0) if folded else 0.0, sum(hits) / (len(hits) or 1),
-        float(not INSTITUTION.isdisjoint(folded)),
-    ], folded
+        len(span), n, sum([w[0].isupper() for w in words]), float(span.isupper()), float(span.islower()), float("," in span), n - len(looks),
+        looks[0] if looks else 0.0, looks[-1] if looks else 0.0, min(looks, default=0.0), sum(looks) / (len(looks) or 1),
+        float(not INSTITUTION.isdisjoint(folded)), float(sum([w in FUNCTION_WORDS for w in folded])),
+    ], folded, [w.lower() for w in words] if not span.islower() else []
 
 
 @dataclass
@@ -285,19 +366,19 @@ class Batch:
     joined: list[str]
 
 
-def describe(items: list[tuple[list[str], Record]], names: dict[str, float], cache: dict | None = None, settled: bool = False) -> Batch:
+def describe(items: list[tuple[list[str], Record]], words: WordModel, cache: dict | None = None) -> Batch:
     """Candidates and features of (texts, record) pairs; pieces that a record repeats are described once. ``cache`` keeps
-    what was found of spans that many records repeat. Names and addresses that are values of members which never hold a
-    person are settled by the record itself and only described if ``settled``, for learning from them."""
+    what was found of spans that many records repeat."""
     batch = Batch([], [], [])
-    shapes: dict[str, tuple[list[float], list[str]]] = {} if cache is None else cache
+    shapes: dict[str, tuple] = {} if cache is None else cache
+    look = words.look
 
-    def shape_of(span: str) -> tuple[list[float], list[str]]:
+    def shape_of(span: str) -> tuple:
         found = shapes.get(span)
         if found is None:
             if len(shapes) >= CACHE_SPANS:
                 shapes.clear()
-            found = shapes[span] = name_shape(span, names)
+            found = shapes[span] = name_shape(span, look)
         return found
 
     for r, (texts, record) in enumerate(items):
@@ -308,15 +389,13 @@ def describe(items: list[tuple[list[str], Record]], names: dict[str, float], cac
         for p in pieces:
             starts.append(at)
             at += len(p) + 1
-        column_words = frozenset(plain(w) for w in _WORD.findall(record.name))
+        own = context_of(joined, record)
         for kind, start, end in candidates(joined, starts, record):
-            if not settled and kind > 2 and joined[start:end] in record.known_text and joined[start:end] not in record.name:
-                continue
             k = bisect_right(starts, start) - 1
             low, high = starts[k], starts[k] + len(pieces[k])
             if end <= high:
                 batch.spans.append((r, kind, start, end))
-                batch.rows.append(features(kind, start, end, joined, low, high, record, shape_of, column_words))
+                batch.rows.append(features(kind, start, end, own, low, high, shape_of, look))
     return batch
 
 
@@ -338,6 +417,3 @@ def redacted(text: str, by_piece: dict[str, list[tuple[int, int, str]]]) -> str:
 
     return _PIECE.sub(replace, text)
 
-
-def dumps(value) -> str:
-    return json.dumps(value, ensure_ascii=False)

@@ -1,15 +1,14 @@
-"""Personal information, encoding, evaluation leakage and reading levels."""
+"""Encoding, evaluation leakage and reading levels."""
 
 from __future__ import annotations
 
-import json
 import random
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from rolescope.llm import boosting, corpus_encoding, eval_leakage, pii, pii_model, pii_spans, reading_level
+from rolescope.llm import corpus_encoding, eval_leakage, reading_level
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string"
 
@@ -213,93 +212,3 @@ def test_bands(spark, data):
     assert reading_level.bands_of_english(df.limit(0), anchors).count() == 0
     with pytest.raises(ValueError):
         reading_level.fit_anchors(anchors.limit(0))
-
-
-# ---- personal information
-
-def test_trees_learn_and_calibrate():
-    rng = np.random.default_rng(2)
-    x = rng.random((1500, 6))
-    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
-    model = boosting.fit_calibrated(x[:1000], y[:1000], rounds=60)
-    p = model.probability(x[1000:])
-    assert np.mean((p >= model.threshold) == y[1000:]) > 0.95 and 0 <= p.min() <= p.max() <= 1
-
-
-@pytest.fixture(scope="module")
-def detector():
-    names = {w: 3.0 for w in "ann robert hanne sigrid tomas falstackley norlomarsh".split()}
-    return pii_model.fit_detector(names, [])
-
-
-TEXT = """Dr. Ann Norlomarsh, PMP
-mail me at ann.norlo+jobs@inbox.test, thanks | Tel. (305) 555-0199 | Residence: Flat 2, 163 Weaver Road
-Identity no. QQ 84 92 38 C
-
-EXPERIENCE
-Kiln Operator, Thistledon Textiles 2012-2016
-Order PO-0217-50 was delivered after a rework of the ledger line. Measured 62 samples @ 48 units per run, version 5.0.18. Supervised by Robert Falstackley.
-Led the relocation of the dialysis store on the old High Street block. lives at Tannerstraße 146b in Halmere.
-University of Halmere  2011
-"""
-
-
-def test_spans_of_a_text(detector):
-    record = pii_spans.Record("Dr. Ann Norlomarsh, PMP", "ann.norlo+jobs@inbox.test", "(305) 555-0199", "Kiln Operator\nThistledon Textiles")
-    got = {(pii_spans.KINDS[k], t) for k, _, _, t in detector.find([([TEXT], record)])[0]}
-    assert got == {("name", "Ann Norlomarsh"), ("email", "ann.norlo+jobs@inbox.test"), ("phone", "(305) 555-0199"), ("address", "Flat 2, 163 Weaver Road"), ("id_number", "QQ 84 92 38 C"), ("name", "Robert Falstackley"), ("address", "Tannerstraße 146b")}
-
-
-def test_held_out_accuracy(detector):
-    batch, y = pii_model.invented_sample(detector.names, 150, seed=991)
-    spans = np.array(batch.spans)
-    for kind in range(5):
-        own = np.flatnonzero(spans[:, 1] == kind)
-        model = detector.models[kind]
-        hit = model.probability(np.array([batch.rows[k] for k in own])) >= model.threshold
-        f1 = 2 * (hit & (y[own] > 0)).sum() / (hit.sum() + y[own].sum())
-        assert f1 > 0.9, (pii_spans.KINDS[kind], f1)
-
-
-def test_redaction_keeps_the_rest(detector):
-    record = pii_spans.Record("Dr. Ann Norlomarsh, PMP", "", "", "")
-    found = detector.find([([TEXT], record)])[0]
-    out = pii_spans.redacted(TEXT, pii._by_piece([TEXT], found))
-    assert "Dr. [NAME], PMP\nmail me at [EMAIL], thanks | Tel. [PHONE] | Residence: [ADDRESS]\nIdentity no. [ID_NUMBER]\n" in out
-    assert "Supervised by [NAME].\n" in out and "lives at [ADDRESS] in Halmere." in out and "Order PO-0217-50 was" in out and out.count("[") == 7
-    assert pii_spans.redacted("", {}) == "" and pii_spans.redacted("  \n x \n", {}) == "  \n x \n"
-
-
-def test_profiles_of_any_shape(spark, detector):
-    docs = [
-        ("a", json.dumps({"raw_text": TEXT, "sections": {"x": "call 07700 900123 after 6 pm", "y": None}, "experience": {"raw_text": "r", "description": "write to bob@inbox.test for details"}, "projects": [None, {"description": 5}]})),
-        ("b", None), ("c", "{bad"), ("d", "[]"), ("e", json.dumps(json.dumps({"raw_text": "Tel. 07700 900456"}))), ("f", json.dumps({"raw_text": ""})), ("g", json.dumps({"raw_text": "word " * 100_000 + "\nTel. 07700 900789"})), (None, json.dumps({"raw_text": "Tel. 07700 900111"})),
-    ]
-    rows = [(i, d, None, None, None, "2024-01-01", "clash") for i, d in docs] + [("e", docs[4][1], " ", "", "", "2024-01-02", "clash")]
-    df = spark.createDataFrame(rows, "resume_id string, profile_json string, name string, email string, phone string, updated_at string, kind string")
-    got = {tuple(r) for r in pii.found_spans(df, detector).collect()}
-    phones = {(r[0], r[2]) for r in got if r[1] == "phone"}
-    assert phones == {("a", "(305) 555-0199"), ("a", "07700 900123"), ("e", "07700 900456"), ("g", "07700 900789"), (None, "07700 900111")}
-    assert ("a", "email", "bob@inbox.test") in got
-    red = {(r.resume_id, r.path): r.text for r in pii.redacted_texts(df, detector).collect()}
-    assert red["a", "sections.x"] == "call [PHONE] after 6 pm" and red["a", "experience[0].description"] == "write to [EMAIL] for details" and red["f", "raw_text"] == "" and ("b", "raw_text") not in red
-    assert pii.found_spans(df.limit(0), detector).count() == 0
-
-
-def test_fitting_on_a_table(spark):
-    none = spark.createDataFrame([], "resume_id string, profile_json string, name string, email string, phone string, updated_at string")
-    assert pii.found_spans(none).count() == 0
-    assert pii.found_spans(spark.createDataFrame([("a", json.dumps({"raw_text": "Tel. 07700 900456"}), None, None, None, "x")], "resume_id string, profile_json string, name string, email string, phone string, updated_at string")).count() == 1
-
-
-def test_names_inside_runs_are_candidates():
-    for text in ("Anna Lee Data Analyst", "Referee Dr. Anna Lee", "Senior Data Analyst Anna Lee Quarry Textiles Works Group", "Referee Dr. Anna Lee Data Analyst Freight Works"):
-        assert "Anna Lee" in {text[a:b] for k, a, b in pii_spans.candidates(text, [0], pii_spans.Record()) if k == 4}, text
-    text = "Referee Lee, Anna Data Analyst"
-    assert "Lee, Anna" in {text[a:b] for k, a, b in pii_spans.candidates(text, [0], pii_spans.Record()) if k == 4}
-    given = "anna peter hanne sigrid tomas robert maria ingrid eun kwame oliver walter jorunn maren zofia dragan rashid bjorn renzo devika".split()
-    family = "lee oakwick leegard elmford falstackley norlomarsh ravkiford quimbury yarcamdale cortvorgard bropelheim imeguffe".split()
-    detector = pii_model.fit_detector({w: 5.0 for w in given} | {w: 1.5 for w in family}, [])
-    texts = ["Referee Dr. Anna Lee Data Analyst", "Peter Oakwick Civil Engineer", "Senior Data Analyst Anna Lee Quarry Textiles"]
-    found = detector.find([(["Applicant 3\n" + t], pii_spans.Record()) for t in texts])
-    assert [[t for k, _, _, t in f if k == 4] for f in found] == [["Anna Lee"], ["Peter Oakwick"], ["Anna Lee"]]
