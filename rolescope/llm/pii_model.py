@@ -14,16 +14,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from .boosting import Calibrated, fit_calibrated
+from .boosting import BoostedTrees, Calibrated, fit_calibrated, fit_trees
 from .folding import plain
 from .name_linking import CREDENTIALS, TITLES
-from .pii_spans import CUES, FEATURES, KINDS, Batch, Record, describe
+from .pii_spans import CUES, FEATURES, KINDS, NAME_SHAPE, Batch, Record, describe
 from .pii_words import FUNCTION_WORDS, WordModel, fit_words
 
 #: Invented documents, rows of the table, and names of the table that are fitted on.
 INVENTED_DOCUMENTS, SAMPLED_ROWS, SAMPLED_NAMES = 900, 400, 4_000
 #: Rounds of boosting; stretches of one run of words differ by little, so names take more.
 ROUNDS, NAME_ROUNDS = 40, 80
+#: Rounds of the gate, and log-odds by which it keeps what scores below the least true span.
+GATE_ROUNDS, GATE_SLACK = 20, 0.5
 
 # Sentences that hold one value of a kind, by kind; {v} is the value, {t} a town.
 SENTENCES = {
@@ -308,18 +310,38 @@ def sampled_labels(batch: Batch, records: list[Record]) -> np.ndarray:
     return y
 
 
+@dataclass
+class Gate:
+    """First stage of the cascade for names: small trees over the words of a span alone, whose result holds wherever the span
+    stands. What scores below ``least``, less than any true span that was learned from, goes no further."""
+
+    trees: BoostedTrees
+    least: float
+
+    def __call__(self, shapes: np.ndarray) -> np.ndarray:
+        return self.trees.margin(shapes) >= self.least
+
+
+def fit_gate(x: np.ndarray, y: np.ndarray) -> Gate | None:
+    if len(set(y.tolist())) < 2:
+        return None
+    trees = fit_trees(x, y, rounds=GATE_ROUNDS)
+    return Gate(trees, float(trees.margin(x[y > 0]).min()) - GATE_SLACK)
+
+
 @dataclass
 class Detector:
-    """One calibrated classifier for each kind, and the model of name words."""
+    """One calibrated classifier for each kind, the gate before that of names, and the model of name words."""
 
     words: WordModel
     models: list[Calibrated | None]
+    gate: Gate | None = None
     shapes: dict = field(default_factory=dict, repr=False)
 
     def find(self, items: list[tuple[list[str], Record]]) -> list[list[tuple[int, int, int, str]]]:
         """Accepted (kind, start, end, text) of each (texts, record), positions within its joined pieces; of spans that
         overlap the most probable is kept, the longer of about equals."""
-        batch = describe(items, self.words, self.shapes)
+        batch = describe(items, self.words, self.shapes, self.gate)
         out: list[list[tuple[int, int, int, str]]] = [[] for _ in items]
         if not batch.spans:
             return out
@@ -380,4 +402,7 @@ def fit_detector(names: list[str], rows: list[tuple[list[str], Record]], documen
         own = np.flatnonzero(kinds == kind)
         x = np.array([rows_of[k] for k in own.tolist()])
         models.append(fit_calibrated(x, y[own], rounds=NAME_ROUNDS if KINDS[kind] == "name" else ROUNDS) if len(set(y[own].tolist())) > 1 else None)
-    return Detector(all_words, models)
+    own = np.flatnonzero(kinds == 4)
+    first = FEATURES[4].index("length")
+    gate = fit_gate(np.array([rows_of[k] for k in own.tolist()])[:, first : first + NAME_SHAPE], y[own]) if len(own) else None
+    return Detector(all_words, models, gate)

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
+
 from ..functions.json_tree import parse
 from .folding import plain
 from .name_linking import CREDENTIALS, TITLES
@@ -51,6 +53,7 @@ _ENDING = re.compile(r"[a-z]+$")
 _DIGITS = re.compile(r"(?<!\w)((?:[A-Z]{1,3}[ -]?)?)([+(]?\d(?:(?:[ ./-]|\) ?| ?\()?\d){4,15})((?: ?[A-Z])?)(?![\w])")
 _UPPER = "A-ZÀ-ÖØ-Þ"
 _STREET_WORD = re.compile(rf"\b(?:{STREETS.replace(' ', '|')}|{STREETS_BEFORE.replace(' ', '|')}|{STREETS_FIRST.replace(' ', '|')})\b|(?:{STREET_ENDS.replace(' ', '|')})\b")
+_STREET_STEMS = tuple({w for w in f"{STREETS} {STREETS_BEFORE} {STREETS_FIRST} {STREET_ENDS}".split() if not any(o != w and o in w for o in f"{STREETS} {STREETS_BEFORE} {STREETS_FIRST} {STREET_ENDS}".split())})
 _UNIT = r"(?:Flat|Apt|Apartment|Unit|Suite|No|Room)\.? ?[0-9]{0,4}[A-Za-z]?"
 _ADDRESS = re.compile(
     rf"(?<!\\w)(?=[0-9{_UPPER}])(?:(?:{_UNIT},? )?(?:\d{{1,5}}[A-Za-z]?,? )?(?:[{_UPPER}][\w'’-]+ ){{1,3}}(?:{STREETS.replace(' ', '|')})\b(?:(?<=\bRd)\.|(?<=\bSt)\.|(?<=\bAve)\.|(?<=\bLn)\.|(?<=\bBlvd)\.)?(?:,? (?:Flat|Apt|Apartment|Unit|Suite|No\.?|#) ?\d{{1,4}}[A-Za-z]?\b)?"
@@ -193,6 +196,13 @@ def _bare_values(record: Record) -> set[str]:
     return {b for b in (_BRACKET.split(record.name)[0][a:e].strip() for a, e in _bare_names(_BRACKET.split(record.name)[0], False)) if len(b) >= 4}
 
 
+def _occurrences(text: str, value: str):
+    at = text.find(value)
+    while at >= 0:
+        yield at, at + len(value)
+        at = text.find(value, at + len(value))
+
+
 def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the spans that may be personal information, in pieces joined by line ends: every occurrence, in
     texts of any length. A name has two to five parts, or one behind a form of address."""
@@ -209,7 +219,7 @@ def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int
             if m.group(1) or m.group(3):
                 out.add((2, start, end))
     out.update((2, m.start(), m.end()) for m in _MIXED.finditer(joined))
-    for low, high in _piece_bounds(joined, starts, _STREET_WORD):
+    for low, high in _piece_bounds(joined, starts, _STREET_WORD) if any([w in joined for w in _STREET_STEMS]) else ():
         out.update((3, e.start(), e.end()) for e in _ADDRESS.finditer(joined, low, high))
     for m in _RUN.finditer(joined):
         base = m.start()
@@ -223,14 +233,16 @@ def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int
     lead = _LEADING.match(first)
     if lead:
         out.update((4, a, b) for a, b in _bare_names(lead.group(), lead.end() < len(first) and first[lead.end()] not in "([-|"))
-    for bare in _bare_values(record):
-        out.update((4, m.start(), m.end()) for m in re.finditer(rf"(?<!\w){re.escape(bare)}(?!\w)", joined, re.I))
+    small = joined.lower()
+    if len(small) == len(joined):
+        for bare in _bare_values(record):
+            out.update((4, a, b) for a, b in _occurrences(small, bare.lower()) if not (joined[a - 1 : a].isalnum() or joined[b : b + 1].isalnum()))
+    else:  # a letter that is longer in small
+        for bare in _bare_values(record):
+            out.update((4, m.start(), m.end()) for m in re.finditer(rf"(?<!\w){re.escape(bare)}(?!\w)", joined, re.I))
     for kind, value in ((0, record.email), (1, record.phone)):
         if len(value) >= 5:
-            at = joined.find(value)
-            while at >= 0:
-                out.add((kind, at, at + len(value)))
-                at = joined.find(value, at + len(value))
+            out.update((kind, a, b) for a, b in _occurrences(joined, value))
     return sorted(out)
 
 
@@ -247,13 +259,15 @@ FEATURES = tuple(
         "column_share in_known small_elsewhere run_before run_after look_before look_after title_before",
     )
 )
+#: Features of a name that depend on its words alone.
+NAME_SHAPE = 13
 _AROUND = ".,:;-<>()[]\"'"
 _MARKS = {c: k for k, c in enumerate("\n ,.;:)>(", 1)}
 
 
 @dataclass
 class Context:
-    """What the features of a record's spans have in common."""
+    """What the features of a record's spans have in common, and what was found of places where several spans begin or end."""
 
     joined: str
     record: Record
@@ -261,6 +275,8 @@ class Context:
     known_text: str
     column_words: frozenset[str]
     small: frozenset[str]  # words that the record writes in small letters
+    begins: dict[int, tuple] = field(default_factory=dict)
+    finishes: dict[int, tuple] = field(default_factory=dict)
 
 
 def context_of(joined: str, record: Record) -> Context:
@@ -298,49 +314,80 @@ def _cues(before: str) -> list[int]:
     return out
 
 
+def _beginning(own: Context, low: int, start: int, look) -> tuple:
+    """Cues before a place, what stands before it, and of a capitalised word before it: whether there is one that is no form of
+    address, how much it looks like a name, whether it is a form of address."""
+    joined = own.joined
+    if start == low:
+        return (), 0.0, 0.0, 0.0, 0.0
+    m = _WORD_BEFORE.search(joined, max(low, start - 30), start) if joined[start - 1] == " " else None
+    word = m.group(1) if m else ""
+    titled = word.lower() in TITLES
+    named = word != "" and not titled
+    return _cues(joined[max(low, start - 40) : start]), _before_kind(joined, low, start), float(named), look(word) if named else 0.0, float(titled)
+
+
+def _end_of(own: Context, end: int, high: int, look) -> tuple:
+    """Mark behind a place, and of a capitalised word behind it: whether there is one, and how much it looks like a name."""
+    if end >= high:
+        return 1, 0.0, 0.0
+    joined = own.joined
+    m = _WORD_AFTER.match(joined, end, high) if joined[end] == " " else None
+    return _MARKS.get(joined[end], 0), float(m is not None), look(m.group(1)) if m else 0.0
+
+
+@lru_cache(maxsize=4096)
+def _number_shape(span: str) -> tuple[tuple, tuple, float]:
+    """Digits and groups of digits of a span, its marks, and whether all groups are years."""
+    groups = _GROUP.findall(span)
+    sizes = (sum(map(len, groups)), len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0)
+    return sizes, (span.count("."), span.count("-"), span.count(" ")), float(bool(groups) and all(_YEAR.fullmatch(g) for g in groups))
+
+
 def features(kind: int, start: int, end: int, own: Context, low: int, high: int, shape_of, look) -> list[float]:
     """Feature values of one span; ``low`` and ``high`` bound its piece, ``shape_of`` gives the ``name_shape`` of a text."""
     joined, record = own.joined, own.record
     span = joined[start:end]
-    cues = ()
-    if start > low:
-        cues = _cues(joined[max(low, start - 40) : start])
+    begin = own.begins.get(start)
+    if begin is None:
+        begin = own.begins[start] = _beginning(own, low, start, look)
+    finish = own.finishes.get(end)
+    if finish is None:
+        finish = own.finishes[end] = _end_of(own, end, high, look)
+    own_cue = other = code = 0.0
+    for c in begin[0]:
+        if c == kind + 1:
+            own_cue = 1.0
+        elif c == 6:
+            code = 1.0
+        else:
+            other = 1.0
     value = (record.email, record.phone, "", "", record.name)[kind]
-    row = [
-        float(kind + 1 in cues), float(any([c != kind + 1 and c != 6 for c in cues])), float(6 in cues), _MARKS.get(joined[end], 0) if end < high else 1, float(low == 0), float(start == low), float(end == high),
-        float(value != "" and (span == value or kind == 4 and end - start > 4 and span in value)), _before_kind(joined, low, start),
-    ]
+    is_column = 1.0 if value and (span == value or kind == 4 and end - start > 4 and span in value) else 0.0
+    row = [own_cue, other, code, finish[0], 1.0 if low == 0 else 0.0, 1.0 if start == low else 0.0, 1.0 if end == high else 0.0, is_column, begin[1]]
+    if kind == 4:
+        shape, folded, words, _ = shape_of(span)
+        column = own.column_words
+        share = sum([w in column for w in folded]) / len(folded) if column and folded else 0.0
+        known = 0.0 if span not in own.known_text else 2.0 if span in own.known else 1.0
+        small = own.small
+        row += shape
+        row += (share, known, sum([w in small for w in words]) / len(words) if words else 0.0, begin[2], finish[1], begin[3], finish[2], begin[4])
+        return row
     if kind == 0:
         low_span = span.lower()
         domain = _AT.split(low_span, maxsplit=1)[-1]
         ending = _ENDING.search(domain)
         return [*row, end - start, float("@" in span), low_span.count(".") + low_span.count("dot"), span.count(" "), domain.count(".") + domain.count("dot"), len(ending.group()) if ending else 0]
     if kind < 3:
-        groups = _GROUP.findall(span)
-        count = sum(map(len, groups))
-        sizes = [count, len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0]
-        marks = [span.count("."), span.count("-"), span.count(" ")]
-        years = float(bool(groups) and all(_YEAR.fullmatch(g) for g in groups))
+        sizes, marks, years = _number_shape(span)
         if kind == 1:
             beside = joined[max(low, start - 3) : start]
-            return row + sizes + [float(span[0] == "+" or span[:2] == "00"), float("(" in span), *marks, years, float(beside[-1:] in "- " and beside[:2].isupper())]
-        return row + sizes + marks + [float(span[0].isalpha()), float(span[-1].isalpha()), years, float(span in record.phone), sum(map(str.isalpha, span))]
-    known = 2.0 if span in own.known else float(span in own.known_text)
-    if kind == 4:
-        shape, folded, words = shape_of(span)
-        # The words of the same run beside the span: a name ends where they stop being words of names.
-        m = _WORD_BEFORE.search(joined, max(low, start - 30), start)
-        before = m.group(1) if m else ""
-        m = _WORD_AFTER.match(joined, end, high)
-        after = m.group(1) if m else ""
-        titled = before.lower() in TITLES
-        return [
-            *row, *shape, sum([w in own.column_words for w in folded]) / (len(folded) or 1) if own.column_words else 0.0, known,
-            sum([w in own.small for w in words]) / (len(words) or 1), float(before != "" and not titled), float(after != ""),
-            look(before) if before and not titled else 0.0, look(after) if after else 0.0, float(titled),
-        ]
+            return [*row, *sizes, float(span[0] == "+" or span[:2] == "00"), float("(" in span), *marks, years, float(beside[-1:] in "- " and beside[:2].isupper())]
+        return [*row, *sizes, *marks, float(span[0].isalpha()), float(span[-1].isalpha()), years, float(span in record.phone), sum(map(str.isalpha, span))]
     words = _WORD.findall(span)
     n = len(words) or 1
+    known = 0.0 if span not in own.known_text else 2.0 if span in own.known else 1.0
     return row + [end - start, n, float(bool(words) and bool(_STREET_WORD.fullmatch(words[-1]))), float(span[0].isdigit()), float(_GROUP.search(span) is not None), float(_UNIT_WORD.search(span) is not None), float("," in span), known]
 
 
@@ -366,22 +413,21 @@ class Batch:
     joined: list[str]
 
 
-def describe(items: list[tuple[list[str], Record]], words: WordModel, cache: dict | None = None) -> Batch:
+def describe(items: list[tuple[list[str], Record]], words: WordModel, cache: dict | None = None, keeps=None) -> Batch:
     """Candidates and features of (texts, record) pairs; pieces that a record repeats are described once. ``cache`` keeps
-    what was found of spans that many records repeat."""
+    what was found of spans that many records repeat.
+
+    ``keeps`` is the first stage of a cascade: of an array of ``name_shape`` rows it tells which may be names at all. Others are
+    not described any further, unless the record's own name holds them.
+    """
     batch = Batch([], [], [])
     shapes: dict[str, tuple] = {} if cache is None else cache
+    if len(shapes) >= CACHE_SPANS:
+        shapes.clear()
     look = words.look
-
-    def shape_of(span: str) -> tuple:
-        found = shapes.get(span)
-        if found is None:
-            if len(shapes) >= CACHE_SPANS:
-                shapes.clear()
-            found = shapes[span] = name_shape(span, look)
-        return found
-
-    for r, (texts, record) in enumerate(items):
+    waiting = []
+    fresh: dict[str, tuple] = {}
+    for texts, record in items:
         pieces = pieces_of(texts)
         joined = "\n".join(pieces)
         batch.joined.append(joined)
@@ -389,13 +435,31 @@ def describe(items: list[tuple[list[str], Record]], words: WordModel, cache: dic
         for p in pieces:
             starts.append(at)
             at += len(p) + 1
+        spans = candidates(joined, starts, record)
+        waiting.append((starts, spans))
+        for kind, start, end in spans:
+            if kind == 4:
+                span = joined[start:end]
+                if span not in shapes and span not in fresh:
+                    fresh[span] = name_shape(span, look)
+    good = keeps(np.array([f[0] for f in fresh.values()])).tolist() if keeps and fresh else [True] * len(fresh)
+    for (span, found), kept in zip(fresh.items(), good, strict=True):
+        shapes[span] = (*found, kept)
+
+    for r, ((_, record), (starts, spans)) in enumerate(zip(items, waiting, strict=True)):
+        joined = batch.joined[r]
         own = context_of(joined, record)
-        for kind, start, end in candidates(joined, starts, record):
+        k, last = 0, len(starts) - 1
+        for kind, start, end in spans:
+            if kind == 4:
+                span = joined[start:end]
+                if not shapes[span][3] and span not in record.name:
+                    continue
             k = bisect_right(starts, start) - 1
-            low, high = starts[k], starts[k] + len(pieces[k])
+            low, high = starts[k], (starts[k + 1] - 1 if k < last else len(joined))
             if end <= high:
                 batch.spans.append((r, kind, start, end))
-                batch.rows.append(features(kind, start, end, own, low, high, shape_of, look))
+                batch.rows.append(features(kind, start, end, own, low, high, shapes.__getitem__, look))
     return batch
 
 
