@@ -53,7 +53,8 @@ _ENDING = re.compile(r"[a-z]+$")
 _DIGITS = re.compile(r"(?<!\w)((?:[A-Z]{1,3}[ -]?)?)([+(]?\d(?:(?:[ ./-]|\) ?| ?\()?\d){4,15})((?: ?[A-Z])?)(?![\w])")
 _UPPER = "A-ZÀ-ÖØ-Þ"
 _STREET_WORD = re.compile(rf"\b(?:{STREETS.replace(' ', '|')}|{STREETS_BEFORE.replace(' ', '|')}|{STREETS_FIRST.replace(' ', '|')})\b|(?:{STREET_ENDS.replace(' ', '|')})\b")
-_STREET_STEMS = tuple({w for w in f"{STREETS} {STREETS_BEFORE} {STREETS_FIRST} {STREET_ENDS}".split() if not any(o != w and o in w for o in f"{STREETS} {STREETS_BEFORE} {STREETS_FIRST} {STREET_ENDS}".split())})
+#: Where a kind of street may stand: begins with letters, so that it is searched fast; what stands before is left to the address.
+_STREET_AT = re.compile("(?:" + f"{STREETS} {STREETS_BEFORE} {STREETS_FIRST} {STREET_ENDS}".replace(" ", "|") + r")\b")
 _UNIT = r"(?:Flat|Apt|Apartment|Unit|Suite|No|Room)\.? ?[0-9]{0,4}[A-Za-z]?"
 _ADDRESS = re.compile(
     rf"(?<!\\w)(?=[0-9{_UPPER}])(?:(?:{_UNIT},? )?(?:\d{{1,5}}[A-Za-z]?,? )?(?:[{_UPPER}][\w'’-]+ ){{1,3}}(?:{STREETS.replace(' ', '|')})\b(?:(?<=\bRd)\.|(?<=\bSt)\.|(?<=\bAve)\.|(?<=\bLn)\.|(?<=\bBlvd)\.)?(?:,? (?:Flat|Apt|Apartment|Unit|Suite|No\.?|#) ?\d{{1,4}}[A-Za-z]?\b)?"
@@ -219,7 +220,7 @@ def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int
             if m.group(1) or m.group(3):
                 out.add((2, start, end))
     out.update((2, m.start(), m.end()) for m in _MIXED.finditer(joined))
-    for low, high in _piece_bounds(joined, starts, _STREET_WORD) if any([w in joined for w in _STREET_STEMS]) else ():
+    for low, high in _piece_bounds(joined, starts, _STREET_AT):
         out.update((3, e.start(), e.end()) for e in _ADDRESS.finditer(joined, low, high))
     for m in _RUN.finditer(joined):
         base = m.start()

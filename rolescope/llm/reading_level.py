@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells into which the gap between two bands is cut when the corpus is asked where it is thinnest.
-GAP_CELLS = 24
 #: Graded passages beyond this number are left out of the fit, lowest anchor_id first kept.
 MAX_ANCHORS = 2_000
 # Class of each byte.
@@ -28,13 +26,44 @@ _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?;"]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32, 0xC2, 0xE2]] = True  # the last two begin the non-ASCII blanks and quotes
-FEATURES = ("log_words_per_sentence", "letters_per_word", "vowel_runs_per_word", "share_7", "share_10", "share_13", "log_commas_per_sentence")
+# Words that open a subordinate clause, words without a meaning of their own, and ends of derived words.
+_CLAUSE = "because until before after although unless while whether since which that who whom whose when where if though whereas once".split()
+_FUNCTION = (
+    "the a an of to in on at by for from with and or but as is are was were be been must may should can will would could might "
+    "they he she it we you this these those their his her its our your not no each every all both some any one two"
+).split()
+_DERIVED = "tion sion ment ness ance ence ical logy ious able ible ally ship hood edly isms ists ized ised".split()
+_DERIVED_SHORT = "ity ive ism ize ise ful".split()
+FEATURES = (
+    "log_words_per_sentence", "letters_per_word", "vowel_runs_per_word", "share_7", "share_10", "share_13", "log_commas_per_sentence",
+    "clauses_per_sentence", "share_function_words", "share_3_vowel_runs", "share_4_vowel_runs", "share_to_4", "share_derived",
+)
+#: Letters of a word that its code holds: longer words are none of the listed ones.
+_CODED = 8
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    return np.unique(np.array([int.from_bytes(w.encode(), "big") for w in words], np.uint64))
+
+
+_CLAUSE_CODES, _FUNCTION_CODES, _DERIVED_CODES, _DERIVED_SHORT_CODES = map(_codes, (_CLAUSE, _FUNCTION, _DERIVED, _DERIVED_SHORT))
+
+
+def _among(codes: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    return listed[np.minimum(np.searchsorted(listed, codes), len(listed) - 1)] == codes
+
+
+def _windows(small: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` (8 or 4) bytes that begin at each place, as numbers; zeros follow the end. A view, no copy."""
+    padded = np.concatenate([small, np.zeros(8, np.uint8)])
+    return np.ndarray((len(small),), f">u{width}", padded, strides=(1,))
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Features of texts that lie in one UTF-8 buffer; a row of zeros for a text without a word.
 
-    Sentences end at a full stop, question or exclamation mark or semicolon before a blank or the end; a text without
+    Syntax: words, commas and subordinate clauses a sentence, share of function words. Vocabulary: length, runs of vowels and
+    derived forms of words. Sentences end at a full stop, question or exclamation mark or semicolon before a blank or the end; a text without
     any counts as one sentence. Continuation bytes of letters beyond ASCII are not counted as letters.
     """
     n = len(offsets) - 1
@@ -77,11 +106,24 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     words = np.diff(at).astype(float)
     total = np.concatenate([[0], np.cumsum(sizes)])
     letters = np.diff(total[at])
-    share = [np.diff(np.concatenate([[0], np.cumsum(sizes >= k)])[at]) for k in (7, 10, 13)]
+    counted = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[at])
+    share = [counted(sizes >= k) for k in (7, 10, 13)]
     sentences = np.maximum(per_text(end), 1)
     some = np.maximum(words, 1)
+    runs = np.concatenate([[0], np.cumsum(run)])
+    runs = runs[ends] - runs[starts]
+    small = data | 0x20
+    length = ends - starts
+    listed = np.minimum(length, _CODED).astype(np.uint64)
+    coded = np.where(length <= _CODED, _windows(small, 8)[starts].astype(np.uint64) >> ((_CODED - listed) * np.uint64(8)), 0)
+    long = np.flatnonzero(length >= 7)
+    last = _windows(small, 4)[ends[long] - 4].astype(np.uint64)
+    derived = np.zeros(len(starts), bool)
+    derived[long] = _among(last, _DERIVED_CODES) | _among(last & np.uint64(0xFFFFFF), _DERIVED_SHORT_CODES)
     out = np.column_stack([
-        np.log(some / sentences), letters / some, per_text(run) / some, *(s / some for s in share), np.log1p(per_text(data == 44) / sentences)
+        np.log(some / sentences), letters / some, per_text(run) / some, *(s / some for s in share), np.log1p(per_text(data == 44) / sentences),
+        counted(_among(coded, _CLAUSE_CODES)) / sentences, counted(_among(coded, _FUNCTION_CODES)) / some,
+        counted(runs >= 3) / some, counted(runs >= 4) / some, counted(sizes <= 4) / some, counted(derived) / some,
     ])
     out[words == 0] = 0
     return out
@@ -171,37 +213,6 @@ def _scores(documents: DataFrame, model: LevelModel) -> DataFrame:
     return source.mapInArrow(run, "doc_id bigint, score double")
 
 
-def fitted_to_corpus(model: LevelModel, documents: DataFrame, cells: int = GAP_CELLS) -> LevelModel:
-    """The model with each step between two bands placed where the corpus is thinnest.
-
-    The graded passages leave a gap between neighbouring bands, in which isotonic regression says nothing. All documents
-    are counted in cells of these gaps, at most ``cells`` for each pair of bands, and the step goes to the cell with the
-    fewest neighbours; a gap without documents is halved.
-    """
-    gaps = [k for k in range(len(model.knots) - 1) if model.levels[k + 1] > model.levels[k] and model.knots[k + 1] > model.knots[k]]
-    if not gaps:
-        return model
-    lows, highs = model.knots[gaps], model.knots[[k + 1 for k in gaps]]
-    reach = (highs - lows) / cells
-    counted = {}
-    own = _scores(documents, model).where("score is not null")
-    # Cells reach beyond the gap by half its width, so that its edges have neighbours too.
-    named = [F.when((F.col("score") >= float(lo - (hi - lo) / 2)) & (F.col("score") < float(hi + (hi - lo) / 2)), F.struct(F.lit(g).alias("g"), F.floor((F.col("score") - float(lo)) / float(r)).cast("int").alias("c"))) for g, (lo, hi, r) in enumerate(zip(lows, highs, reach, strict=True))]
-    for r in own.select(F.explode(F.array_compact(F.array(*named))).alias("x")).groupBy("x.g", "x.c").agg(F.count("*").alias("n")).collect():
-        counted[r.g, r.c] = r.n
-    knots, levels = list(model.knots), list(model.levels)
-    for g in reversed(range(len(gaps))):
-        density = np.array([counted.get((g, c), 0) for c in range(-cells // 2, cells + cells // 2)], float)
-        smooth = np.convolve(density, np.ones(7) / 7, "same")[cells // 2 : cells // 2 + cells]
-        thin = np.flatnonzero(smooth == smooth.min())
-        at = float(lows[g] + (thin[len(thin) // 2] + 0.5) * reach[g])
-        k = gaps[g]
-        middle = (levels[k] + levels[k + 1]) / 2
-        knots.insert(k + 1, at)
-        levels.insert(k + 1, middle)
-    return LevelModel(model.mean, model.scale, model.weights, np.array(knots), np.array(levels))
-
-
 def reading_levels(documents: DataFrame, model: LevelModel) -> DataFrame:
     """``doc_id``, ``level`` (DOUBLE) and ``band`` of each document.
 
@@ -224,12 +235,12 @@ def bands_of_english(documents: DataFrame, anchors: DataFrame, lang: str = "en",
     Documents whose language or length is null are not asked for.
     """
     asked = documents.where((F.col("lang") == lang) & (F.col("n_chars") >= least_chars))
-    return reading_levels(asked, fitted_to_corpus(fit_anchors(anchors), asked)).select("doc_id", "band").where("band is not null")
+    return reading_levels(asked, fit_anchors(anchors)).select("doc_id", "band").where("band is not null")
 
 
 def band_profile(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     """Documents and mean level of each source and band, over all documents; null band where a text has no word."""
-    levels = reading_levels(documents, fitted_to_corpus(fit_anchors(anchors), documents.where("lang = 'en'")))
+    levels = reading_levels(documents, fit_anchors(anchors))
     # The source travels by a join on the key: only the text goes through Python.
     return documents.select("doc_id", "source").join(levels, "doc_id").groupBy("source", "band").agg(
         F.count("*").alias("documents"), F.round(F.avg("level"), 6).alias("mean_level")

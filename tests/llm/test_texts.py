@@ -184,7 +184,7 @@ def test_levels_of_graded_passages(data):
 def test_features_equal_a_plain_count():
     import re
 
-    texts = ["", "One two three. Four five six!", "Extraordinarily complicated considerations, notwithstanding; yes?", "a\nb", "1 2 3", "ünïcode wörds héré. Ok"]
+    texts = ["", "One two three. Four five six!", "Because the RELATIONSHIP ended, Although he may be able to see the management which agreed. an activity", "Extraordinarily complicated considerations, notwithstanding; yes?", "a\nb", "1 2 3", "ünïcode wörds héré. Ok"]
     got = reading_level.text_features(texts)
     for t, row in zip(texts, got, strict=True):
         words = re.findall(r"[^\W\d_]+", t)
@@ -194,6 +194,11 @@ def test_features_equal_a_plain_count():
         sizes = [len(w) for w in words]
         ends = max(1, len(re.findall(r"[.!?;](?=\s|$)", t)))
         assert row[0] == pytest.approx(np.log(len(words) / ends)) and row[1] == pytest.approx(np.mean(sizes)) and row[3] == pytest.approx(np.mean([s >= 7 for s in sizes]))
+        low = [w.lower() for w in words]
+        assert row[7] == pytest.approx(sum(w in reading_level._CLAUSE for w in low) / ends) and row[8] == pytest.approx(np.mean([w in reading_level._FUNCTION for w in low]))
+        runs = [len(re.findall("[aeiouy]+", w)) for w in low]
+        assert row[9] == pytest.approx(np.mean([r >= 3 for r in runs])) and row[10] == pytest.approx(np.mean([r >= 4 for r in runs])) and row[11] == pytest.approx(np.mean([s <= 4 for s in sizes]))
+        assert row[12] == pytest.approx(np.mean([len(w.encode()) >= 7 and (w[-4:] in reading_level._DERIVED or w[-3:] in reading_level._DERIVED_SHORT) for w in low]))
     whole = reading_level.text_features(["".join(texts)])
     assert whole.shape == (1, len(reading_level.FEATURES))
 
@@ -209,6 +214,12 @@ def test_bands(spark, data):
     rows = [(1, easy, "en", 700), (2, hard, "en", 700), (3, hard, "de", 700), (4, hard, "en", 599), (5, None, "en", 700), (6, "", "en", 700), (7, "123 !!", "en", 700), (8, hard * 300, "en", 10**6), (9, hard, None, 700), (10, hard, "en", None)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, n_chars long, band int")
     assert {r.doc_id: r.band for r in reading_level.bands_of_english(df, anchors).collect()} == {1: 1, 2: 5, 8: 5}
+    # a document has one band, whatever else the table holds
+    documents = spark.read.parquet(f"{data}/documents.parquet")
+    model = reading_level.fit_anchors(anchors)
+    every = {r.doc_id: r.band for r in reading_level.reading_levels(documents, model).collect()}
+    asked = {r.doc_id: r.band for r in reading_level.bands_of_english(documents.where("doc_id % 3 = 0"), anchors).collect()}
+    assert asked and all(every[k] == band for k, band in asked.items())
     assert reading_level.bands_of_english(df.limit(0), anchors).count() == 0
     with pytest.raises(ValueError):
         reading_level.fit_anchors(anchors.limit(0))
