@@ -1,9 +1,14 @@
 """Same or near-same judgements across splits (problem 1).
 
 Evaluation judgements are sharded and each shard becomes a compressed full-text index (an FM-index: the Burrows-Wheeler
-transform of its folded keys with rank and locate support). Training judgements of the shard stream through backward
-search; their maximal matches are located, merged into spans for each pair of keys, and the pairs are verified. Equal
-keys of one side are one key throughout: copies are only joined again at the end, and reports never expand them.
+transform of its folded keys as a wavelet matrix of packed bits, with a sampled suffix array). Training judgements of the
+shard stream through backward search; their maximal matches are located, merged into spans for each pair of keys, and the pairs
+are verified. Equal keys of one side are one key throughout: copies are only joined again at the end, and reports and
+``key_overlaps`` never expand them.
+
+A key goes to the shards of its routes. A route is what two keys of one judgement have in common wherever the slip is: the
+numbers of job and résumé, or, where an id has letters that check its number, these letters and half of the number. The halves
+part the keys of one job, or of ids with the same letters everywhere: no route gathers more than the keys whose numbers agree by half.
 """
 
 from __future__ import annotations
@@ -18,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import SPLITS
 from ..session import cut, parallelism
 from .folding import damerau, plain
 
 #: Keys of one shard, about; more evaluation keys make more shards.
 SHARD_KEYS = 50_000
-# Spellings of the splits.
-SPLITS = {"train": "train", "training": "train", "val": "validation", "valid": "validation", "validation": "validation", "test": "test"}
+#: Of so many symbols of a text one has its place in the sampled suffix array.
+SAMPLED = 8
 # What copies and exports append to an id.
 _MARKER = re.compile(r"(?:\.(?:txt|pdf|docx?|json|csv)|\(\d+\)|[\s_-]+v\d+|[\s_-]*copy|[\s_-]+final)\s*$")
 _SEPARATORS = re.compile(r"[\W_]+")
@@ -33,6 +39,8 @@ _RUN = re.compile(r"\d+|[^\W\d_]+")
 _BETWEEN = 1
 #: Parts a job from a résumé in a key; folded ids hold letters and digits only.
 _CENTRE = "#"
+#: Bound a route and a half of a number in a text.
+_ROUTE, _HALF = "~", "+"
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -75,105 +83,191 @@ def same_judgement(a: str, b: str) -> bool:
     return same_id(job_a, job_b) and same_id(resume_a, resume_b)
 
 
-def spellings(key: str) -> list[tuple[str, str, int, int]]:
-    """(route, text, start, end) of both texts of a key.
+def _halves(digits: str, train: bool) -> list[tuple[str, str, str]]:
+    """(mark, part, rest) of a number's beginnings and ends: of a training and an evaluation number that are one slip apart, one
+    such part is equal. Numbers of equal length leave out a digit more, as a swap may lie across the middle; of others the mark
+    tells which side is the longer, so that numbers of equal length do not meet there."""
+    n = len(digits)
+    cuts = [("=", n, (n - 1) // 2, (n - 1) // 2), ("<" if train else ">", n, (n + 1) // 2, n // 2), (">" if train else "<", n - 1, n // 2, (n - 1) // 2)]
+    out = []
+    for mark, least, head, tail in cuts:
+        if least >= 0:
+            out += [(f"b{mark}{least}", digits[:head], digits[head:]), (f"e{mark}{least}", digits[n - tail :], digits[: n - tail])]
+    return out
+
+
+def spellings(key: str, train: bool) -> list[tuple[str, str, int, int]]:
+    """(route, text, start, end) of the texts of a key: in a text the route stands between what may hold the slip, from
+    ``start`` to ``end``.
 
-    A text holds the job's letters and number, then the résumé's number and letters, or its letters and number. The
-    stretch from ``start`` to ``end``, around the centre, is the job's number and the résumé's first half: the route. Of
-    two keys of one judgement, one of the routes is equal, whichever half of the résumé id holds a slip.
+    Of two keys of one judgement (``same_judgement``) one route is equal: the number of an id, or its letters and half of its
+    number if they check it, for the job and for the résumé. An id without a number is known by its letters alone.
     """
-    job, resume = key.split(_CENTRE)
-    number, words, _ = numbers_and_letters(job)
-    digits, letters, _ = numbers_and_letters(resume)
+    sides = []
+    for part in key.split(_CENTRE):
+        digits, letters, checked = numbers_and_letters(part)
+        own = [("n", digits, letters)] if digits else [("w", letters, "")]
+        if checked:
+            own += [(mark, f"{letters}{_HALF}{half}", rest) for mark, half, rest in _halves(digits, train)]
+        sides.append(own)
     out = []
-    for mark, head, tail in ((">", digits, letters), ("<", letters, digits)):
-        route = f"{mark}{number}{_CENTRE}{head}{mark}"
-        out.append((route, f"{words}{route}{tail}", len(words.encode()), len((words + route).encode())))
+    for job_mark, job, job_rest in sides[0]:
+        for mark, resume, rest in sides[1]:
+            route = f"{job_mark}{_ROUTE}{job}{_CENTRE}{resume}{_ROUTE}{mark}"
+            out.append((route, f"{job_rest}{route}{rest}", len(job_rest.encode()), len((job_rest + route).encode())))
     return out
 
 
+class Bits:
+    """Bit vector, packed, with ranks in constant time."""
+
+    def __init__(self, bits: np.ndarray):
+        self.n = len(bits)
+        packed = np.packbits(np.concatenate([bits, np.zeros(-self.n % 64 + 64, bool)]), bitorder="little")
+        self.words = packed.view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words))]).astype(np.uint32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & mask).astype(np.int64)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def suffix_order(data: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes in their order, by doubling the compared length."""
+    n = len(data)
+    rank, width = data.astype(np.int64), 1
+    while True:
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - width] = rank[width:] + 1
+        pair = rank * (int(rank.max()) + 2) + ahead
+        order = np.argsort(pair, kind="stable")
+        step = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
+        rank = np.empty(n, np.int64)
+        rank[order] = step
+        width *= 2
+        if step[-1] == n - 1 or width >= n:
+            return order
+
+
 class FullTextIndex:
-    """FM-index of a list of byte strings."""
+    """FM-index of a list of byte strings. About two bytes a symbol stay after it is built: a bit for each level of the wavelet matrix with
+    its ranks, and the sampled suffix array."""
 
     def __init__(self, texts: list[bytes]):
         between = bytes([_BETWEEN])
-        data = np.frombuffer(between + between.join(texts) + between, np.uint8).astype(np.int64)
-        n = len(data)
-        self.n = n
-        self.starts = np.cumsum([1, *(len(t) + 1 for t in texts[:-1])]) if texts else np.empty(0, np.int64)
-        rank, width = data, 1
-        while True:
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - width] = rank[width:] + 1
-            pair = rank * (int(rank.max()) + 2) + ahead
-            order = np.argsort(pair, kind="stable")
-            step = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
-            rank = np.empty(n, np.int64)
-            rank[order] = step
-            width *= 2
-            if step[-1] == n - 1 or width >= n:
-                break
-        self.suffixes = order.astype(np.int32)
-        last = data[order - 1]
-        by_symbol = np.argsort(last, kind="stable")
-        # Row of the k-th occurrence of a symbol: rank by binary search, and the C table is its place in this array.
-        self.rows = last[by_symbol] * (n + 1) + by_symbol
-
-    def extend(self, symbol: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        """One step of backward search for many interval bounds at once."""
-        return np.searchsorted(self.rows, symbol * (self.n + 1) + bound)
-
-    def maximal_matches(self, texts: list[bytes], stretches: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text number, start, end, low, high): matches that contain the text's stretch, for every end behind it, with the
+        data = np.frombuffer(between + between.join(texts) + between, np.uint8)
+        n = self.n = len(data)
+        starts = np.cumsum([1, *(len(t) + 1 for t in texts[:-1])]) if texts else np.empty(0, np.int64)
+        order = suffix_order(data)
+        symbols, last = np.unique(data, return_inverse=True)
+        #: Code of each byte, -1 for one that no text has.
+        self.code = np.full(256, -1, np.int64)
+        self.code[symbols] = np.arange(len(symbols))
+        last = last[order - 1]
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(last, minlength=len(symbols)))])
+        self.shifts = range(max(int(len(symbols) - 1).bit_length(), 1) - 1, -1, -1)
+        self.levels: list[tuple[Bits, int]] = []
+        for shift in self.shifts:
+            bit = (last >> shift) & 1 > 0
+            self.levels.append((Bits(bit), int(n - bit.sum())))
+            last = np.concatenate([last[~bit], last[bit]])
+        text = np.maximum(np.searchsorted(starts, order, "right") - 1, 0)
+        marked = (order > 0) & ((order - starts[text]) % SAMPLED == 0) if texts else np.zeros(n, bool)
+        self.marked, self.owner = Bits(marked), text[marked].astype(np.int32)
+
+    def bytes_held(self) -> int:
+        return sum(b.words.nbytes + b.before.nbytes for b, _ in [*self.levels, (self.marked, 0)]) + self.owner.nbytes
+
+    def extend(self, code: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """One step of backward search for many interval bounds at once; codes are not negative."""
+        low, high = np.zeros(len(bound), np.int64), bound
+        for shift, (bits, zeros) in zip(self.shifts, self.levels, strict=True):
+            one = (code >> shift) & 1 > 0
+            a, b = bits.rank(low), bits.rank(high)
+            low, high = np.where(one, zeros + a, low - a), np.where(one, zeros + b, high - b)
+        return self.before[code] + high - low
+
+    def symbol_at(self, row: np.ndarray) -> np.ndarray:
+        """Code of the symbol before the suffix of each row."""
+        out, at = np.zeros(len(row), np.int64), row
+        for shift, (bits, zeros) in zip(self.shifts, self.levels, strict=True):
+            one = bits.get(at)
+            ones = bits.rank(at)
+            out |= one.astype(np.int64) << shift
+            at = np.where(one, zeros + ones, at - ones)
+        return out
+
+    def maximal_matches(self, texts: list[bytes], stretches: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+        """Arrays (text number, start, end, low, high) of matches that contain the text's stretch, for every end behind it, with the
         rows of the index where they occur. A match is given for each start at which it loses some of its rows, so every
         indexed text is met at its own longest match."""
         count = [len(t) - b + 1 for t, (_, b) in zip(texts, stretches, strict=True)]
         owner = np.repeat(np.arange(len(texts)), count)
         ends = np.concatenate([np.arange(len(t), b - 1, -1) for t, (_, b) in zip(texts, stretches, strict=True)]) if texts else np.empty(0, np.int64)
         need = np.array([a for a, _ in stretches], np.int64)[owner] if len(owner) else owner
-        flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+        flat = self.code[np.frombuffer(b"".join(texts), np.uint8)]
         base = np.cumsum([0, *(len(t) for t in texts)])[:-1]
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         start = ends.copy()
         active = np.arange(len(ends))
+        out = [(np.empty(0, np.int64),) * 5]
         while len(active):
             inside = start[active] > 0
-            for k in active[~inside & (start[active] <= need[active])].tolist():
-                yield int(owner[k]), int(start[k]), int(ends[k]), int(low[k]), int(high[k])
+            done = active[~inside & (start[active] <= need[active])]
+            out.append((owner[done], start[done], ends[done], low[done], high[done]))
             active = active[inside]
             symbol = flat[base[owner[active]] + start[active] - 1]
-            lo, hi = self.extend(symbol, low[active]), self.extend(symbol, high[active])
-            lost = (hi - lo < high[active] - low[active]) & (start[active] <= need[active])
-            for k in active[lost].tolist():
-                yield int(owner[k]), int(start[k]), int(ends[k]), int(low[k]), int(high[k])
+            known = np.maximum(symbol, 0)
+            lo, hi = self.extend(known, low[active]), self.extend(known, high[active])
+            hi = np.where(symbol < 0, lo, hi)
+            lost = active[(hi - lo < high[active] - low[active]) & (start[active] <= need[active])]
+            out.append((owner[lost], start[lost], ends[lost], low[lost], high[lost]))
             going = lo < hi
             active = active[going]
             low[active], high[active] = lo[going], hi[going]
             start[active] -= 1
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-    def located(self, low: int, high: int) -> np.ndarray:
-        """Numbers of the texts in which the rows' suffixes start."""
-        return np.searchsorted(self.starts, self.suffixes[low:high], "right") - 1
+    def located(self, rows: np.ndarray) -> np.ndarray:
+        """Numbers of the texts in which the rows' suffixes start: each steps back to a sampled symbol of its text."""
+        out = np.full(len(rows), -1, np.int64)
+        active, at = np.arange(len(rows)), rows.astype(np.int64)
+        while len(active):
+            hit = self.marked.get(at)
+            out[active[hit]] = self.owner[self.marked.rank(at[hit])]
+            active, at = active[~hit], at[~hit]
+            if len(at):
+                at = self.extend(self.symbol_at(at), at)
+        return out
 
 
 def overlaps(index: FullTextIndex, keys: list[str], waiting: list[tuple[str, str, int, int]]) -> list[tuple[str, str, int, int]]:
     """(training key, evaluation key, covered symbols, spans) of (key, text, start, end) streamed through an index of the
     texts of ``keys``. Matches of a pair are merged into spans; pairs are verified."""
     raw = [t.encode() for _, t, _, _ in waiting]
-    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for t, start, end, low, high in index.maximal_matches(raw, [(a, b) for _, _, a, b in waiting]):
-        for e in np.unique(index.located(low, high)).tolist():
-            spans.setdefault((t, e), []).append((start, end))
+    text, start, end, low, high = index.maximal_matches(raw, [(a, b) for _, _, a, b in waiting])
+    size = high - low
+    rows = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    found = np.column_stack([np.repeat(text, size), index.located(rows), np.repeat(start, size), np.repeat(end, size)])
     out = []
-    for (t, e), own in spans.items():
-        if not same_judgement(waiting[t][0], keys[e]):
-            continue
-        covered = reach = merged = 0
-        for start, end in sorted(own):
-            merged += start >= reach
-            covered += max(0, end - max(start, reach))
-            reach = max(reach, end)
-        out.append((waiting[t][0], keys[e], covered, merged))
+    now, good = None, False
+    covered = reach = merged = 0
+    for t, e, a, b in np.unique(found, axis=0).tolist():
+        if (t, e) != now:
+            if good:
+                out.append((waiting[now[0]][0], keys[now[1]], covered, merged))
+            now, good = (t, e), same_judgement(waiting[t][0], keys[e])
+            covered = reach = merged = 0
+        merged += a >= reach
+        covered += max(0, b - max(a, reach))
+        reach = max(reach, b)
+    if good:
+        out.append((waiting[now[0]][0], keys[now[1]], covered, merged))
     return out
 
 
@@ -201,14 +295,14 @@ def judged(labels: DataFrame) -> DataFrame:
 def key_pairs(keys: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """``train_key``, ``eval_key``, ``covered`` and ``matches`` of the pairs of one judgement, from distinct (role, key)."""
     spark = keys.sparkSession
-    shards = max(parallelism(spark), 2 * keys.where("role = 'eval'").count() // shard_keys + 1)
+    shards = max(parallelism(spark), 4 * keys.where("role = 'eval'").count() // shard_keys + 1)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
                 (zlib.crc32(way.encode()) % shards, role == "train", key, text, start, end)
                 for role, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for way, text, start, end in spellings(key)
+                for way, text, start, end in spellings(key, role == "train")
             ]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             types = (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32())
@@ -244,6 +338,16 @@ def key_pairs(keys: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     return pairs.groupBy("train_key", "eval_key").agg(F.max("covered").alias("covered"), F.max("matches").alias("matches"))
 
 
+def key_overlaps(labels: DataFrame) -> DataFrame:
+    """``train_key``, ``eval_key``, ``train_labels``, ``eval_labels``, ``covered``: each pair of keys of one judgement with the labels
+    that hold them. The form that scales: copies are counted, not paired."""
+    rows = cut(judged(labels))
+    counts = rows.groupBy("role", "key").agg(F.count("*").alias("n"))
+    train = counts.where("role = 'train'").select(F.col("key").alias("train_key"), F.col("n").alias("train_labels"))
+    held = counts.where("role = 'eval'").select(F.col("key").alias("eval_key"), F.col("n").alias("eval_labels"))
+    return key_pairs(rows.select("role", "key").distinct()).join(train, "train_key").join(held, "eval_key").select("train_key", "eval_key", "train_labels", "eval_labels", "covered")
+
+
 def overlapping_labels(labels: DataFrame) -> DataFrame:
     """``p1_found``: pairs of label ids, the smaller first."""
     rows = cut(judged(labels))

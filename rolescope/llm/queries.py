@@ -21,6 +21,10 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_overlap.overlap_report(table(spark, sf_dir, "relevance_labels"))
 
 
+def p1_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_overlap.key_overlaps(table(spark, sf_dir, "relevance_labels"))
+
+
 def _mapped_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skill_mapping.mapped_skills(
         table(spark, sf_dir, "job_descriptions"), table(spark, sf_dir, "candidate_profiles"), table(spark, sf_dir, "skill_catalog")
@@ -133,7 +137,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_report, p2_found, p2_unmatched, p2_usage, p3_found, p3_redacted, p3_report, p5_found, p5_ranking, p6_found, p6_people, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
+    own = [p1_found, p1_report, p1_keys, p2_found, p2_unmatched, p2_usage, p3_found, p3_redacted, p3_report, p5_found, p5_ranking, p6_found, p6_people, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
     return {q.__name__: q for q in own}
 
 

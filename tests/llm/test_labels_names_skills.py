@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from rolescope.llm import label_overlap, name_linking, skill_mapping
@@ -56,9 +57,9 @@ def test_index_finds_all_maximal_matches():
         c = query.index("#")
         stretch = (max(0, c - 1), min(len(query), c + 2))
         reach = {}
-        for _, s, e, lo, hi in index.maximal_matches([query.encode()], [stretch]):
+        for _, s, e, lo, hi in zip(*index.maximal_matches([query.encode()], [stretch]), strict=True):
             assert s <= stretch[0] and e >= stretch[1]
-            for k in index.located(lo, hi).tolist():
+            for k in index.located(np.arange(lo, hi)).tolist():
                 old = reach.get(k, (s, e))
                 reach[k] = (min(old[0], s), max(old[1], e))
         want = {}
@@ -74,6 +75,60 @@ def test_index_finds_all_maximal_matches():
         assert reach == want
 
 
+def test_index_is_compressed_and_exact():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh0123456789#<") for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    index = label_overlap.FullTextIndex([t.encode() for t in texts])
+    assert index.bytes_held() < 2.5 * sum(map(len, texts))
+    joined = "\x01".join(texts)
+    for query in ("a", "b#", "7<", "c0a", "hh", "zz"):
+        codes = index.code[np.frombuffer(query.encode(), np.uint8)]
+        lo, hi = np.array([0]), np.array([index.n])
+        for c in codes[::-1]:
+            lo, hi = (index.extend(np.array([max(c, 0)]), x) if c >= 0 else x * 0 for x in (lo, hi))
+        assert hi[0] - lo[0] == sum(joined.startswith(query, k) for k in range(len(joined)))
+        assert sorted(set(index.located(np.arange(lo[0], hi[0])).tolist())) == [k for k, t in enumerate(texts) if query in t]
+
+
+def test_slips_in_numbers_that_letters_confirm(spark):
+    rows = [
+        (1, "clerk-0000123-wxyz", "cv-000451-abcd", "train"), (2, "clerk-0000132-wxyz", "cv-000451-abcd", "test"), (3, "clerk-0000123-wxyz", "cv-000415-abcd", "val"), (4, "clerk-000123-wxyz", "cv-00451-abcd", "val"),
+        (5, "clerk-0000132-wxyz", "cv-000415-abcd", "test"), (6, "clerk-0000132-wxzy", "cv-000451-abcd", "test"), (7, "alice", "bob", "train"), (8, "Alice", "BOB", "test"), (9, "alise", "bob", "test"),
+    ]
+    # 6 has a slip in the number and in the letters of the job
+    assert pairs(spark, rows) == {(1, 2), (1, 3), (1, 4), (1, 5), (7, 8)}
+
+
+def test_routes_meet_every_slip():
+    rng = random.Random(12)
+    for _ in range(3000):
+        n = rng.randrange(1, 8)
+        a = "".join(rng.choice("0123456789") for _ in range(n))
+        k = rng.randrange(n)
+        b = rng.choice([a[:k] + a[k + 1 :], a[:k] + rng.choice("0123456789") + a[k:], a[:k] + rng.choice("0123456789") + a[k + 1 :], a[:k] + a[k + 1 : k + 2] + a[k : k + 1] + a[k + 2 :]])
+        x, y = f"job7#cv{a}abcd", f"job7#cv{b}abcd"
+        if b and label_overlap.same_judgement(x, y):
+            assert {r for r, *_ in label_overlap.spellings(x, True)} & {r for r, *_ in label_overlap.spellings(y, False)}, (a, b)
+
+
+def test_many_labels_of_one_job_without_check_letters(spark):
+    """No route gathers the job: shards stay small, and the pairs are those of equal numbers."""
+    df = spark.range(100_000).selectExpr("id as label_id", "'clerk_jd_7' as job_id", "concat('cv', cast(id % 70000 as string)) as resume_id", "1 as label", "if(id < 70000, 'train', 'test') as split", "'x' as source", "cast(null as string) as notes")
+    routes = {}
+    for k in range(2000):
+        for route, *_ in label_overlap.spellings(f"clerkjd7#cv{k}", True):
+            routes[route] = routes.get(route, 0) + 1
+    assert max(routes.values()) == 1
+    got = label_overlap.key_overlaps(df)
+    assert got.agg({"train_labels": "sum"}).first()[0] == 30_000 and got.count() == 30_000
+    letters = {}
+    for k in range(20_000):
+        for route, *_ in label_overlap.spellings(f"clerkjd7#cv{k}final", k % 2 > 0):
+            letters[route] = letters.get(route, 0) + 1
+    # letters that all ids share check nothing, yet only numbers that agree by half meet
+    assert max(letters.values()) <= 1000
+
+
 def test_overlap_report(spark):
     rows = [(1, "a_1", "cv-1-abcd", 1, "train", "x", None), (2, "a_1", "cv-1-abcd", 1, "test", "X ", None), (3, "a_1", "cv-1-abdc", 1, "test", "x", None), (4, "a_2", "cv-1-abcd", 1, "val", None, None)]
     got = {(r.split, r.source): (r.labels, r.overlapping, r.spelled_otherwise) for r in label_overlap.overlap_report(spark.createDataFrame(rows, LABELS)).collect()}
