@@ -26,6 +26,8 @@ FAMILY_SIMILARITY, GIVEN_SIMILARITY, SLIP_SIMILARITY = 0.88, 0.86, 0.75
 #: Letters of a short family name: these are compared for equality or one swap, and their other part as a family name, since
 #: either may be the family name. Likeness of a swapped one.
 SHORT, SWAPPED = 3, 0.9
+#: Names of one block that are compared pair by pair; a larger block is parted by the letters of the family name.
+BLOCK_NAMES = 256
 #: Nicknames that the comparison may hold.
 MAX_NICKNAMES = 50_000
 #: A word of file keys is known as a name's if people's names hold it more often than once in so many of its keys.
@@ -179,23 +181,34 @@ class Comparer:
                 best = max(best, (s, g == 1), key=lambda x: (x[0] > 0, not x[1], x[0]))
         return best if best[0] else (0.0, False)
 
-    def blocks(self, parts: tuple[str, ...]) -> set[str]:
-        """Phonetic keys: the first, the last, and the outer sounds of the family name with the initial of the given name, so
-        that a slip anywhere leaves one of them; of short family names, the letters in any order."""
-        out = set()
+    def blocks(self, parts: tuple[str, ...]) -> dict[str, str]:
+        """Phonetic keys of a name, and the family name each was made of.
+
+        A key holds the sounds of one part and the initial of another, for either order of the parts, so that it does not matter
+        how they are ordered: the first, the last, and the outer sounds, so that a slip anywhere leaves one of them; of short family
+        names, the letters in any order."""
+        out = {}
         for family, given in readings(parts):
-            if len(family) <= SHORT:
-                out.update(f"#{initial}{''.join(sorted(family))}" for initial in self.initials(given[0]))
-                continue
-            code = sounds(family)
             for initial in self.initials(given[0]):
-                out.add(f"<{initial}{code[:3]}")
-                out.add(f">{initial}{code[-3:]}")
-                out.add(f"={initial}{code[:1]}{code[-2:]}")
-                out.add(f"~{initial}{code[:2]}{code[-1:]}")
+                if len(family) <= SHORT:
+                    out[f"#{initial}{''.join(sorted(family))}"] = family
+                    continue
+                code = sounds(family)
+                for key in (f"<{initial}{code[:3]}", f">{initial}{code[-3:]}", f"={initial}{code[:1]}{code[-2:]}", f"~{initial}{code[:2]}{code[-1:]}"):
+                    out[f"{key}|{family}" if key in out and out[key] != family else key] = family
         return out
 
 
+def spellings_near(family: str) -> set[str]:
+    """A family name with as many letters left out as a likely other spelling may have slips, all ways: two names within that
+    many slips have one of these in common."""
+    out = level = {family}
+    for _ in range(1 if len(family) < 5 else 2):
+        level = {w[:k] + w[k + 1 :] for w in level for k in range(len(w))}
+        out = out | level
+    return out
+
+
 @functools.lru_cache(maxsize=4)
 def comparer(nicknames: tuple[tuple[str, str], ...]) -> Comparer:
     return Comparer(nicknames)
@@ -258,23 +271,42 @@ def without_noise(names: DataFrame, nicknames: tuple[tuple[str, str], ...]) -> D
     return names.where("not is_file").unionByName(cleaned)
 
 
-def candidate_pairs(nodes: DataFrame, nicknames: tuple[tuple[str, str], ...]) -> DataFrame:
-    """``a``, ``b`` with ``pa``, ``pb``: each pair of nodes (node, scope, parts) that share a block, once."""
+def candidate_pairs(nodes: DataFrame, nicknames: tuple[tuple[str, str], ...], block_names: int = BLOCK_NAMES) -> DataFrame:
+    """``a``, ``b`` with ``pa``, ``pb``: each pair of nodes (node, scope, parts) that share a block, once.
+
+    Blocks are counted. One of more than ``block_names`` names is parted by ``spellings_near`` of the family name: every pair
+    that the comparison accepts stays together, and what remains in one place are names whose family names are spelled alike.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = comparer(nicknames)
         for batch in batches:
-            at, keys = [], []
+            at, keys, families = [], [], []
             for i, (scope, parts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for key in own.blocks(tuple(parts.split(" "))):
+                for key, family in own.blocks(tuple(parts.split(" "))).items():
                     at.append(i)
-                    keys.append(f"{scope}\x00{key}")
+                    keys.append(f"{scope}\x00{key.partition('|')[0]}")
+                    families.append(family)
             where = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(2).take(where), pa.array(keys, pa.string())], names=["node", "parts", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(2).take(where), pa.array(keys, pa.string()), pa.array(families, pa.string())], names=["node", "parts", "block", "family"])
 
-    keyed = nodes.select("node", "scope", "parts").mapInArrow(run, "node string, parts string, block string")
-    left = keyed.select("block", F.col("node").alias("a"), F.col("parts").alias("pa"))
-    right = keyed.select("block", F.col("node").alias("b"), F.col("parts").alias("pb"))
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys = [], []
+            for i, (block, family) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                for key in [family] if len(family) <= SHORT else spellings_near(family):
+                    at.append(i)
+                    keys.append(f"{block}\x00{key}" if len(family) > SHORT else block)
+            where = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(keys, pa.string())], names=["node", "parts", "block"])
+
+    keyed = nodes.select("node", "scope", "parts").mapInArrow(run, "node string, parts string, block string, family string").repartition("block")
+    large = keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > block_names).select("block")
+    small = keyed.join(large, "block", "left_anti").select("node", "parts", "block")
+    parted = keyed.join(large, "block", "left_semi").select("node", "parts", "block", "family").mapInArrow(part, "node string, parts string, block string")
+    every = small.unionByName(parted)
+    left = every.select("block", F.col("node").alias("a"), F.col("parts").alias("pa"))
+    right = every.select("block", F.col("node").alias("b"), F.col("parts").alias("pb"))
     return left.join(right, "block").where("a < b").select("a", "b", "pa", "pb").distinct()
 
 
@@ -295,7 +327,7 @@ def compared(pairs: DataFrame, nicknames: tuple[tuple[str, str], ...]) -> DataFr
     return pairs.mapInArrow(run, "a string, b string, score double, weak boolean")
 
 
-def people(records: DataFrame, nicknames: DataFrame) -> DataFrame:
+def people(records: DataFrame, nicknames: DataFrame, block_names: int = BLOCK_NAMES) -> DataFrame:
     """``id``, ``scope`` and ``person`` of each record with a name of two parts or more.
 
     ``records`` has id (unique), scope, name, is_file. A null scope is a scope of its own for each record. Null and
@@ -307,7 +339,7 @@ def people(records: DataFrame, nicknames: DataFrame) -> DataFrame:
     firsts = named.groupBy("scope", "parts").agg(F.min("id").alias("node"))
     by_name = cut(named.join(firsts, ["scope", "parts"]).select("id", "scope", "parts", "node"))
     nodes = by_name.select("node", "scope", "parts").distinct()
-    edges = cut(compared(candidate_pairs(nodes, table), table))
+    edges = cut(compared(candidate_pairs(nodes, table, block_names), table))
 
     sure = connected_components(edges.where("not weak"), "a", "b")
     group = nodes.select("node").join(sure, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -259,6 +259,42 @@ def test_short_family_names_link(spark):
     assert linked(spark, rows, (("Tom", "Thomas"), ("Jenny", "Jennifer"))) == {frozenset("abcd"), frozenset("eg"), frozenset("hi"), frozenset("jk"), frozenset("lm")}
 
 
+def test_large_blocks_are_parted_without_losing_links(spark):
+    rng = random.Random(17)
+    given, family = "robert hanne sigrid tomas maria renate hubert stefan".split(), "falstackley norlomarsh fallstockle falsteckley norlamersh".split()
+    rows = []
+    for k in range(160):
+        g, f = rng.choice(given), rng.choice(family)
+        i = rng.randrange(len(f) - 1)
+        f = rng.choice([f, f, f[:i] + f[i + 1] + f[i] + f[i + 2 :], f[:i] + f[i + 1 :]])
+        rows.append((f"r{k:03d}", "f", rng.choice([f"{g} {f}", f"{f}, {g}", f"{g[0]}. {f}", f"{f} {g}"]), k % 2 > 0))
+    df = spark.createDataFrame([(*r, "clash") for r in rows], RECORDS)
+    nick = spark.createDataFrame([("Bob", "Robert")], NICK)
+    whole = {(r.id, r.person) for r in name_linking.people(df, nick, 10**6).collect()}
+    assert {(r.id, r.person) for r in name_linking.people(df, nick, 2).collect()} == whole and len({p for _, p in whole}) < 60
+
+
+def test_spellings_near_meet():
+    rng = random.Random(3)
+    compare = name_linking.Comparer(())
+    for _ in range(3000):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randrange(4, 9)))
+        b = a
+        for _ in range(rng.randrange(1, 3)):
+            i = rng.randrange(len(b))
+            b = rng.choice([b[:i] + b[i + 1 :], b[:i] + rng.choice("abcd") + b[i:], b[:i] + b[i + 1 : i + 2] + b[i : i + 1] + b[i + 2 :]])
+        if len(b) > 3 and compare.family(a, b):
+            assert name_linking.spellings_near(a) & name_linking.spellings_near(b), (a, b)
+
+
+def test_links_do_not_change_with_the_number_of_folders(spark):
+    rows = [("a", "s0", "devika bropelheim", True), ("b", "s0", "d bropelheim", True), ("c", "s1", "night auditor ann leegard", True), ("d", "s1", "Ann Leegard", False), ("e", "s2", "Tom Lee", False), ("g", "s2", "lee tom", True)]
+    rows += [(f"x{k}", f"t{k}", f"night auditor {g} {f}", True) for k, (g, f) in enumerate([("ben", "oakwick"), ("cy", "elmford"), ("eve", "quimbury")])] + [(f"y{k}", f"u{k}", n, False) for k, n in enumerate(("Ben Oakwick", "Cy Elmford", "Eve Quimbury"))]
+    few = linked(spark, rows)
+    more = rows + [(f"m{k}", f"v{k}", ("devika bropelheim", "ann leegard", "Tom Lee")[k % 3], k % 2 > 0) for k in range(1000)]
+    assert linked(spark, more) == few == {frozenset("ab"), frozenset("cd"), frozenset("eg")}
+
+
 def test_jaro_winkler_known_values():
     assert round(name_linking.jaro_winkler("martha", "marhta"), 4) == 0.9611 and round(name_linking.jaro_winkler("dixon", "dicksonx"), 4) == 0.8133
     assert name_linking.jaro_winkler("", "a") == 0.0 and name_linking.jaro_winkler("abc", "xyz") == 0.0
