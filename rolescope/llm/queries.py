@@ -35,6 +35,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped_skills(spark, sf_dir)
 
 
+def p2_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = skill_mapping.typed_values(table(spark, sf_dir, "job_descriptions"), table(spark, sf_dir, "candidate_profiles"))
+    return skill_mapping.map_mentions(values, table(spark, sf_dir, "skill_catalog"))
+
+
 def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skill_mapping.unmatched_report(_mapped_skills(spark, sf_dir))
 
@@ -137,7 +142,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_report, p1_keys, p2_found, p2_unmatched, p2_usage, p3_found, p3_redacted, p3_report, p5_found, p5_ranking, p6_found, p6_people, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
+    own = [p1_found, p1_report, p1_keys, p2_found, p2_mentions, p2_unmatched, p2_usage, p3_found, p3_redacted, p3_report, p5_found, p5_ranking, p6_found, p6_people, p7_found, p8_ids, p8_profile, p8_round_trip, p9_found, p9_report, p10_found, p10_profile]
     return {q.__name__: q for q in own}
 
 

@@ -160,13 +160,25 @@ def test_values_map_to_the_entry_they_mean(spark, catalog):
     assert {r.raw_value: r.skill_id for r in clash.collect()} == got | {None: 0}
 
 
-def test_blocks_of_entries_change_nothing(spark, catalog, monkeypatch):
-    df = spark.createDataFrame([(v,) for v in VALUES], "raw_value string")
-    blocks = skill_mapping.catalog_blocks(catalog, 2)
-    assert len(blocks) > 1
-    monkeypatch.setattr(skill_mapping, "catalog_blocks", lambda c: blocks)
-    got = {r.raw_value: r.skill_id for r in skill_mapping.map_values(df, catalog).collect()}
-    assert {v: k for v, k in got.items() if "arch. " not in v} == {v: k for v, k in VALUES.items() if "arch. " not in v}
+def test_blocks_of_entries_change_nothing(spark, catalog):
+    df = spark.createDataFrame([(v,) for v in [*VALUES, None]], "raw_value string")
+    assert len(list(skill_mapping.catalog_blocks(catalog, 2))) > 1
+    got = {r.raw_value: r.skill_id for r in skill_mapping.map_values(df, catalog, block=2).collect()}
+    # an abbreviation that two entries share is told apart only where both are in one block
+    assert {v: k for v, k in got.items() if v is None or "arch. " not in v} == {v: k for v, k in (VALUES | {None: 0}).items() if v is None or "arch. " not in v}
+
+
+def test_all_mentions_that_no_longer_one_overlaps(spark, catalog):
+    values = {"ML, archive auditing and boiler drafting": [6, 1, 3], "machine learning": [6], "archive drafting auditing": [2], "Arhcive Auditing": [1], "falcon": [0], None: [0], "boiler drafting; boiler drafting": [3]}
+    df = spark.createDataFrame([(v, 9, 7) for v in values], "raw_value string, place int, skill_id int")
+    for block in (50_000, 2):
+        rows = sorted(skill_mapping.map_mentions(df, catalog, block=block).collect(), key=lambda r: r.place)
+        got = {}
+        for r in rows:
+            got.setdefault(r.raw_value, []).append(r.skill_id)
+        if block > 2:
+            assert got == values
+        assert got["machine learning"] == [6] and got[None] == [0]
 
 
 def test_typed_values_are_distinct_and_not_blank(spark, catalog):
