@@ -68,7 +68,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole joint ranking of every job."""
     rankings = table(spark, sf_dir, "job_candidate_rankings")
-    fused = rank_fusion.joint_ranking(rankings, rankings.select("job_id"), None)
+    fused = rank_fusion.joint_ranking(rankings, None, None)
     return fused.select("job_id", "resume_id", F.round("fused", 9).alias("fused"), "pos")
 
 

@@ -50,13 +50,9 @@ def test_ranks_equal_brute_force(spark):
     rng = random.Random(4)
     rows = [("g" + str(k % 3), str(k), rng.choice([None, 0.0, 1.0, float("nan"), rng.random()]), float(rng.randrange(5))) for k in range(200)]
     df = spark.createDataFrame(rows, "g string, i string, up double, down double")
-    for bucket in (50_000, 5):
-        rank_fusion_bucket = rank_fusion.value_ranks.__defaults__
-        rank_fusion.value_ranks.__defaults__ = (bucket,)
-        try:
-            got = {(r.g, r.i): (r.r_up, r.r_down) for r in rank_fusion.ranked_signals(df, "g", "i", SIGNALS).collect()}
-        finally:
-            rank_fusion.value_ranks.__defaults__ = rank_fusion_bucket
+    every = df.select("g").distinct()
+    for large, bucket in ((None, 50_000), (every, 50_000), (every, 5), (every.where("g <> 'g1'"), 5)):
+        got = {(r.g, r.i): (r.r_up, r.r_down) for r in rank_fusion.ranked_signals(df, "g", "i", SIGNALS, large, bucket).collect()}
         for g, i, up, down in rows:
             own = [r[2] for r in rows if r[0] == g and r[2] is not None and r[2] == r[2]]
             want = 0.0 if up is None or up != up else (sum(x < up for x in own) + sum(x == up for x in own) / 2) / len(own) - 0.5
@@ -85,3 +81,12 @@ def test_units_have_no_say(spark):
     scaled = df.withColumn("skill_coverage", F.col("skill_coverage") * 100).withColumn("experience_alignment", F.exp(F.col("experience_alignment") * 9))
     assert [tuple(r) for r in rank_fusion.joint_ranking(scaled, jobs, None).orderBy("pos").select("job_id", "resume_id").collect()] == first
     assert rank_fusion.joint_ranking(df, jobs).count() == 3 and rank_fusion.joint_ranking(df.limit(0), jobs).count() == 0 and rank_fusion.joint_ranking(df, jobs.limit(0)).count() == 0
+
+
+def test_a_ranking_does_not_depend_on_the_jobs_that_are_asked(spark, data):
+    rankings = spark.read.parquet(f"{data}/job_candidate_rankings.parquet")
+    whole = {(r.job_id, r.resume_id): r.pos for r in rank_fusion.joint_ranking(rankings, None, None).collect()}
+    jobs = spark.read.parquet(f"{data}/fusion_jobs.parquet")
+    for rows in (10**6, 20):
+        got = [tuple(r) for r in rank_fusion.joint_ranking(rankings, jobs.limit(2), group_rows=rows).select("job_id", "resume_id", "pos").collect()]
+        assert got and all(whole[j, r] == pos for j, r, pos in got)
