@@ -165,7 +165,6 @@ def latest_profiles(profiles: DataFrame) -> DataFrame:
     return latest_rows(rows, ["resume_id"], "updated_at", [F.col("created_at").desc_nulls_last(), F.xxhash64("profile_json")])
 
 
-def profile_tree(profiles: DataFrame, whole: bool = False) -> DataFrame:
-    """Adjacency table of the latest profiles; only the members that lead to an entity unless ``whole``."""
-    members = None if whole else sorted({e.path[0] for e in PROFILE_ENTITIES if e.parent is None})
-    return adjacency(latest_profiles(profiles), "resume_id", "profile_json", members)
+def profile_tree(profiles: DataFrame) -> DataFrame:
+    """Adjacency table of the latest profiles, whole documents."""
+    return adjacency(latest_profiles(profiles), "resume_id", "profile_json")

@@ -9,9 +9,9 @@ from ..operators import shredding
 from ..session import table, written
 
 
-def _tree(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    # Shredded once and written: each entity's joins read the table, not the documents.
-    return written(shredding.profile_tree(table(spark, sf_dir, "candidate_profiles"), whole), "profile-nodes")
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Shredded once, whole documents, and written: each entity's joins read the table, not the documents.
+    return written(shredding.profile_tree(table(spark, sf_dir, "candidate_profiles")), "profile-nodes")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def _entity(name: str):
 
 def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shape of the documents: how often each label has each kind of value, over whole documents."""
-    tree = shredding.profile_tree(table(spark, sf_dir, "candidate_profiles"), whole=True)
+    tree = shredding.profile_tree(table(spark, sf_dir, "candidate_profiles"))
     return tree.groupBy("label", "kind").agg(F.count("*").alias("nodes"), F.countDistinct("key").alias("documents"))
 
 
