@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
+import os
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -23,6 +26,17 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SAFE = regex.compile(r"[\p{L}\p{N}](?=[ \n])|\p{L}(?=\p{N})|\p{N}(?=\p{L})")
 
 
+#: A byte that is no part of a character, as decoding marks it.
+_STRAY = re.compile("([\udc80-\udcff])")
+
+
+def shipped(spark: SparkSession, path: str) -> Callable[[], str]:
+    """The file at ``path`` of the driver's machine, sent to every executor once; called in a task it gives the path there."""
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+    return lambda: SparkFiles.get(name)
+
+
 @functools.lru_cache(maxsize=4)
 def encoding(path: str):
     """The tiktoken encoding of a local rank file; one per worker process."""
@@ -45,17 +59,28 @@ def safe_pieces(text: str, size: int = SPLIT_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def _mixed_bytes(enc, raw: bytes, size: int) -> list[np.ndarray]:
+    """Ids of bytes that are no UTF-8 as a whole: those of each stretch that is, and of each other byte its own."""
+    out = []
+    for piece in _STRAY.split(raw.decode("utf-8", "surrogateescape")):
+        if _STRAY.fullmatch(piece):
+            out.append(np.array([enc.encode_single_token(piece.encode("utf-8", "surrogateescape"))], np.int32))
+        elif piece:
+            out += encode_bytes(enc, piece.encode(), size)
+    return out
+
+
 def encode_bytes(enc, raw: bytes | None, size: int = SPLIT_CHARS) -> list[np.ndarray]:
     """Token ids of one text, as the arrays of its pieces.
 
-    Null and empty texts have none. Bytes that are not UTF-8 are encoded as bytes.
+    Null and empty texts have none. Bytes that are not UTF-8 are encoded one by one.
     """
     if not raw:
         return []
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
-        return [np.asarray(enc._encode_bytes(raw), dtype=np.int32)]
+        return _mixed_bytes(enc, raw, size)
     pieces = (text,) if len(text) <= size else safe_pieces(text, size)
     return [enc.encode_to_numpy(piece, disallowed_special=()).astype(np.int32) for piece in pieces]
 
@@ -68,11 +93,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: s
     ever made: its spelling in a text is ordinary text. Narrow: no shuffle, and only two columns reach the Python
     workers; ids leave as one flat Arrow array per batch.
     """
+    ranks = shipped(df.sparkSession, ranks_path)
     source = df.select(F.col(id_col).alias(id_col), F.col(text_col).cast("binary").alias("_raw"))
     id_type = source.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks_path)
+        enc = encoding(ranks())
         for batch in batches:
             arrays, lengths = [], [0]
             for raw in batch.column(1):
@@ -90,11 +116,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: s
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", out: str = "raw",
            ranks_path: str = f"{TOKENIZER_DIR}/{RANKS}") -> DataFrame:
     """Raw bytes of id lists: exact even where a list ends inside a character. Null ids give null bytes."""
+    ranks = shipped(df.sparkSession, ranks_path)
     source = df.select(F.col(id_col).alias(id_col), F.col(ids_col).alias("_ids"))
     id_type = source.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks_path)
+        enc = encoding(ranks())
         for batch in batches:
             raw = [None if ids is None else enc.decode_bytes(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=[id_col, out])
