@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the cluster's ``spark.checkpoint.dir``.
+    """Shared folder for cut lineage: the cluster's ``spark.checkpoint.dir``, never redirected.
 
-    Only where the setting is absent (tests, a single machine) a folder below the warehouse is set;
-    a session with the setting is never redirected.
+    Only where the setting is absent and all work is done on this machine a folder below the warehouse is set. On a cluster
+    without the setting a RuntimeError is raised: executors would write to disks that others cannot read.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
-        configured = "file:" + os.path.join(os.path.abspath(warehouse), "_checkpoints")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        configured = f"{warehouse.rstrip('/')}/_checkpoints"
+        if not re.match(r"[a-z][a-z0-9+.-]*:", configured):
+            configured = "file:" + os.path.abspath(configured)
         spark.conf.set("spark.checkpoint.dir", configured)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(configured)
