@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..session import cut
 
-#: Query vectors that a task holds at once; more queries are further passes over the rows.
+#: Query vectors that the driver and a task hold at once; more queries are further passes over the rows.
 BLOCK_QUERIES = 4_096
 #: Decimals at which similarities are compared, so that the last bit of a sum decides no rank.
 SIMILARITY_DIGITS = 9
@@ -31,7 +32,8 @@ def top_k(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vecto
     """``query_id``, ``row_id``, ``retrieval_rank`` and ``similarity`` of the ``k`` rows nearest to each query.
 
     Nearness is the inner product on the scale 0 to 1; equal similarities are ordered by ``row_id``. Each task keeps k
-    rows a query, so the shuffle carries tasks x queries x k rows. Null vectors, vectors with nulls and vectors of
+    rows a query, so the shuffle carries tasks x queries x k rows. With more queries than ``block`` each block is collected,
+    passed over the rows and its result written before the next, so the driver holds one block. Null vectors, vectors with nulls and vectors of
     another width than the queries are no neighbours; no queries or no rows give no result.
     """
     if k < 1:
@@ -79,12 +81,34 @@ def top_k(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vecto
 
         return source.mapInArrow(run, schema)
 
-    found = scan(0)
+    def best(found: DataFrame) -> DataFrame:
+        scored = found.select(query_id, row_id, scoring.similarity(F.col("ip"), SIMILARITY_DIGITS).alias("similarity"))
+        w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(row_id).asc())
+        return scored.withColumn("retrieval_rank", F.row_number().over(w)).where(F.col("retrieval_rank") <= k)
+
+    if parts == 1:
+        return best(scan(0))
+    out = cut(best(scan(0)))
     for number in range(1, parts):
-        found = found.unionByName(scan(number))
-    scored = found.select(query_id, row_id, scoring.similarity(F.col("ip"), SIMILARITY_DIGITS).alias("similarity"))
-    w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(row_id).asc())
-    return scored.withColumn("retrieval_rank", F.row_number().over(w)).where(F.col("retrieval_rank") <= k)
+        out = out.unionByName(cut(best(scan(number))))
+    return out
+
+
+def affected_jobs(stored: DataFrame, merged: DataFrame, changed: DataFrame) -> DataFrame:
+    """``resume_id`` and ``affected_job_ids``, sorted, of each new candidate: the jobs whose list holds it now or held it before.
+
+    ``changed`` has a ``resume_id`` of each new candidate; one that no list holds has an empty list.
+    """
+    own = changed.select("resume_id").distinct()
+    pairs = merged.select("job_id", "resume_id").unionByName(stored.select("job_id", "resume_id")).distinct().join(own, "resume_id", "left_semi")
+    lists = pairs.groupBy("resume_id").agg(F.array_sort(F.collect_set("job_id")).alias("affected_job_ids"))
+    return own.join(lists, "resume_id", "left").select("resume_id", F.coalesce("affected_job_ids", F.expr("cast(array() as array<string>)")).alias("affected_job_ids"))
+
+
+def without_outdated(stored: DataFrame, near: DataFrame, changed: DataFrame) -> DataFrame:
+    """Stored lists without the rows of new candidates whose new similarity is not among ``near``: as many others are nearer."""
+    old = stored.join(changed.select("resume_id").distinct(), "resume_id", "left_semi").join(near.select("job_id", "resume_id"), ["job_id", "resume_id"], "left_anti")
+    return stored.join(old.select("job_id", "resume_id"), ["job_id", "resume_id"], "left_anti")
 
 
 def merged_top_k(stored: DataFrame, changed: DataFrame, k: int) -> DataFrame:

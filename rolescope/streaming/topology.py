@@ -7,12 +7,15 @@ the same rows (at least once). Events that cannot be read or lack a field go to
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import profiles, ranking, retrieval
+from ..session import cut
 from ..sources import files
 from ..sources.store import Table
 
@@ -25,6 +28,10 @@ TOPICS = {
 }
 
 
+#: Files, or offsets of a topic, of one micro-batch, and events in a file that is published.
+BATCH_FILES, BATCH_OFFSETS, FILE_EVENTS = 16, 1_000, 64
+
+
 class Bus:
     """Where events come from and go to: Kafka if servers are given, else a folder of JSON files for each topic."""
 
@@ -36,9 +43,9 @@ class Bus:
     def stream(self, topic: str, starting: str = "earliest") -> DataFrame:
         """``key`` and ``value`` of a topic's events from the beginning."""
         if self.servers:
-            raw = self.spark.readStream.format("kafka").option("kafka.bootstrap.servers", self.servers).option("subscribe", topic).option("startingOffsets", starting).load()
+            raw = self.spark.readStream.format("kafka").option("kafka.bootstrap.servers", self.servers).option("subscribe", topic).option("startingOffsets", starting).option("maxOffsetsPerTrigger", BATCH_OFFSETS).load()
             return raw.select(F.col("key").cast("string"), F.col("value").cast("string"))
-        return self.spark.readStream.schema("key string, value string").json(f"{self.folder}/{topic}")
+        return self.spark.readStream.schema("key string, value string").option("maxFilesPerTrigger", BATCH_FILES).json(f"{self.folder}/{topic}")
 
     def publish(self, events: DataFrame, topic: str) -> None:
         """Append events (key, value)."""
@@ -46,7 +53,7 @@ class Bus:
         if self.servers:
             out.write.format("kafka").option("kafka.bootstrap.servers", self.servers).option("kafka.acks", "all").option("topic", topic).save()
         else:
-            out.write.mode("append").json(f"{self.folder}/{topic}")
+            out.write.mode("append").option("maxRecordsPerFile", FILE_EVENTS).json(f"{self.folder}/{topic}")
 
 
 def decoded(events: DataFrame, topic: str, required: tuple[str, ...] = ("resume_id",)) -> DataFrame:
@@ -71,16 +78,16 @@ class Pipeline:
     def parse(self, events: DataFrame) -> None:
         """Uploaded files become profiles; of files that cannot be read the event is dead."""
         good = self._good(events, "resume.uploaded", ("resume_id", "source_path"))
-        paths = [r[0] for r in good.select("source_path").distinct().collect()]  # a micro-batch of events, not of files' contents
-        found = [p for p in paths if self._exists(p)]
-        self._dead(good.where(~F.col("source_path").isin(*found) if found else F.lit(True)).select("key", "value", F.lit("no such file").alias("error")), "resume.uploaded")
+        named = self._resolved(good)
+        self._dead(named.where("file is null").select("key", "value", F.lit("no such file").alias("error")), "resume.uploaded")
+        found = [r.file for r in named.where("file is not null").select("file").distinct().collect()]  # as many as a micro-batch has events
         if not found:
             return
         texts = files.extracted(self.spark.read.format("binaryFile").load(found))
         rows = profiles.profiles(texts.where("error is null"))
         bare = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
-        named = good.select(bare(F.col("source_path")).alias("p"), F.col("resume_id").alias("event_id")).dropDuplicates(["p"])
-        rows = rows.withColumn("p", bare(F.col("source_path"))).join(named, "p").withColumn("resume_id", F.col("event_id")).drop("p", "event_id")
+        of_file = named.where("file is not null").select(bare(F.col("file")).alias("p"), F.col("resume_id").alias("event_id")).dropDuplicates(["p"])
+        rows = rows.withColumn("p", bare(F.col("source_path"))).join(of_file, "p").withColumn("resume_id", F.col("event_id")).drop("p", "event_id")
         self.tables["profiles"].merge(rows, ["resume_id"], order=[F.col("source_path").desc()])
         fresh = self.tables["profiles"].read().join(good.select("resume_id").distinct(), "resume_id", "left_semi")
         event = F.struct("resume_id", "source_filename", "source_path", F.lit(None).cast("string").alias("profile_path"), F.col("parsed_at").cast("string"), "warning_count")
@@ -101,30 +108,32 @@ class Pipeline:
         schema = "job_id string, resume_id string, similarity double, retrieval_rank int"
         self.tables["retrievals"].create(schema)
         stored = self.tables["retrievals"].read()
-        merged = retrieval.merged_top_k(stored, near, self.top_k)
-        changed = merged.where("changed").select("job_id").distinct()
-        touched = [r[0] for r in changed.collect()]
+        near = cut(near)
+        merged = cut(retrieval.merged_top_k(retrieval.without_outdated(stored, near, fresh), near, self.top_k))
+        affected = cut(retrieval.affected_jobs(stored, merged, good))
         self.tables["retrievals"].replace(merged.drop("changed"))
-        jobs = F.array(*(F.lit(j) for j in touched)).cast("array<string>")
-        event = F.struct("resume_id", jobs.alias("affected_job_ids"), F.lit(f"hashed-{self.width}").alias("model_name"), F.lit(self.top_k).alias("top_k"))
-        self.bus.publish(good.select("resume_id").distinct().select(F.col("resume_id").alias("key"), F.to_json(event).alias("value")), "resume.embedded")
+        event = F.struct("resume_id", "affected_job_ids", F.lit(f"hashed-{self.width}").alias("model_name"), F.lit(self.top_k).alias("top_k"))
+        self.bus.publish(affected.select(F.col("resume_id").alias("key"), F.to_json(event).alias("value")), "resume.embedded")
 
     def rank(self, events: DataFrame) -> None:
         """Jobs whose list changed are ranked anew. An event without a list of jobs stands for all jobs that list its
         candidate; an empty list stands for none."""
         good = self._good(events, "resume.embedded", ("resume_id",))
         lists = self.tables["retrievals"].read()
-        named = good.where("affected_job_ids is not null").select(F.explode("affected_job_ids").alias("job_id"))
-        looked_up = lists.join(good.where("affected_job_ids is null").select("resume_id"), "resume_id", "left_semi").select("job_id")
-        touched = named.unionByName(looked_up).distinct()
+        named = good.where("affected_job_ids is not null").select("resume_id", F.explode("affected_job_ids").alias("job_id"))
+        looked_up = lists.join(good.where("affected_job_ids is null").select("resume_id"), "resume_id", "left_semi").select("resume_id", "job_id")
+        wanted = cut(named.unionByName(looked_up).distinct())
+        touched = wanted.select("job_id").distinct()
         own = lists.join(touched, "job_id", "left_semi").withColumnRenamed("similarity", "semantic_similarity")
         scored = ranking.ranked(ranking.signals(own, self.tables["jobs"].read(), self.tables["profiles"].read()))
         rows = scored.select("job_id", "resume_id", "retrieval_rank", "ranking_rank", "semantic_similarity", "skill_coverage", "experience_alignment", "education_match", "role_relevance", "final_score")
         self.tables["rankings"].replace_groups(rows, "job_id", touched)
-        counts = self.tables["rankings"].read().join(touched, "job_id", "left_semi").agg(F.array_sort(F.collect_set("job_id")).alias("job_ids"), F.count("*").alias("n")).first()
-        jobs = F.array(*(F.lit(j) for j in counts.job_ids)).cast("array<string>")
-        event = F.struct("resume_id", jobs.alias("job_ids"), F.lit(len(counts.job_ids)).alias("job_count"), F.lit(counts.n).cast("int").alias("ranked_candidate_count"), F.lit(self.top_n).alias("top_n"))
-        self.bus.publish(good.select("resume_id").distinct().select(F.col("resume_id").alias("key"), F.to_json(event).alias("value")), "candidate.ranked")
+        sizes = self.tables["rankings"].read().join(touched, "job_id", "left_semi").groupBy("job_id").agg(F.count("*").alias("n"))
+        counts = wanted.join(sizes, "job_id").groupBy("resume_id").agg(F.array_sort(F.collect_set("job_id")).alias("job_ids"), F.sum("n").alias("n"))
+        jobs, n = F.coalesce("job_ids", F.expr("cast(array() as array<string>)")), F.coalesce("n", F.lit(0)).cast("int")
+        every = good.select("resume_id").distinct().join(counts, "resume_id", "left")
+        event = F.struct("resume_id", jobs.alias("job_ids"), F.size(jobs).alias("job_count"), n.alias("ranked_candidate_count"), F.lit(self.top_n).alias("top_n"))
+        self.bus.publish(every.select(F.col("resume_id").alias("key"), F.to_json(event).alias("value")), "candidate.ranked")
 
     # ---- streams
 
@@ -153,6 +162,17 @@ class Pipeline:
         rows = rows.select("key", "value", "error", F.lit(topic).alias("topic"))
         rows.write.mode("append").parquet(f"{self.root}/dead_letters")
 
+    def _resolved(self, events: DataFrame) -> DataFrame:
+        """Events with ``file``, the file that ``source_path`` names: ``~`` is the home folder, a relative path lies below the
+        pipeline's root; null where there is no such file. A micro-batch is bounded, so are the paths that are looked up."""
+        rows = []
+        for r in events.select("source_path").distinct().collect():
+            path = os.path.expanduser(r.source_path.strip()) if r.source_path.strip().startswith("~") else r.source_path.strip()
+            if not re.match(r"[a-z][a-z0-9+.-]*:|/", path):
+                path = f"{self.root}/{path}"
+            rows.append((r.source_path, path if self._exists(path) else None))
+        return events.join(self.spark.createDataFrame(rows, "source_path string, file string"), "source_path", "left")
+
     def _exists(self, path: str) -> bool:
         from ..sources.store import _fs
 
