@@ -66,19 +66,20 @@ def _parse_deep(text: str):
 
 def parse(text: str):
     """Value of a JSON text; a string that itself holds a JSON object or array is opened. ValueError if malformed."""
-    while True:
+    value = _decoded(text)
+    while type(value) is str and value.lstrip()[:1] in ("{", "["):
         try:
-            value = _DECODER.decode(text)
-        except RecursionError:
-            value = _parse_deep(text)
-        inner = value.lstrip() if type(value) is str else ""
-        if inner[:1] not in ("{", "["):
-            return value
-        try:
-            parse(inner)
+            value = _decoded(value)
         except ValueError:
-            return value
-        text = value
+            break
+    return value
+
+
+def _decoded(text: str):
+    try:
+        return _DECODER.decode(text.strip() if text[:1].isspace() else text)
+    except RecursionError:
+        return _parse_deep(text)
 
 
 def nodes(value, members: frozenset[str] | None = None) -> Iterator[tuple[int, int, str | None, int, int, str | None]]:

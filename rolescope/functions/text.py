@@ -71,7 +71,7 @@ def token_set(c: Column, stopwords: tuple[str, ...] = lexicon.STOPWORDS) -> Colu
 
 def primary_email(c: Column) -> Column:
     """First e-mail address in small letters; null without one."""
-    return F.lower(F.nullif(F.regexp_extract(c, lexicon.EMAIL, 0), F.lit("")))
+    return F.lower(F.nullif(F.regexp_extract(c, "(?U)" + lexicon.EMAIL, 0), F.lit("")))
 
 
 def primary_phone(c: Column) -> Column:
@@ -84,19 +84,28 @@ def primary_phone(c: Column) -> Column:
 
 def lexicon_hits(c: Column, lexicon_map: dict[str, str] = lexicon.SKILLS, last_alias_only: bool = True) -> Column:
     """Canonical names of the entries that occur as whole words, case ignored, sorted. ``last_alias_only`` scans one
-    alias for each name, the last given; otherwise all."""
-    patterns: dict[str, list[str]] = {}
-    for alias, name in lexicon_map.items():
-        patterns[name] = [alias] if last_alias_only else [*patterns.get(name, []), alias]
-    lowered = F.lower(c)
-    special = r"\.+*?()[]{}^$|#"
-
-    def hit(aliases: list[str]) -> Column:
-        quoted = "|".join("".join("\\" + x if x in special else x for x in a.lower()) for a in aliases)
-        return lowered.rlike(rf"(?<![\w])(?:{quoted})(?![\w])")
-
-    hits = F.array(*(F.when(hit(aliases), F.lit(name)) for name, aliases in patterns.items()))
-    return F.array_sort(F.array_compact(hits), lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0)))
+    alias for each name, the last given; otherwise all.
+
+    One pass over the text whatever the size of the lexicon: at each place where a word begins the longest alias is taken, and
+    the shorter ones that it begins with are known beforehand.
+    """
+    chosen = {name: [alias.lower()] for alias, name in lexicon_map.items()} if last_alias_only else {}
+    if not last_alias_only:
+        for alias, name in lexicon_map.items():
+            chosen.setdefault(name, []).append(alias.lower())
+    names: dict[str, set[str]] = {}
+    for name, aliases in chosen.items():
+        for alias in aliases:
+            names.setdefault(alias, set()).add(name)
+    if not names:
+        return F.when(c.isNotNull(), F.expr("cast(array() as array<string>)"))
+    begun = {a: sorted({n for b in names for n in names[b] if a == b or a.startswith(b) and not (a[len(b)].isalnum() or a[len(b)] == "_")}) for a in names}
+    special = r"\.+*?()[]{}^$|#-"
+    quoted = "|".join("".join("\\" + x if x in special else x for x in a) for a in sorted(names, key=lambda a: (-len(a), a)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(rf"(?U)(?<!\w)(?=({quoted})(?!\w))"), 1))
+    table = F.create_map(*(x for a, own in begun.items() for x in (F.lit(a), F.array(*map(F.lit, own)))))
+    hits = F.array_distinct(F.flatten(F.transform(found, lambda a: table[a])))
+    return F.array_sort(hits, lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0)))
 
 
 def skill_candidates(c: Column) -> Column:

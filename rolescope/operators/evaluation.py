@@ -14,17 +14,18 @@ NO_RANK = 1_000_000_000
 def clean_labels(labels: DataFrame, strict: bool = True) -> DataFrame:
     """Labels with trimmed ids, canonical split and blank source and notes as null.
 
-    ``strict`` makes a null or negative label and an unknown split an error; otherwise such labels are left out and
-    such splits null.
+    ``strict`` makes a null or negative label and an unknown split an error, whichever columns are read later; otherwise such
+    labels are left out and such splits null.
     """
+    if strict:
+        good = F.coalesce(F.col("label").cast("int") >= 0, F.lit(False))
+        known = F.coalesce(split_name(F.col("split")), F.lit("")).isNotNull()
+        labels = labels.where(F.when(good, known).otherwise(F.raise_error(F.lit("a label is null or negative")).cast("boolean")))
     out = labels.select(
         strip(F.col("job_id").cast("string")).alias("job_id"), strip(F.col("resume_id").cast("string")).alias("resume_id"), F.col("label").cast("int").alias("label"),
-        split_name(F.col("split"), strict=strict).alias("split"), blank_to_null(F.col("source")).alias("source"), blank_to_null(F.col("notes")).alias("notes"),
+        split_name(F.col("split"), strict=False).alias("split"), blank_to_null(F.col("source")).alias("source"), blank_to_null(F.col("notes")).alias("notes"),
     )
-    if not strict:
-        return out.where("label >= 0")
-    checked = F.when(F.coalesce(F.col("label") >= 0, F.lit(False)), F.col("label")).otherwise(F.raise_error(F.lit("a label is null or negative")))
-    return out.withColumn("label", checked)
+    return out if strict else out.where("label >= 0")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import NO_RANK
+
 # Features of a scored pair.
 FEATURES = (
     "semantic_similarity", "skill_coverage", "experience_alignment", "education_match", "role_relevance", "warning_count", "parser_quality_score", "education_count",
@@ -22,6 +24,15 @@ def feature_matrix(rows: DataFrame, features: tuple[str, ...] = FEATURES) -> Dat
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
 
 
+def training_order(rows: DataFrame) -> DataFrame:
+    """Labelled rows with ``place``, their order within the job's run of a split, by retrieval rank and id, and ``group_size``, the
+    length of the run: what a listwise learner needs. A missing or zero rank comes last."""
+    own = Window.partitionBy("split", "job_id")
+    rank = F.when(F.coalesce("retrieval_rank", F.lit(0)) == 0, F.lit(NO_RANK)).otherwise(F.col("retrieval_rank"))
+    place = F.row_number().over(own.orderBy(rank, "resume_id"))
+    return rows.where("label is not null").withColumn("place", place).withColumn("group_size", F.count("*").over(own).cast("int"))
+
+
 def train_ranker(export: DataFrame, features: tuple[str, ...] = FEATURES, rounds: int = 40, depth: int = 4, rate: float = 0.1, seed: int = 42):
     """Model fitted on the labelled rows of the train split; ValueError with fewer than two distinct labels there."""
     from pyspark.ml.regression import GBTRegressor

@@ -136,12 +136,14 @@ def merged_top_k(stored: DataFrame, changed: DataFrame, k: int) -> DataFrame:
 def hashed_vectors(df: DataFrame, id_col: str, text_col: str, width: int = 256, out: str = "embedding") -> DataFrame:
     """Unit vectors of texts by signed feature hashing of their words, for use where no encoder is given.
 
-    A text without words, and a null text, has the zero vector. Words are counted by their hash inside the JVM.
+    A text without words, and a null text, has the zero vector. Words are counted by their MD5 digest inside the JVM: its first
+    eight hexadecimal digits give the place, the ninth the sign, so that any engine can repeat it.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"(?U)[^\w]+"), lambda w: w != "")
     counted = df.select(id_col, F.explode_outer(words).alias("w"))
-    slot = F.pmod(F.xxhash64("w"), F.lit(width)).cast("int")
-    sign = F.when(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    digest = F.md5(F.col("w").cast("binary"))
+    slot = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % width).cast("int")
+    sign = F.when(F.substring(digest, 9, 1).isin(*"02468ace"), 1.0).otherwise(-1.0)
     slots = counted.groupBy(id_col, slot.alias("slot")).agg(F.sum(F.when(F.col("w").isNotNull(), sign).otherwise(0.0)).alias("x"))
     wide = slots.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "x")))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     value = lambda i: F.coalesce(F.col("m")[i.cast("int")], F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, learning, ranking
 from ..operators.versions import latest_rows
 from ..session import cut, table
-from .shortlist import _signals
+from .shortlist import _FEATURES, _LATEST, QUALITY_SQL, _signals
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,14 +79,15 @@ def mean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.mean_metrics(metrics_by_job(spark, sf_dir))
 
 
-MEAN_SQL = _EVENTS + """
+_MEAN = """
 SELECT score_field, count(*) AS jobs_with_labels, CAST(sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) AS BIGINT) AS jobs_with_relevant_labels, CAST(sum(n) AS BIGINT) AS labeled_pair_count,
   CAST(round(CAST(sum(CAST(p AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS DOUBLE) AS precision_at_k, CAST(round(CAST(sum(CAST(r AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS DOUBLE) AS recall_at_k, CAST(round(CAST(sum(CAST(g AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS DOUBLE) AS ndcg_at_k FROM j GROUP BY 1"""
+MEAN_SQL = _EVENTS + _MEAN
 
 
-def _ranked_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked_labelled(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     stored = ranking.latest_retrievals(table(spark, sf_dir, "job_candidate_rankings"))
-    return stored.join(_one_label(spark, sf_dir).select("job_id", "resume_id", "label"), ["job_id", "resume_id"])
+    return stored.join(_one_label(spark, sf_dir).select("job_id", "resume_id", "label", *more), ["job_id", "resume_id"])
 
 
 def stored_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +95,29 @@ def stored_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.mean_metrics(evaluation.job_metrics(evaluation.by_score_field(_ranked_labelled(spark, sf_dir), ["semantic_similarity"])))
 
 
+_PAIRED = _CLEAN + r""",
+ret AS (SELECT job_id, resume_id, retrieval_rank, semantic_similarity FROM (SELECT *, row_number() OVER (PARTITION BY job_id, resume_id ORDER BY updated_at DESC NULLS LAST, semantic_similarity DESC NULLS LAST, retrieval_rank ASC NULLS LAST) AS v FROM job_candidate_rankings WHERE job_id IS NOT NULL AND resume_id IS NOT NULL) WHERE v = 1 AND semantic_similarity IS NOT NULL),
+one AS (SELECT job_id, resume_id, max(label) AS label FROM lab GROUP BY 1, 2),
+e AS (SELECT r.job_id, r.resume_id, o.label, coalesce(r.retrieval_rank, 0) AS rr, r.semantic_similarity AS value FROM ret r JOIN one o ON o.job_id = r.job_id AND o.resume_id = r.resume_id),
+u AS (SELECT *, 'semantic_similarity' AS score_field, value AS score FROM e)"""
+STORED_METRICS_SQL = _PAIRED + _EVENTS[_EVENTS.index(",\nk AS") :] + _MEAN
+
+
 def feature_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of every retrieved pair with its label, one row a pair."""
     out = evaluation.labelled_export(_signals(spark, sf_dir), _one_label(spark, sf_dir))
     return out.select("job_id", "resume_id", "label", "split", "source", "final_score", "skill_coverage", "parser_quality_score")
 
 
+FEATURE_EXPORT_SQL = _FEATURES + r""",
+lab AS ("""+_CLEAN.split("WITH lab AS (",1)[1]+r""",
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, resume_id ORDER BY label DESC, split NULLS LAST, source NULLS LAST) AS v FROM lab) WHERE v = 1),
+q AS ("""+QUALITY_SQL.removeprefix(_LATEST)+r"""),
+b AS (SELECT job_id, (16 * (strpos('0123456789abcdef', substr(sha1(job_id), 1, 1)) - 1) + strpos('0123456789abcdef', substr(sha1(job_id), 2, 1)) - 1) / 255.0 AS share FROM job)
+SELECT s.job_id, s.resume_id, o.label, coalesce(o.split, CASE WHEN b.share < 0.7 THEN 'train' WHEN b.share < 0.85 THEN 'validation' ELSE 'test' END) AS split, o.source, s.final_score, s.skill_coverage, q.quality AS parser_quality_score
+FROM scored s JOIN q ON q.resume_id = s.resume_id JOIN b ON b.job_id = s.job_id LEFT JOIN one o ON o.job_id = s.job_id AND o.resume_id = s.resume_id"""
+
+
 def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.export_summary(feature_export(spark, sf_dir))
 
@@ -112,18 +130,35 @@ x AS (SELECT r.job_id, l.job_id AS labelled FROM ret r SEMI JOIN p ON p.resume_i
 SELECT count(*) AS rows, count(DISTINCT job_id) AS jobs, count(labelled) AS labelled_rows FROM x"""
 
 
+def training_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows of each split in the order in which a listwise learner reads them, with the size of each job's run."""
+    stored = _ranked_labelled(spark, sf_dir, "split")
+    return learning.training_order(stored.select("job_id", "resume_id", "label", "split", "retrieval_rank"))
+
+
+TRAINING_SQL = _CLEAN + r""",
+ret AS (SELECT job_id, resume_id, retrieval_rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id, resume_id ORDER BY updated_at DESC NULLS LAST, semantic_similarity DESC NULLS LAST, retrieval_rank ASC NULLS LAST) AS v FROM job_candidate_rankings WHERE job_id IS NOT NULL AND resume_id IS NOT NULL) WHERE v = 1 AND semantic_similarity IS NOT NULL),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, resume_id ORDER BY label DESC, split NULLS LAST, source NULLS LAST) AS v FROM lab) WHERE v = 1),
+x AS (SELECT r.job_id, r.resume_id, o.label, o.split, r.retrieval_rank FROM ret r JOIN one o ON o.job_id = r.job_id AND o.resume_id = r.resume_id)
+SELECT job_id, resume_id, label, split, retrieval_rank, CAST(row_number() OVER (PARTITION BY split, job_id ORDER BY CASE WHEN coalesce(retrieval_rank, 0) = 0 THEN 1000000000 ELSE retrieval_rank END, resume_id) AS INTEGER) AS place,
+  CAST(count(*) OVER (PARTITION BY split, job_id) AS INTEGER) AS group_size FROM x"""
+
+
 def reranker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heuristic and learned score of the labelled rows of each split, compared by their metrics."""
+    """Heuristic and learned score compared by their metrics on rows that the model was not fitted on: those of the first split
+    of test, validation and train that has any."""
     rows = cut(evaluation.labelled_export(_signals(spark, sf_dir), _one_label(spark, sf_dir), only_labelled=True))
     model = learning.train_ranker(rows)
-    both = learning.scored(model, rows).withColumnRenamed("final_score", "heuristic_score")
-    return evaluation.mean_metrics(evaluation.job_metrics(evaluation.by_score_field(both, ["heuristic_score", "ml_score"])))
+    split = learning.evaluation_split(rows)
+    both = learning.scored(model, rows.where(F.col("split") == split)).withColumnRenamed("final_score", "heuristic_score")
+    metrics = evaluation.mean_metrics(evaluation.job_metrics(evaluation.by_score_field(both, ["heuristic_score", "ml_score"])))
+    return metrics.select(F.lit(split).alias("split"), "*")
 
 
 def queries() -> dict:
-    own = [label_counts, label_summary, duplicate_labels, metrics_by_job, mean_metrics, stored_ranking_metrics, feature_export, export_summary, reranker]
+    own = [label_counts, label_summary, duplicate_labels, metrics_by_job, mean_metrics, stored_ranking_metrics, training_groups, feature_export, export_summary, reranker]
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"label_counts": LABEL_COUNTS_SQL, "label_summary": LABEL_SUMMARY_SQL, "duplicate_labels": DUPLICATES_SQL, "metrics_by_job": METRICS_SQL, "mean_metrics": MEAN_SQL, "export_summary": EXPORT_SUMMARY_SQL}
+    return {"label_counts": LABEL_COUNTS_SQL, "label_summary": LABEL_SUMMARY_SQL, "duplicate_labels": DUPLICATES_SQL, "metrics_by_job": METRICS_SQL, "mean_metrics": MEAN_SQL, "export_summary": EXPORT_SUMMARY_SQL, "stored_ranking_metrics": STORED_METRICS_SQL, "training_groups": TRAINING_SQL, "feature_export": FEATURE_EXPORT_SQL}

@@ -62,6 +62,25 @@ SELECT resume_id, entity, CAST(parent_pos AS INTEGER) AS parent_pos, CAST(pos AS
 """
 
 
+P4_LABELS_SQL = """
+WITH last AS (
+  SELECT resume_id, profile_json,
+         row_number() OVER (PARTITION BY resume_id ORDER BY updated_at DESC NULLS LAST, created_at DESC NULLS LAST) AS v
+  FROM candidate_profiles WHERE resume_id IS NOT NULL
+), doc AS (
+  SELECT resume_id, CASE WHEN json_type(profile_json) = 'VARCHAR' THEN json_extract_string(profile_json, '$') ELSE profile_json END AS d
+  FROM last WHERE v = 1 AND profile_json IS NOT NULL
+), node AS (
+  SELECT resume_id, t.id, t.parent, t.key, t.type FROM doc, json_tree(d) AS t
+), placed AS (
+  SELECT n.resume_id, CASE WHEN p.type = 'OBJECT' THEN n.key END AS label,
+         CASE n.type WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind
+  FROM node n LEFT JOIN node p ON p.resume_id = n.resume_id AND p.id = n.parent
+)
+SELECT label, kind, count(*) AS nodes, count(DISTINCT resume_id) AS documents FROM placed GROUP BY 1, 2
+"""
+
+
 def _entity_sql(name: str, columns: tuple[str, ...]) -> str:
     picked = ", ".join(f"json_extract_string(item, '$.{c}') AS {c}" for c in columns)
     value = "CASE WHEN json_type(item) NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(item, '$') END AS value"
@@ -76,4 +95,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL} | {f"p4_{e.name}": _entity_sql(e.name, e.columns) for e in shredding.PROFILE_ENTITIES}
+    return {"p4_found": P4_SQL, "p4_labels": P4_LABELS_SQL} | {f"p4_{e.name}": _entity_sql(e.name, e.columns) for e in shredding.PROFILE_ENTITIES}

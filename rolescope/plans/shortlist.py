@@ -202,14 +202,25 @@ SELECT job_id, resume_id, round(similarity, 9), CAST(row_number() OVER (PARTITIO
 
 
 def hashed_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Norm and size of the hashed vector of each job's title and skills."""
+    """Size and norm of the hashed vector of each job's title and skills, its places that are not zero, and a weighted sum."""
     jobs = ranking.latest_jobs(table(spark, sf_dir, "job_descriptions"))
     own = scoring.job_embedding_text(F.col("job_title"), F.lit(None), F.lit(None).cast("array<string>"), F.col("required_skills"), F.col("preferred_skills"), F.col("education"), F.lit(None).cast("array<string>"))
     v = retrieval.hashed_vectors(jobs.select("job_id", own.alias("t")), "job_id", "t")
-    return v.select("job_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
-
-
-HASHED_SQL = "SELECT DISTINCT job_id, 256 AS dim, 1.0::DOUBLE AS norm FROM job_descriptions WHERE job_id IS NOT NULL"
+    placed = F.transform("embedding", lambda x, i: x * (i + 1))
+    return v.select(
+        "job_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"),
+        F.size(F.filter("embedding", lambda x: x != 0)).alias("filled"), F.round(F.aggregate(placed, F.lit(0.0), lambda a, x: a + x), 4).alias("weighted"),
+    )
+
+
+HASHED_SQL = _LATEST + r""",
+t AS (SELECT job_id, lower(concat_ws(chr(10), 'Job Title: ' || coalesce(job_title, ''), 'Required Skills: ' || nullif(array_to_string(list_filter(required_skills, lambda s: s IS NOT NULL), ', '), ''),
+  'Preferred Skills: ' || nullif(array_to_string(list_filter(preferred_skills, lambda s: s IS NOT NULL), ', '), ''), 'Education: ' || nullif(education, ''))) AS t FROM job),
+w AS (SELECT job_id, md5(w) AS h FROM (SELECT job_id, unnest(string_split_regex(t, '[^\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS w FROM t) WHERE w <> ''),
+s AS (SELECT job_id, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % 256 AS INTEGER) AS slot, sum(CASE WHEN substr(h, 9, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM w GROUP BY 1, 2),
+n AS (SELECT job_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY 1)
+SELECT job.job_id, 256 AS dim, CASE WHEN coalesce(any_value(n.norm), 0) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm, CAST(count(*) FILTER (s.x <> 0) AS INTEGER) AS filled, round(coalesce(sum(s.x / n.norm * (slot + 1)), 0.0), 4) AS weighted
+FROM job LEFT JOIN s ON s.job_id = job.job_id LEFT JOIN n ON n.job_id = job.job_id GROUP BY job.job_id"""
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:

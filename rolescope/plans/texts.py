@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from ..functions import documents, lexicon, text
 from ..operators import profiles, quality, ranking, sections
 from ..session import table
 
-#: Words that job adverts and notes hold, for the lexicon queries.
-WORDS = {"reports": "Reports", "schedules": "Schedules", "budgets": "Budgets", "invoices": "Invoices", "contracts": "Contracts", "recruiter": "Recruiter"}
+#: The skill lexicon, and words that job adverts and notes hold.
+WORDS = lexicon.SKILLS | {"reports": "Reports", "schedules": "Schedules", "budgets": "Budgets", "invoices": "Invoices", "contracts": "Contracts", "recruiter": "Recruiter", "monthly invoices": "Invoices a month"}
 
 _PROF = """
 WITH prof AS (
@@ -87,7 +89,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONTACTS_SQL = _PROF + r""", c AS (
   SELECT resume_id, json_extract_string(d, '$.raw_text') AS t, list_filter(regexp_extract_all(json_extract_string(d, '$.raw_text'), '\+?[0-9][0-9 ()-]{8,}[0-9]'), lambda p: len(regexp_replace(p, '[^0-9]', '', 'g')) BETWEEN 10 AND 15) AS p FROM prof)
-SELECT resume_id, lower(nullif(regexp_extract(t, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+'), '')) AS email,
+SELECT resume_id, lower(nullif(regexp_extract(t, '[\p{L}\p{M}\p{Nd}\p{Pc}.+-]+@[\p{L}\p{M}\p{Nd}\p{Pc}-]+(?:\.[\p{L}\p{M}\p{Nd}\p{Pc}-]+)+'), '')) AS email,
   CASE WHEN len(p) > 0 THEN CASE WHEN starts_with(p[1], '+') THEN '+' ELSE '' END || regexp_replace(p[1], '[^0-9]', '', 'g') END AS phone FROM c"""
 
 
@@ -97,7 +99,11 @@ def lexicon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("term").agg(F.count("*").alias("documents"))
 
 
-LEXICON_SQL = " UNION ALL ".join(f"SELECT '{name}' AS term, count(*) AS documents FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9_]){alias}([^a-z0-9_]|$)') HAVING count(*) > 0" for alias, name in WORDS.items())
+_NO_WORD = r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+LEXICON_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS term, count(*) AS documents FROM documents WHERE regexp_matches(lower(text), '(^|{_NO_WORD}){re.escape(alias).replace(chr(39), chr(39) * 2)}({_NO_WORD}|$)') HAVING count(*) > 0"
+    for name, alias in {name: alias for alias, name in WORDS.items()}.items()
+)
 
 
 def job_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
