@@ -19,7 +19,7 @@ def parse(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from .operators import profiles, quality
     from .sources import files, store
 
-    table = store.Table(spark, a.store, "profiles")
+    table = store.opened(spark, a.store, "profiles")
     found = files.contents(spark, a.input, limit=a.limit)
     chosen = store.first_of_stem(found.select("path"), a.overwrite)
     if table.exists() and not a.overwrite:
@@ -41,7 +41,7 @@ def jobs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
     texts = files.job_texts(spark, a.input)
     rows = texts.join(sections.job_parts(texts, strict=True), "job_id")
-    table = store.Table(spark, a.store, "jobs")
+    table = store.opened(spark, a.store, "jobs")
     table.merge(rows, ["job_id"])
     return table.read().agg(F.count("*").alias("jobs"))
 
@@ -52,7 +52,7 @@ def embed(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from .operators import retrieval
     from .sources import store
 
-    t = {n: store.Table(spark, a.store, n) for n in ("profiles", "jobs", "profile_vectors", "job_vectors", "retrievals")}
+    t = {n: store.opened(spark, a.store, n) for n in ("profiles", "jobs", "profile_vectors", "job_vectors", "retrievals")}
     own = scoring.candidate_embedding_text(F.col("name"), F.col("skills"), documents.document(F.col("profile_json")))
     t["profile_vectors"].replace(retrieval.hashed_vectors(t["profiles"].read().select("resume_id", own.alias("t")), "resume_id", "t", a.width))
     j = t["jobs"].read()
@@ -67,7 +67,7 @@ def rank(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from .operators import ranking
     from .sources import store
 
-    t = {n: store.Table(spark, a.store, n) for n in ("profiles", "jobs", "retrievals", "rankings")}
+    t = {n: store.opened(spark, a.store, n) for n in ("profiles", "jobs", "retrievals", "rankings")}
     pairs = t["retrievals"].read().withColumnRenamed("similarity", "semantic_similarity")
     t["rankings"].replace(ranking.ranked(ranking.signals(pairs, t["jobs"].read(), t["profiles"].read())))
     store.write_json(store.ranking_artifact(t["rankings"].read(), a.top_n), f"{a.store}/artifacts/rankings")
@@ -79,7 +79,7 @@ def export(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from .operators import evaluation
     from .sources import files, store
 
-    out = evaluation.labelled_export(store.Table(spark, a.store, "rankings").read(), files.label_file(spark, a.labels), a.only_labelled)
+    out = evaluation.labelled_export(store.opened(spark, a.store, "rankings").read(), files.label_file(spark, a.labels), a.only_labelled)
     store.write_json(out, a.output)
     return evaluation.export_summary(spark.read.schema(out.schema).json(a.output))
 

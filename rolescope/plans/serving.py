@@ -101,7 +101,7 @@ def replaced_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ranked, _ = _tables(spark, sf_dir)
     import uuid
 
-    t = store.Table(spark, f"{checkpoint_root(spark)}/store", f"rankings_{uuid.uuid4().hex}")
+    t = store.Table(spark, f"{checkpoint_root(spark)}/store", f"rankings_{uuid.uuid4().hex}", key=("job_id",))
     t.replace(ranked.select("job_id", "resume_id", "ranking_rank"))
     t.replace_groups(t.read().where((F.col("job_id") == JOB) & (F.col("ranking_rank") <= 10)), "job_id")
     return t.read().groupBy("job_id").agg(F.count("*").alias("rows"))
@@ -146,7 +146,7 @@ def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-    own = store.Table(spark, root, "profiles")
+    own = store.opened(spark, root, "profiles")
     source = table(spark, sf_dir, "candidate_profiles")
 
     def batch(df: DataFrame, _: int) -> None:

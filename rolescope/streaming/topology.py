@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import profiles, ranking, retrieval
 from ..session import cut
 from ..sources import files
-from ..sources.store import Table
+from ..sources.store import KEYS, opened
 
 # Topics and the fields of their events; every event is keyed by resume_id.
 TOPICS = {
@@ -71,7 +71,7 @@ class Pipeline:
     def __init__(self, spark: SparkSession, root: str, bus: Bus, width: int = 256, top_k: int = 25, top_n: int = 10):
         self.spark, self.bus, self.root = spark, bus, root.rstrip("/")
         self.width, self.top_k, self.top_n = width, top_k, top_n
-        self.tables = {name: Table(spark, f"{self.root}/tables", name) for name in ("profiles", "jobs", "profile_vectors", "job_vectors", "retrievals", "rankings", "dead_letters")}
+        self.tables = {name: opened(spark, f"{self.root}/tables", name) for name in KEYS}
 
     # ---- stages, each for one micro-batch
 
@@ -111,7 +111,7 @@ class Pipeline:
         near = cut(near)
         merged = cut(retrieval.merged_top_k(retrieval.without_outdated(stored, near, fresh), near, self.top_k))
         affected = cut(retrieval.affected_jobs(stored, merged, good))
-        self.tables["retrievals"].replace(merged.drop("changed"))
+        self.tables["retrievals"].replace_groups(merged.where("changed").drop("changed"), "job_id")
         event = F.struct("resume_id", "affected_job_ids", F.lit(f"hashed-{self.width}").alias("model_name"), F.lit(self.top_k).alias("top_k"))
         self.bus.publish(affected.select(F.col("resume_id").alias("key"), F.to_json(event).alias("value")), "resume.embedded")
 

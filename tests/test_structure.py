@@ -323,6 +323,34 @@ def test_table_versions(spark, tmp_path):
         store.Table(spark, str(tmp_path), "bad-name")
 
 
+def test_a_merge_rewrites_only_the_parts_it_touches(spark, tmp_path):
+    t = store.Table(spark, str(tmp_path), "people", key=("k",), parts=8)
+    t.merge(spark.createDataFrame([(f"k{i}", i) for i in range(100)], "k string, v int"), ["k"])
+    before = t._state()["parts"]
+    t.merge(spark.createDataFrame([("k3", -1), ("new", 7)], "k string, v int"), ["k"])
+    after = t._state()["parts"]
+    assert len(before) == 8 and 1 <= sum(before[p] != after[p] for p in after) <= 2
+    rows = {r.k: r.v for r in t.read().collect()}
+    assert len(rows) == 101 and rows["k3"] == -1 and rows["new"] == 7 and rows["k4"] == 4
+    t.merge(spark.createDataFrame([], "k string, v int"), ["k"])
+    assert t._state()["parts"] == after
+    t.replace_groups(t.read().where("k = 'k5'").withColumn("v", F.lit(0)), "k", spark.createDataFrame([("k6",)], "k string"))
+    rows = {r.k: r.v for r in store.Table(spark, str(tmp_path), "people", key=("k",), parts=3).read().collect()}
+    assert len(rows) == 100 and rows["k5"] == 0 and "k6" not in rows
+    with pytest.raises(ValueError):
+        store.Table(spark, str(tmp_path), "both", ("v",), ("k",))
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from rolescope.session import checkpoint_root
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(cluster)
+
+
 def test_stems_and_artifacts(spark):
     df = spark.createDataFrame([("b/x.pdf",), ("a/x.docx",), ("y.txt",)], "path string")
     assert {r.path for r in store.first_of_stem(df).collect()} == {"a/x.docx", "y.txt"}
