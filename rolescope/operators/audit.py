@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from ..session import cut
 from .components import connected_components
 
 
@@ -77,43 +78,45 @@ def rule_links(features: DataFrame) -> DataFrame:
     every = frames[0]
     for f in frames[1:]:
         every = every.unionByName(f)
-    first = F.min("relative_path").over(Window.partitionBy("reason", "key"))
-    return every.withColumn("left", first).where("left <> relative_path").select("left", F.col("relative_path").alias("right"), "reason").distinct()
+    # The least path of a group is found by partial minima and joined back: no group is gathered in one task.
+    first = every.groupBy("reason", "key").agg(F.min("relative_path").alias("left"))
+    return every.join(first, ["reason", "key"]).where("left <> relative_path").select("left", F.col("relative_path").alias("right"), "reason").distinct()
 
 
 def _by_token(usable: DataFrame) -> DataFrame:
-    """Pairs of paths whose word sets may share three quarters of the smaller one.
+    """Pairs of paths whose word sets may share three quarters of the smaller one, and whose keys begin with the same letter.
 
     Such pairs share a word among the few rarest words of the smaller set; only these are looked up, so frequent words
     bring no pairs together.
     """
+    letter = usable.select("relative_path", F.substring("candidate_compact", 1, 1).alias("c"))
     words = usable.select("relative_path", F.explode(F.array_distinct("tokens")).alias("w"))
     frequency = words.groupBy("w").agg(F.count("*").alias("n"))
-    ordered = words.join(frequency, "w").groupBy("relative_path").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    ordered = words.join(frequency, "w").groupBy("relative_path").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws")).join(letter, "relative_path")
     size = F.size("ws")
     rare = F.slice("ws", F.lit(1), (size - F.ceil(size * 0.75) + 1).cast("int"))
-    small = ordered.select(F.col("relative_path").alias("a"), size.alias("sa"), F.explode(rare).alias("x")).select("a", "sa", F.col("x.w").alias("w"))
-    other = ordered.select(F.col("relative_path").alias("b"), size.alias("sb"), F.explode("ws").alias("x")).select("b", "sb", F.col("x.w").alias("w"))
-    met = small.join(other, "w").where("sa <= sb and a <> b")
+    small = ordered.select(F.col("relative_path").alias("a"), "c", size.alias("sa"), F.explode(rare).alias("x")).select("a", "c", "sa", F.col("x.w").alias("w"))
+    other = ordered.select(F.col("relative_path").alias("b"), "c", size.alias("sb"), F.explode("ws").alias("x")).select("b", "c", "sb", F.col("x.w").alias("w"))
+    met = small.join(other, ["w", "c"]).where("sa <= sb and a <> b")
     return met.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
 
 
 def _by_segment(usable: DataFrame, gap: int, least_ratio: float = 0.92) -> DataFrame:
-    """Pairs of paths whose person keys may have a similarity of ``least_ratio``.
+    """Pairs of paths whose person keys begin with the same letter and may have a similarity of ``least_ratio``.
 
     Strings so alike differ in few letters: cut the shorter into one segment more than that, and one segment stands in
     the longer at nearly the same place. Segments are looked up by text, place and the shorter's length.
     """
-    keys = usable.select("relative_path", F.col("candidate_compact").alias("k")).withColumn("n", F.length("k"))
+    keys = usable.select("relative_path", F.col("candidate_compact").alias("k"), F.substring("candidate_compact", 1, 1).alias("c")).withColumn("n", F.length("k"))
     # Letters that may be left over in a pair whose shorter string has n letters and whose longer has at most n + gap.
     spare = lambda n: F.floor((n * 2 + gap) * (1 - least_ratio)).cast("int")
     bounds = lambda n: F.transform(F.sequence(F.lit(0), spare(n)), lambda i: F.struct(i.alias("i"), F.floor(i * n / (spare(n) + 1)).cast("int").alias("f"), F.floor((i + 1) * n / (spare(n) + 1)).cast("int").alias("t")))
-    short = keys.withColumn("s", F.explode(bounds(F.col("n")))).select(F.col("relative_path").alias("a"), F.col("n").alias("na"), F.col("s.i").alias("i"), F.expr("substring(k, s.f + 1, s.t - s.f)").alias("seg"))
+    short = keys.withColumn("s", F.explode(bounds(F.col("n")))).select(F.col("relative_path").alias("a"), F.col("n").alias("na"), "c", F.col("s.i").alias("i"), F.expr("substring(k, s.f + 1, s.t - s.f)").alias("seg"))
     lengths = F.sequence(F.greatest(F.lit(1), F.col("n") - gap), F.col("n"))
-    cut = keys.withColumn("na", F.explode(lengths)).withColumn("s", F.explode(bounds(F.col("na")))).withColumn("d", F.explode(F.sequence(-spare(F.col("na")), spare(F.col("na")))))
-    inside = cut.where("s.f + d >= 0 and s.t + d <= n")
-    long = inside.select(F.col("relative_path").alias("b"), "na", F.col("s.i").alias("i"), F.expr("substring(k, s.f + d + 1, s.t - s.f)").alias("seg")).distinct()
-    met = short.where("seg <> ''").join(long, ["na", "i", "seg"]).where("a <> b")
+    shifted = keys.withColumn("na", F.explode(lengths)).withColumn("s", F.explode(bounds(F.col("na")))).withColumn("d", F.explode(F.sequence(-spare(F.col("na")), spare(F.col("na")))))
+    inside = shifted.where("s.f + d >= 0 and s.t + d <= n")
+    long = inside.select(F.col("relative_path").alias("b"), "na", "c", F.col("s.i").alias("i"), F.expr("substring(k, s.f + d + 1, s.t - s.f)").alias("seg")).distinct()
+    met = short.where("seg <> ''").join(long, ["na", "c", "i", "seg"]).where("a <> b")
     return met.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
 
 
@@ -163,7 +166,7 @@ def similarity(a: str, b: str) -> float:
 def review_groups(features: DataFrame) -> DataFrame:
     """``group`` (its first path), ``relative_path``, ``group_size`` and ``reasons`` of each file that some evidence links
     to another. Evidence is transitive: a group is a connected component of all links."""
-    links = rule_links(features).unionByName(near_links(features).select("left", "right", "reason"))
+    links = cut(rule_links(features).unionByName(near_links(features).select("left", "right", "reason")))
     linked = connected_components(links, "left", "right")
     reasons = links.join(linked, links.left == linked.node).groupBy("component").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     sizes = linked.groupBy("component").agg(F.count("*").alias("group_size"))
