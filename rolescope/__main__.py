@@ -80,20 +80,28 @@ def export(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from .sources import files, store
 
     out = evaluation.labelled_export(store.opened(spark, a.store, "rankings").read(), files.label_file(spark, a.labels), a.only_labelled)
-    store.write_json(out, a.output)
+    from .session import cut
+
+    out = cut(out)
+    store.write_with_manifest(out, a.output, evaluation.export_summary(out))
     return evaluation.export_summary(spark.read.schema(out.schema).json(a.output))
 
 
 def train(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Learned ranker from an export; metrics of the heuristic and the learned score on the evaluation split."""
     from .operators import evaluation, learning
+    from .sources import store
 
     rows = spark.read.json(a.export)
     model = learning.train_ranker(rows)
     model.write().overwrite().save(a.model)
     both = learning.scored(model, rows).withColumnRenamed("final_score", "heuristic_score")
     chosen = both.where(F.col("split") == (a.split or learning.evaluation_split(rows)))
-    return evaluation.mean_metrics(evaluation.job_metrics(evaluation.by_score_field(chosen, ["heuristic_score", "ml_score"])))
+    metrics = evaluation.mean_metrics(evaluation.job_metrics(evaluation.by_score_field(chosen, ["heuristic_score", "ml_score"])))
+    # Beside the model: what it says of every row, and how it compares.
+    store.write_json(both.select("job_id", "resume_id", "split", "label", "heuristic_score", "ml_score"), f"{a.model.rstrip('/')}.predictions")
+    store.write_json(metrics, f"{a.model.rstrip('/')}.comparison")
+    return metrics
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import auditing, evaluating, nested, serving, shortlist, texts
+from . import auditing, evaluating, landing, nested, serving, shortlist, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (shortlist, texts, auditing, evaluating, serving, nested)
+_MODULES = (shortlist, texts, auditing, evaluating, serving, nested, landing)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

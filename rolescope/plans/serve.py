@@ -46,6 +46,19 @@ def ranking_detail(ranking_table: DataFrame, profiles: DataFrame, job_id: str, r
     return one.select(F.struct("job_id", "resume_id", *RANKING, "ranking_created_at").alias("ranking"), F.struct("resume_id", *PROFILE, "profile_json").alias("candidate_profile"))
 
 
+def job_retrievals(retrieval_table: DataFrame, job_id: str, top: int | None = None) -> DataFrame:
+    """Stored retrievals of one job by rank, then id. The filter reaches the scan; an unknown job has no rows."""
+    own = retrieval_table.where(F.col("job_id") == job_id).orderBy("retrieval_rank", "resume_id")
+    return own if top is None else own.limit(top)
+
+
+def existing(df: DataFrame, what: str) -> DataFrame:
+    """``df`` if it has a row, else a KeyError: what a service answers as not found."""
+    if df.isEmpty():
+        raise KeyError(f"no such {what}")
+    return df
+
+
 def jobs_of_candidate(ranking_table: DataFrame, resume_id: str) -> DataFrame:
     return ranking_table.where(F.col("resume_id") == resume_id).select("job_id").distinct().orderBy("job_id")
 

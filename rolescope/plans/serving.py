@@ -163,14 +163,23 @@ def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_SQL = f"SELECT string_split(source_path, '/')[-2] AS folder, count(*) AS profiles FROM ({_PROF}) GROUP BY 1"
 
 
+def job_retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored retrievals of one job, the first 25 by rank."""
+    own = table(spark, sf_dir, "job_candidate_rankings").where("retrieval_rank is not null")
+    return serve.job_retrievals(own.select("job_id", "resume_id", "retrieval_rank").distinct(), JOB, 25)
+
+
+RETRIEVALS_SQL = f"SELECT * FROM (SELECT DISTINCT job_id, resume_id, retrieval_rank FROM job_candidate_rankings WHERE job_id = '{JOB}' AND retrieval_rank IS NOT NULL) ORDER BY retrieval_rank, resume_id LIMIT 25"
+
+
 def queries() -> dict:
-    own = [api_jobs, job_search, api_rankings, api_page, api_detail, score_parts, jobs_of_candidates, upsert_events, replaced_rankings, not_yet_parsed, orphan_rankings, event_payloads, stream_upserts]
+    own = [job_retrievals, api_jobs, job_search, api_rankings, api_page, api_detail, score_parts, jobs_of_candidates, upsert_events, replaced_rankings, not_yet_parsed, orphan_rankings, event_payloads, stream_upserts]
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "api_jobs": f"SELECT job_id, job_title, location, concat_ws(' • ', nullif(location, ''), nullif(employment_type, ''), nullif(experience_required, '')) AS subtitle FROM ({_JOB})",
+        "job_retrievals": RETRIEVALS_SQL, "api_jobs": f"SELECT job_id, job_title, location, concat_ws(' • ', nullif(location, ''), nullif(employment_type, ''), nullif(experience_required, '')) AS subtitle FROM ({_JOB})",
         "job_search": f"SELECT job_id, job_title FROM ({_JOB}) WHERE contains(lower(concat_ws(' ', job_title, location, job_id)), 'engineer')", "api_rankings": API_RANKINGS_SQL, "api_page": API_PAGE_SQL, "api_detail": API_DETAIL_SQL, "score_parts": PARTS_SQL,
         "jobs_of_candidates": f"SELECT resume_id, count(DISTINCT job_id) AS jobs FROM ({_RANK}) GROUP BY 1", "upsert_events": UPSERT_SQL, "replaced_rankings": REPLACED_SQL, "not_yet_parsed": NOT_YET_SQL, "orphan_rankings": ORPHANS_SQL, "event_payloads": PAYLOADS_SQL, "stream_upserts": STREAM_SQL,
     }

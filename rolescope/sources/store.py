@@ -201,6 +201,13 @@ def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).json(path)
 
 
+def write_with_manifest(df: DataFrame, path: str, summary: DataFrame) -> None:
+    """JSON lines of ``df``, and beside them ``<path>.manifest.json`` with the one row of ``summary``, the columns and the time."""
+    write_json(df, path)
+    columns = F.array(*map(F.lit, df.columns))
+    summary.select("*", columns.alias("columns"), F.current_timestamp().alias("written_at")).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}.manifest.json")
+
+
 def ranking_artifact(ranking: DataFrame, top: int = 10) -> DataFrame:
     """``job_id`` and JSON array of a job's first ``top`` rows without their job id: at most ``top`` rows a group."""
     first = ranking.where(F.col("ranking_rank") <= top)

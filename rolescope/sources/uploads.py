@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
@@ -29,6 +34,37 @@ def checked(uploads: DataFrame, suffixes: tuple[str, ...] = lexicon.RESUME_SUFFI
     return uploads.select(*others, own.alias("resume_id"), name.alias("source_filename"), F.concat(own, kind).alias("stored_name"), reject.alias("reject"))
 
 
+def stored(files: DataFrame, folder: str) -> DataFrame:
+    """Write files (``stored_name``, ``content``) into a folder of any file system that Arrow knows, each task its own, and give
+    ``stored_name``, ``size_bytes`` and ``error``. A file that is there is replaced; it appears whole or not at all. Of rows with one
+    name the longest content holds. Rows without a name or content are left out."""
+    named = files.where("stored_name is not null and content is not null").select("stored_name", F.col("content").cast("binary").alias("content"))
+    first = Window.partitionBy("stored_name").orderBy(F.length("content").desc(), F.sha2("content", 256))
+    one = named.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("stored_name", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", folder.rstrip("/")))
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            sizes, errors = [], []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, error = content.as_py(), None
+                try:
+                    part = f"{base}/.{uuid.uuid4().hex}"
+                    with system.open_output_stream(part) as out:
+                        out.write(data)
+                    system.move(part, f"{base}/{name}")
+                except OSError as failure:
+                    error = f"{type(failure).__name__}: {failure}"[:500]
+                sizes.append(len(data))
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], names=["stored_name", "size_bytes", "error"])
+
+    return one.mapInArrow(run, "stored_name string, size_bytes bigint, error string")
+
+
 def accepted(checked_uploads: DataFrame) -> DataFrame:
     return checked_uploads.where("reject is null")
 
