@@ -6,6 +6,7 @@ spans batch by batch: one narrow pass over the profiles, whole texts, no shuffle
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,7 +50,7 @@ def _scanned(profiles: DataFrame, detector: Detector, keys: list[str], run_slice
     source = profiles.select(*keys, F.col("profile_json").cast("string").alias("_json"), F.col("name").alias("_name"), F.col("email").alias("_email"), F.col("phone").alias("_phone"))
     n = len(keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = 0
             while low < batch.num_rows:
@@ -57,14 +58,22 @@ def _scanned(profiles: DataFrame, detector: Detector, keys: list[str], run_slice
                 while high < batch.num_rows and high - low < SLICE_ROWS and size < SLICE_CHARS:
                     size += len(batch.column(n)[high].as_py() or "")
                     high += 1
-                part = batch.slice(low, high - low)
+                yield batch.slice(low, high - low)
                 low = high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What a slice makes has no cycles: looking for them again and again costs a tenth of the time.
+        gc.disable()
+        try:
+            for part in slices(batches):
                 texts, items = [], []
                 for json_text, name, email, phone in zip(*(part.column(n + k).to_pylist() for k in range(4)), strict=True):
                     document = document_of(json_text)
                     texts.append(free_texts(document))
                     items.append(([t for _, t in texts[-1]], _record(name, email, phone, document)))
                 yield run_slice([part.column(k) for k in range(n)], texts, items, detector.find(items))
+        finally:
+            gc.enable()
 
     return source.mapInArrow(run, schema)
 

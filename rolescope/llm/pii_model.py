@@ -17,7 +17,7 @@ import numpy as np
 from .boosting import BoostedTrees, Calibrated, fit_calibrated, fit_trees
 from .folding import plain
 from .name_linking import CREDENTIALS, TITLES
-from .pii_spans import CUES, FEATURES, KINDS, NAME_SHAPE, Batch, Record, describe
+from .pii_spans import CUES, FEATURES, KINDS, NAME_SHAPE, Batch, Record, Seen, describe
 from .pii_words import FUNCTION_WORDS, WordModel, fit_words
 
 #: Invented documents, rows of the table, and names of the table that are fitted on.
@@ -336,12 +336,12 @@ class Detector:
     words: WordModel
     models: list[Calibrated | None]
     gate: Gate | None = None
-    shapes: dict = field(default_factory=dict, repr=False)
+    seen: Seen = field(default_factory=Seen, repr=False)
 
     def find(self, items: list[tuple[list[str], Record]]) -> list[list[tuple[int, int, int, str]]]:
         """Accepted (kind, start, end, text) of each (texts, record), positions within its joined pieces; of spans that
         overlap the most probable is kept, the longer of about equals."""
-        batch = describe(items, self.words, self.shapes, self.gate)
+        batch = describe(items, self.words, self.seen, self.gate)
         out: list[list[tuple[int, int, int, str]]] = [[] for _ in items]
         if not batch.spans:
             return out

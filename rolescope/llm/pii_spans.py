@@ -175,7 +175,7 @@ def _bare_names(run: str, parts: bool = True) -> list[tuple[int, int]]:
         out += [(g[i][0], g[j][1]) for i in range(len(g)) for j in range(i + 1, min(i + 5, len(g))) if parts or j == len(g) - 1 and i <= 1]
         if k in commas:
             out += [(x[0], y[1]) for x in groups[k - 1][-2:] for y in g[:2]]
-    return [(a, b) for a, b in out if not _GROUP.search(run, a, b)]
+    return [(a, b) for a, b in out if not _GROUP.search(run, a, b)] if _GROUP.search(run) else out
 
 
 #: Characters that an e-mail address has before and behind its at sign: 64 and 255 by its standard, and as many again for dots
@@ -207,6 +207,14 @@ def _occurrences(text: str, value: str):
 def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the spans that may be personal information, in pieces joined by line ends: every occurrence, in
     texts of any length. A name has two to five parts, or one behind a form of address."""
+    out, runs = proposed(joined, starts, record)
+    out.update((4, base + a, base + b) for base, run in runs for a, b in _bare_names(run))
+    return sorted(out)
+
+
+def proposed(joined: str, starts: list[int], record: Record) -> tuple[set[tuple[int, int, int]], list[tuple[int, str]]]:
+    """``candidates`` without the names inside runs of capitalised words, and these runs with their places: what may be a name inside
+    a run depends on the run alone and is found once for all records that repeat it."""
     out = set()
     for m in _AT.finditer(joined):
         k = bisect_right(starts, m.start()) - 1
@@ -222,9 +230,7 @@ def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int
     out.update((2, m.start(), m.end()) for m in _MIXED.finditer(joined))
     for low, high in _piece_bounds(joined, starts, _STREET_AT):
         out.update((3, e.start(), e.end()) for e in _ADDRESS.finditer(joined, low, high))
-    for m in _RUN.finditer(joined):
-        base = m.start()
-        out.update((4, base + a, base + b) for a, b in _bare_names(m.group()))
+    runs = [(m.start(), m.group()) for m in _RUN.finditer(joined)]
     out.update((4, m.start(1), m.end(1)) for m in _TITLED.finditer(joined))
     for m in _LABELLED.finditer(joined):
         base = m.start(1)
@@ -244,7 +250,7 @@ def candidates(joined: str, starts: list[int], record: Record) -> list[tuple[int
     for kind, value in ((0, record.email), (1, record.phone)):
         if len(value) >= 5:
             out.update((kind, a, b) for a, b in _occurrences(joined, value))
-    return sorted(out)
+    return out, runs
 
 
 _COMMON = "own_cue other_cue code_cue after_mark first_line line_start line_end is_column before_kind"
@@ -392,17 +398,33 @@ def features(kind: int, start: int, end: int, own: Context, low: int, high: int,
     return row + [end - start, n, float(bool(words) and bool(_STREET_WORD.fullmatch(words[-1]))), float(span[0].isdigit()), float(_GROUP.search(span) is not None), float(_UNIT_WORD.search(span) is not None), float("," in span), known]
 
 
+@lru_cache(maxsize=CACHE_SPANS)
+def _word_facts(word: str) -> tuple[str, str, float, float, float, float]:
+    """Folded and small form of a word; whether it is capitalised, an initial, a word of firms and posts, a function word."""
+    folded = plain(word)
+    return folded, word.lower(), float(word[0].isupper()), float(len(folded) < 2), float(folded in INSTITUTION), float(folded in FUNCTION_WORDS)
+
+
 def name_shape(span: str, look) -> tuple[list[float], list[str], list[str]]:
     """Features of a name candidate that depend on its words alone, the folded words, and the words in small letters."""
     words = _WORD.findall(span)
-    n = len(words) or 1
-    folded = [plain(w) for w in words]
-    looks = [look(w) for w, f in zip(words, folded, strict=True) if len(f) > 1]
+    capitals = initials = institution = function = 0.0
+    folded, small, looks = [], [], []
+    for w in words:
+        f, low, capital, initial, inst, func = _word_facts(w)
+        folded.append(f)
+        small.append(low)
+        capitals += capital
+        initials += initial
+        institution += inst
+        function += func
+        if not initial:
+            looks.append(look(w))
+    lower = span.islower()
     return [
-        len(span), n, sum([w[0].isupper() for w in words]), float(span.isupper()), float(span.islower()), float("," in span), n - len(looks),
-        looks[0] if looks else 0.0, looks[-1] if looks else 0.0, min(looks, default=0.0), sum(looks) / (len(looks) or 1),
-        float(not INSTITUTION.isdisjoint(folded)), float(sum([w in FUNCTION_WORDS for w in folded])),
-    ], folded, [w.lower() for w in words] if not span.islower() else []
+        len(span), len(words) or 1, capitals, float(span.isupper()), float(lower), float("," in span), initials,
+        looks[0] if looks else 0.0, looks[-1] if looks else 0.0, min(looks) if looks else 0.0, sum(looks) / (len(looks) or 1), 1.0 if institution else 0.0, function,
+    ], folded, [] if lower else small
 
 
 @dataclass
@@ -414,20 +436,35 @@ class Batch:
     joined: list[str]
 
 
-def describe(items: list[tuple[list[str], Record]], words: WordModel, cache: dict | None = None, keeps=None) -> Batch:
-    """Candidates and features of (texts, record) pairs; pieces that a record repeats are described once. ``cache`` keeps
-    what was found of spans that many records repeat.
+@dataclass
+class Seen:
+    """What a worker remembers: the shape of a span of words and whether it may be a name, and the names that a run may hold."""
+
+    shapes: dict[str, tuple] = field(default_factory=dict)
+    runs: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
+
+
+def describe(items: list[tuple[list[str], Record]], words: WordModel, seen: Seen | None = None, keeps=None) -> Batch:
+    """Candidates and features of (texts, record) pairs; pieces that a record repeats are described once.
 
     ``keeps`` is the first stage of a cascade: of an array of ``name_shape`` rows it tells which may be names at all. Others are
     not described any further, unless the record's own name holds them.
     """
     batch = Batch([], [], [])
-    shapes: dict[str, tuple] = {} if cache is None else cache
-    if len(shapes) >= CACHE_SPANS:
+    seen = Seen() if seen is None else seen
+    shapes, runs = seen.shapes, seen.runs
+    if len(shapes) + len(runs) >= CACHE_SPANS:
         shapes.clear()
+        runs.clear()
     look = words.look
     waiting = []
     fresh: dict[str, tuple] = {}
+    new_runs: dict[str, list[tuple[int, int]]] = {}
+
+    def ask(span: str) -> None:
+        if span not in shapes and span not in fresh:
+            fresh[span] = name_shape(span, look)
+
     for texts, record in items:
         pieces = pieces_of(texts)
         joined = "\n".join(pieces)
@@ -436,22 +473,30 @@ def describe(items: list[tuple[list[str], Record]], words: WordModel, cache: dic
         for p in pieces:
             starts.append(at)
             at += len(p) + 1
-        spans = candidates(joined, starts, record)
-        waiting.append((starts, spans))
+        spans, own_runs = proposed(joined, starts, record)
+        waiting.append((starts, spans, own_runs))
         for kind, start, end in spans:
             if kind == 4:
-                span = joined[start:end]
-                if span not in shapes and span not in fresh:
-                    fresh[span] = name_shape(span, look)
+                ask(joined[start:end])
+        for _, run in own_runs:
+            if run not in runs and run not in new_runs:
+                new_runs[run] = _bare_names(run)
+                for a, b in new_runs[run]:
+                    ask(run[a:b])
     good = keeps(np.array([f[0] for f in fresh.values()])).tolist() if keeps and fresh else [True] * len(fresh)
     for (span, found), kept in zip(fresh.items(), good, strict=True):
         shapes[span] = (*found, kept)
+    for run, names in new_runs.items():
+        runs[run] = [(a, b) for a, b in names if shapes[run[a:b]][3]]
 
-    for r, ((_, record), (starts, spans)) in enumerate(zip(items, waiting, strict=True)):
+    for r, ((_, record), (starts, spans, own_runs)) in enumerate(zip(items, waiting, strict=True)):
         joined = batch.joined[r]
         own = context_of(joined, record)
-        k, last = 0, len(starts) - 1
-        for kind, start, end in spans:
+        last = len(starts) - 1
+        for base, run in own_runs:
+            for a, b in runs[run]:
+                spans.add((4, base + a, base + b))
+        for kind, start, end in sorted(spans):
             if kind == 4:
                 span = joined[start:end]
                 if not shapes[span][3] and span not in record.name:
