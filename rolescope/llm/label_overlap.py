@@ -138,20 +138,31 @@ class Bits:
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes in their order, by doubling the compared length."""
-    n = len(data)
-    rank, width = data.astype(np.int64), 1
+    """Starts of the suffixes in their order; a suffix ends with its text, of equal ones that of the earlier text is first.
+
+    Sorted by eight bytes at first, then by twice as many until all are told apart.
+    """
+    n, width = len(data), 8
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    ends = np.flatnonzero(data == _BETWEEN)
+    # Bytes up to the end of the text: what follows it is masked.
+    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1
+    window = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
+    shift = (np.maximum(8 - left, 0) * 8).astype(np.uint64)
+    window = (window >> shift) << shift
+    order = np.argsort(window, kind="stable")
+    new = np.concatenate([[False], (np.diff(window[order]) != 0) | (left[order][1:] <= width)])
     while True:
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new)
+        if rank[order[-1]] == n - 1 or width >= n:
+            return order
         ahead = np.zeros(n, np.int64)
         ahead[: n - width] = rank[width:] + 1
-        pair = rank * (int(rank.max()) + 2) + ahead
-        order = np.argsort(pair, kind="stable")
-        step = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
-        rank = np.empty(n, np.int64)
-        rank[order] = step
+        pair = rank * (n + 1) + ahead
         width *= 2
-        if step[-1] == n - 1 or width >= n:
-            return order
+        order = np.argsort(pair, kind="stable")
+        new = np.concatenate([[False], np.diff(pair[order]) != 0])
 
 
 class FullTextIndex:

@@ -300,11 +300,13 @@ def candidate_pairs(nodes: DataFrame, nicknames: tuple[tuple[str, str], ...], bl
             where = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(keys, pa.string())], names=["node", "parts", "block"])
 
-    keyed = nodes.select("node", "scope", "parts").mapInArrow(run, "node string, parts string, block string, family string").repartition("block")
+    keyed = nodes.select("node", "scope", "parts").mapInArrow(run, "node string, parts string, block string, family string")
     large = keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > block_names).select("block")
-    small = keyed.join(large, "block", "left_anti").select("node", "parts", "block")
-    parted = keyed.join(large, "block", "left_semi").select("node", "parts", "block", "family").mapInArrow(part, "node string, parts string, block string")
-    every = small.unionByName(parted)
+    every = keyed.select("node", "parts", "block")
+    if not large.isEmpty():
+        large = cut(large)
+        parted = keyed.join(large, "block", "left_semi").select("node", "parts", "block", "family").mapInArrow(part, "node string, parts string, block string")
+        every = keyed.join(large, "block", "left_anti").select("node", "parts", "block").unionByName(parted)
     left = every.select("block", F.col("node").alias("a"), F.col("parts").alias("pa"))
     right = every.select("block", F.col("node").alias("b"), F.col("parts").alias("pb"))
     return left.join(right, "block").where("a < b").select("a", "b", "pa", "pb").distinct()
