@@ -45,7 +45,9 @@ CHUNK = 200_000
 _DASHES = re.compile("[—–―‒⸺/]|--+")
 _BROKEN = re.compile("-[ \\t]*[\\r\\n  \u0085]+[ \\t>|*#]*(?=\\w)")
 _MARKS = re.compile(r"[^\w\s]|_")
-_ASCII_MARKS = {c: None for c in range(128) if not chr(c).isalnum() and not chr(c).isspace()}
+_ASCII_MARKS = bytes(c for c in range(128) if not chr(c).isalnum() and not chr(c).isspace())
+_ASCII_SMALL = bytes(range(256)).lower()
+_LOOKS = re.compile("[" + "".join(map(chr, LOOKALIKE)) + "]")
 #: Steps (item words, document words) between two equal words with one altered word between them, the word being
 #: changed, left out, added, or torn in two.
 _GAPS = ((2, 2), (2, 1), (1, 2), (2, 3))
@@ -56,7 +58,9 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text).lower().translate(LOOKALIKE))
+        text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text).lower())
+        if _LOOKS.search(text):
+            text = text.translate(LOOKALIKE)
         if "-" in text:
             text = _BROKEN.sub("", text)
         return _MARKS.sub("", _DASHES.sub(" ", text)).split()
@@ -64,7 +68,7 @@ def words(text: str | None) -> list[str]:
         text = _BROKEN.sub("", text)
     if "/" in text or "--" in text:
         text = _DASHES.sub(" ", text)
-    return text.lower().translate(_ASCII_MARKS).split()
+    return text.encode("ascii").translate(_ASCII_SMALL, _ASCII_MARKS).decode("ascii").split()
 
 
 def placed(own: list) -> dict:
