@@ -126,6 +126,7 @@ def final_score(signals: dict[str, Column], weights: dict[str, float] = lexicon.
 
 
 def breakdown(signals: dict[str, Column]) -> Column:
+    """Map of the named signals."""
     return F.create_map(*(x for name, c in signals.items() for x in (F.lit(name), c)))
 
 

@@ -75,7 +75,8 @@ def signals(retrievals: DataFrame, jobs: DataFrame, profiles: DataFrame, match:
         "education_count", "experience_count", "project_count", "skills_count", flag("has_name"), flag("has_email"), flag("has_phone"),
         F.size("required_skills").alias("required_skill_count"), F.size("preferred_skills").alias("preferred_skill_count"),
     )
-    return scored.withColumn("final_score", scoring.final_score({n: F.col(n) for n in own}, weights))
+    named = {n: F.col(n) for n in own}
+    return scored.withColumn("final_score", scoring.final_score(named, weights)).withColumn("score_breakdown", scoring.breakdown(named))
 
 
 def ranked(scored: DataFrame, top: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +133,25 @@ def merged_top_k(stored: DataFrame, changed: DataFrame, k: int) -> DataFrame:
     return fresh.unionByName(same)
 
 
+def encoded_vectors(df: DataFrame, id_col: str, text_col: str, encoder: Callable[[list[str]], np.ndarray], out: str = "embedding", batch: int = 256) -> DataFrame:
+    """Unit vectors of texts by a given encoder, which turns a list of texts into a matrix with a row for each; ``batch`` texts
+    at a time, so a task holds no more. The encoder travels to the tasks; one that loads a model should do so when it is first called.
+    A null text is encoded as an empty one, a row of zeros stays."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for low in range(0, part.num_rows, batch):
+                own = part.slice(low, batch)
+                m = np.asarray(encoder([t or "" for t in own.column(1).to_pylist()]), np.float64)
+                norm = np.linalg.norm(m, axis=1, keepdims=True)
+                m = m / np.where(norm > 0, norm, 1.0)
+                offsets = pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32())
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.ListArray.from_arrays(offsets, pa.array(m.ravel()))], names=[id_col, out])
+
+    return df.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {id_type}, `{out}` array<double>")
+
+
 def hashed_vectors(df: DataFrame, id_col: str, text_col: str, width: int = 256, out: str = "embedding") -> DataFrame:
     """Unit vectors of texts by signed feature hashing of their words, for use where no encoder is given.
 

@@ -99,6 +99,15 @@ def signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signals(spark, sf_dir).select(*_SIGNAL_COLUMNS)
 
 
+def breakdown_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of each named signal in the breakdowns of all retrieved pairs."""
+    parts = _signals(spark, sf_dir).select(F.explode("score_breakdown").alias("part", "value"))
+    return parts.groupBy("part").agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+BREAKDOWN_SQL = _FEATURES + "\nSELECT part, count(value) AS n, round(avg(value), 4) AS mean FROM (UNPIVOT (SELECT semantic_similarity, skill_coverage, experience_alignment, education_match, role_relevance FROM scored) ON COLUMNS(*) INTO NAME part VALUE value) GROUP BY part"
+
+
 def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best candidates of each job by score."""
     return ranking.ranked(_signals(spark, sf_dir), 10).select(*_SIGNAL_COLUMNS, "ranking_rank")
@@ -239,13 +248,13 @@ def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [shortlist, signal_table, ranking_counters, candidate_years, required_experience, education_levels, parser_quality, embedding_texts, vector_topk, topk_delta, hashed_encoder, splits, token_sets]
+    own = [shortlist, breakdown_means, signal_table, ranking_counters, candidate_years, required_experience, education_levels, parser_quality, embedding_texts, vector_topk, topk_delta, hashed_encoder, splits, token_sets]
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "shortlist": SHORTLIST_SQL, "signal_table": _FEATURES + f"\nSELECT {', '.join(_SIGNAL_COLUMNS)} FROM scored", "ranking_counters": _FEATURES + "\nSELECT count(DISTINCT job_id) AS jobs_ranked, count(*) AS ranked_rows FROM scored",
+        "shortlist": SHORTLIST_SQL, "breakdown_means": BREAKDOWN_SQL, "signal_table": _FEATURES + f"\nSELECT {', '.join(_SIGNAL_COLUMNS)} FROM scored", "ranking_counters": _FEATURES + "\nSELECT count(DISTINCT job_id) AS jobs_ranked, count(*) AS ranked_rows FROM scored",
         "candidate_years": _FEATURES + "\nSELECT resume_id, years, lvl AS level FROM cand", "required_experience": REQUIRED_SQL,
         "education_levels": f"SELECT education, count(*) AS jobs, {_level('education')} AS level FROM job_descriptions GROUP BY education", "parser_quality": QUALITY_SQL,
         "embedding_texts": _LATEST + f""", parts AS (SELECT resume_id, d, concat_ws(chr(10), 'Candidate: ' || nullif(name, ''), 'Skills: ' || nullif(array_to_string(list_filter(skills, lambda s: s IS NOT NULL), ', '), ''), 'Experience: ' || nullif(array_to_string({_raw('experience')}, ' '), ''),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import shutil
+import subprocess
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -18,12 +20,12 @@ UNSUPPORTED = "Unsupported format."
 
 
 def listed(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = lexicon.AUDIT_SUFFIXES) -> DataFrame:
-    """``path``, ``relative_path``, ``size_bytes``, ``modified_at`` of files below a folder, whatever their depth, by
+    """``path``, ``relative_path``, ``size_bytes``, ``modified_at`` and its ISO text of files below a folder, whatever their depth, by
     suffix in any case. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/")
     relative = F.expr(f"substring_index(path, '{root.split(':', 1)[-1]}/', -1)")
-    return files.where(text.suffix(F.col("path")).isin(*suffixes)).select("path", relative.alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
+    return files.where(text.suffix(F.col("path")).isin(*suffixes)).select("path", relative.alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified_iso"))
 
 
 def contents(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = lexicon.RESUME_SUFFIXES, limit: int | None = None) -> DataFrame:
@@ -47,7 +49,10 @@ def docx_text(content: bytes) -> str:
 
 
 def pdf_text(content: bytes) -> str:
-    """Text of a PDF by pdfminer, where that library is installed."""
+    """Text of a PDF as it is laid out, by pdftotext where that program is installed, else by pdfminer where that library is."""
+    program = shutil.which("pdftotext")
+    if program:
+        return subprocess.run([program, "-layout", "-enc", "UTF-8", "-", "-"], input=content, capture_output=True, check=True, timeout=300).stdout.decode("utf-8", "replace")
     from pdfminer.high_level import extract_text
 
     return extract_text(io.BytesIO(content))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text
-from ..operators.versions import latest_rows
 from .settings import identifier
 
 _POINTER = "_CURRENT"
@@ -219,7 +218,3 @@ def ranking_artifact(ranking: DataFrame, top: int = 10) -> DataFrame:
 def write_lines(lines: DataFrame, path: str, order: str = "line_no", column: str = "line") -> None:
     """Text file of ordered lines; sorted across tasks, one file at the end."""
     lines.orderBy(order).select(column).coalesce(1).write.mode("overwrite").text(path)
-
-
-def latest(df: DataFrame, keys: list[str]) -> DataFrame:
-    return latest_rows(df, keys, "updated_at", [F.xxhash64(*[c for c in df.columns if c not in keys])])

@@ -126,7 +126,7 @@ class Pipeline:
         touched = wanted.select("job_id").distinct()
         own = lists.join(touched, "job_id", "left_semi").withColumnRenamed("similarity", "semantic_similarity")
         scored = ranking.ranked(ranking.signals(own, self.tables["jobs"].read(), self.tables["profiles"].read()))
-        rows = scored.select("job_id", "resume_id", "retrieval_rank", "ranking_rank", "semantic_similarity", "skill_coverage", "experience_alignment", "education_match", "role_relevance", "final_score")
+        rows = scored.select("job_id", "resume_id", "retrieval_rank", "ranking_rank", "semantic_similarity", "skill_coverage", "experience_alignment", "education_match", "role_relevance", "final_score", "score_breakdown")
         self.tables["rankings"].replace_groups(rows, "job_id", touched)
         sizes = self.tables["rankings"].read().join(touched, "job_id", "left_semi").groupBy("job_id").agg(F.count("*").alias("n"))
         counts = wanted.join(sizes, "job_id").groupBy("resume_id").agg(F.array_sort(F.collect_set("job_id")).alias("job_ids"), F.sum("n").alias("n"))

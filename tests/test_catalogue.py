@@ -13,7 +13,7 @@ def test_query_equals_its_sql(spark, data, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_without_sql_runs(spark, data, name):
     df = catalogue.queries()[name](spark, data)
-    assert df.columns and df.count() >= 0
+    assert df.columns and (df.count() > 0 or name in ("audit_near", "audit_review"))  # the smallest tables may hold no near names
 
 
 def test_every_statement_belongs_to_a_query():

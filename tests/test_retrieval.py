@@ -66,3 +66,14 @@ def test_ranks_are_permutations(spark):
     out = retrieval.top_k(rows.selectExpr("id as q", "e"), rows, "q", "id", "e", 30).collect()
     for q in range(30):
         assert sorted(r.retrieval_rank for r in out if r.q == q) == list(range(1, 31))
+
+
+def test_an_encoder_of_ones_own(spark):
+    def letters(texts):
+        return np.array([[t.count(c) for c in "abc"] for t in texts])
+
+    df = spark.createDataFrame([(1, "aab"), (2, None), (3, "c")], "id long, t string")
+    got = {r.id: r.embedding for r in retrieval.encoded_vectors(df, "id", "t", letters, batch=2).collect()}
+    assert got[1] == pytest.approx([2 / 5**0.5, 1 / 5**0.5, 0]) and got[2] == [0, 0, 0] and got[3] == [0, 0, 1]
+    assert retrieval.encoded_vectors(df.limit(0), "id", "t", letters).count() == 0
+
