@@ -211,7 +211,15 @@ def ranking_artifact(ranking: DataFrame, top: int = 10) -> DataFrame:
     """``job_id`` and JSON array of a job's first ``top`` rows without their job id: at most ``top`` rows a group."""
     first = ranking.where(F.col("ranking_rank") <= top)
     fields = [c for c in first.columns if c != "job_id"]
-    rows = F.array_sort(F.collect_list(F.struct("ranking_rank", *(c for c in fields if c != "ranking_rank"))))
+    keys = [c for c in ("ranking_rank", "resume_id") if c in fields]
+
+    def before(x: Column, y: Column) -> Column:
+        out = F.lit(0)
+        for k in reversed(keys):  # a row may hold maps, which have no order
+            out = F.when(x[k] < y[k], -1).when(x[k] > y[k], 1).otherwise(out)
+        return out
+
+    rows = F.array_sort(F.collect_list(F.struct("ranking_rank", *(c for c in fields if c != "ranking_rank"))), before)
     return first.groupBy("job_id").agg(F.to_json(rows).alias("ranking"))
 
 
