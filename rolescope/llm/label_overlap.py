@@ -41,6 +41,8 @@ _BETWEEN = 1
 _CENTRE = "#"
 #: Bound a route and a half of a number in a text.
 _ROUTE, _HALF = "~", "+"
+#: Marks of a whole number, and of the letters of an id without one.
+_WHOLE = ("n", "w")
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -108,13 +110,16 @@ def spellings(key: str, train: bool) -> list[tuple[str, str, int, int]]:
         digits, letters, checked = numbers_and_letters(part)
         own = [("n", digits, letters)] if digits else [("w", letters, "")]
         if checked:
-            own += [(mark, f"{letters}{_HALF}{half}", rest) for mark, half, rest in _halves(digits, train)]
+            own += [(mark, f"{letters}{_HALF}{half}", rest) for mark, half, rest in _halves(digits, train) if rest or half]
         sides.append(own)
     out = []
     for job_mark, job, job_rest in sides[0]:
         for mark, resume, rest in sides[1]:
             route = f"{job_mark}{_ROUTE}{job}{_CENTRE}{resume}{_ROUTE}{mark}"
-            out.append((route, f"{job_rest}{route}{rest}", len(job_rest.encode()), len((job_rest + route).encode())))
+            # Beside half of a number only its other half is of interest: letters stand in the text of the whole numbers.
+            halves = (job_mark not in _WHOLE, mark not in _WHOLE)
+            before, behind = (job_rest if halves[0] or not halves[1] else ""), (rest if halves[1] or not halves[0] else "")
+            out.append((route, f"{before}{route}{behind}", len(before.encode()), len((before + route).encode())))
     return out
 
 
@@ -217,6 +222,9 @@ class FullTextIndex:
         """Arrays (text number, start, end, low, high) of matches that contain the text's stretch, for every end behind it, with the
         rows of the index where they occur. A match is given for each start at which it loses some of its rows, so every
         indexed text is met at its own longest match."""
+        # A text whose stretch stands nowhere has no match: that is asked first, for one end of each text.
+        here = self.holding(texts, stretches)
+        own, texts, stretches = here, [texts[k] for k in here], [stretches[k] for k in here]
         count = [len(t) - b + 1 for t, (_, b) in zip(texts, stretches, strict=True)]
         owner = np.repeat(np.arange(len(texts)), count)
         ends = np.concatenate([np.arange(len(t), b - 1, -1) for t, (_, b) in zip(texts, stretches, strict=True)]) if texts else np.empty(0, np.int64)
@@ -242,7 +250,24 @@ class FullTextIndex:
             active = active[going]
             low[active], high[active] = lo[going], hi[going]
             start[active] -= 1
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        number, *rest = (np.concatenate(c) for c in zip(*out, strict=True))
+        return np.array(own, np.int64)[number], *rest
+
+    def holding(self, texts: list[bytes], stretches: list[tuple[int, int]]) -> list[int]:
+        """Numbers of the texts whose stretch stands in some indexed text."""
+        flat = self.code[np.frombuffer(b"".join(t[a:b] for t, (a, b) in zip(texts, stretches, strict=True)), np.uint8)]
+        size = np.array([b - a for a, b in stretches], np.int64)
+        at = np.cumsum(size)
+        low, high = np.zeros(len(texts), np.int64), np.full(len(texts), self.n, np.int64)
+        active = np.arange(len(texts))
+        for step in range(int(size.max(initial=0))):
+            active = active[size[active] > step]
+            symbol = flat[at[active] - 1 - step]
+            known = np.maximum(symbol, 0)
+            lo, hi = self.extend(known, low[active]), self.extend(known, high[active])
+            low[active], high[active] = lo, np.where(symbol < 0, lo, hi)
+            active = active[low[active] < high[active]]
+        return np.flatnonzero(low < high).tolist()
 
     def located(self, rows: np.ndarray) -> np.ndarray:
         """Numbers of the texts in which the rows' suffixes start: each steps back to a sampled symbol of its text."""
