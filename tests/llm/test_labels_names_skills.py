@@ -168,6 +168,24 @@ def test_blocks_of_entries_change_nothing(spark, catalog):
     assert {v: k for v, k in got.items() if v is None or "arch. " not in v} == {v: k for v, k in (VALUES | {None: 0}).items() if v is None or "arch. " not in v}
 
 
+def test_entries_of_different_blocks_are_weighed_as_in_one_list(spark):
+    names = {1: "Zinc mining", 2: "Tin casting", 4: "Hotwire", 5: "Plastic boring", 6: "Plastics mixing", 7: "Gear honing", 8: "Gear boning", 9: "Cablework", 10: "Cableworm"}
+    catalog = spark.createDataFrame([(k, n, []) for k, n in names.items()] + [(3, "Pressing", ["hot wire"])], "skill_id int, skill_name string, aliases array<string>")
+    meant = {
+        "Tin casting and zinc mining": [2, 1],  # of equally long mentions the first
+        "h otwire": [4],  # a name before an alias of the same letters
+        "boring of plastics": [0],  # a word of any entry stands for itself
+        "gear xoning": [0],  # two entries are equally like
+        "cab leworms": [10],  # equally like, one of them nearer by letters
+        "falcon": [0], "": [0], None: [0],
+    }
+    df = spark.createDataFrame([(v,) for v in meant], "raw_value string")
+    for block in (50_000, 1):
+        assert {r.raw_value: r.skill_id for r in skill_mapping.map_values(df, catalog, block=block).collect()} == {v: k[0] for v, k in meant.items()}
+        rows = sorted(skill_mapping.map_mentions(df, catalog, block=block).collect(), key=lambda r: r.place)
+        assert {v: [r.skill_id for r in rows if r.raw_value == v] for v in meant} == meant
+
+
 def test_all_mentions_that_no_longer_one_overlaps(spark, catalog):
     values = {"ML, archive auditing and boiler drafting": [6, 1, 3], "machine learning": [6], "archive drafting auditing": [2], "Arhcive Auditing": [1], "falcon": [0], None: [0], "boiler drafting; boiler drafting": [3]}
     df = spark.createDataFrame([(v, 9, 7) for v in values], "raw_value string, place int, skill_id int")
