@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..session import cut
+from ..session import cut, parallelism, written
 from .components import connected_components
 
 
@@ -83,76 +83,148 @@ def rule_links(features: DataFrame) -> DataFrame:
     return every.join(first, ["reason", "key"]).where("left <> relative_path").select("left", F.col("relative_path").alias("right"), "reason").distinct()
 
 
-def _by_token(usable: DataFrame) -> DataFrame:
-    """Pairs of paths whose word sets may share three quarters of the smaller one, and whose keys begin with the same letter.
+#: Similarity that letters alone must reach, and the sum of two keys' lengths from which segments are looked up, not letters.
+ALIKE, LONG = 0.92, 50
+LETTERS, FREQUENT = "abcdefghijklmnopqrstuvwxyz0123456789", "aeiorlnstdhmu"
+
+
+def _spare(total: Column) -> Column:
+    """Letters of both keys that may be left over in a pair of ``total`` letters; similarities count as rounded to six decimals."""
+    return F.floor(total * (1 - ALIKE + 5e-7)).cast("int")
 
-    Such pairs share a word among the few rarest words of the smaller set; only these are looked up, so frequent words
-    bring no pairs together.
-    """
-    letter = usable.select("relative_path", F.substring("candidate_compact", 1, 1).alias("c"))
-    words = usable.select("relative_path", F.explode(F.array_distinct("tokens")).alias("w"))
-    frequency = words.groupBy("w").agg(F.count("*").alias("n"))
-    ordered = words.join(frequency, "w").groupBy("relative_path").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws")).join(letter, "relative_path")
-    size = F.size("ws")
-    rare = F.slice("ws", F.lit(1), (size - F.ceil(size * 0.75) + 1).cast("int"))
-    small = ordered.select(F.col("relative_path").alias("a"), "c", size.alias("sa"), F.explode(rare).alias("x")).select("a", "c", "sa", F.col("x.w").alias("w"))
-    other = ordered.select(F.col("relative_path").alias("b"), "c", size.alias("sb"), F.explode("ws").alias("x")).select("b", "c", "sb", F.col("x.w").alias("w"))
-    met = small.join(other, ["w", "c"]).where("sa <= sb and a <> b")
-    return met.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
 
+def _met(short: DataFrame, long: DataFrame, on: list[str], where: str = "true") -> DataFrame:
+    both = short.join(long, on).where("a <> b").where(where)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-def _by_segment(usable: DataFrame, gap: int, least_ratio: float = 0.92) -> DataFrame:
-    """Pairs of paths whose person keys begin with the same letter and may have a similarity of ``least_ratio``.
+
+def _by_words(people: DataFrame, gap: int, few: int = 12) -> DataFrame:
+    """Pairs of people whose word sets may share three quarters of the smaller one, and whose keys begin with the same letter.
+
+    Such pairs share all words of one or two, else three words among the rarest of the smaller set; only these are looked up,
+    so words that many keys hold, such as those of an occupation, bring no pairs together. Sets of more than ``few`` words
+    are looked up by two words.
+    """
+    words = people.select("id", "c", "n", F.explode("ws").alias("w"))
+    frequency = words.groupBy("w").agg(F.count("*").alias("f"))
+    ordered = words.join(frequency, "w").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("x")).withColumn("ws", F.col("x.w"))
+    size = F.size("ws")
+    each = lambda ws, p, f: F.flatten(F.transform(F.filter(ws, lambda q: q > p), f))
+    one = F.transform("ws", lambda p: F.xxhash64("c", p))
+    two = lambda ws, mark: each(ws, F.lit(""), lambda p: F.transform(F.filter(ws, lambda q: q > p), lambda q: F.xxhash64("c", p, q, F.lit(mark))))
+    three = lambda ws: each(ws, F.lit(""), lambda p: each(ws, p, lambda q: F.transform(F.filter(ws, lambda r: r > q), lambda r: F.xxhash64("c", p, q, r))))
+    rare = lambda n: F.slice("ws", F.lit(1), (size - F.ceil(size * 0.75) + n).cast("int"))
+    of_small = F.when(size == 1, one).when(size == 2, F.concat(two(rare(2), 0), two(rare(2), 1))).when(size > few, two(rare(2), 1)).otherwise(F.concat(three(rare(3)), two(rare(2), 1)))
+    of_other = F.when(size > few, F.concat(one, two(F.col("ws"), 1))).otherwise(F.concat(one, two(F.col("ws"), 0), three(F.col("ws"))))
+    small = ordered.select(F.col("id").alias("a"), F.col("n").alias("na"), size.alias("sa"), F.explode(of_small).alias("h"))
+    other = ordered.select(F.col("id").alias("b"), F.col("n").alias("nb"), size.alias("sb"), F.explode(of_other).alias("h"))
+    return _met(small, other, ["h"], f"sa <= sb and abs(na - nb) <= {gap}")
+
+
+def _by_letters(people: DataFrame) -> DataFrame:
+    """Pairs of people whose keys begin with the same letter, have fewer than ``LONG`` letters together and may be ``ALIKE``.
+
+    At most three letters are left over: none or one of the shorter key and one to three of the longer. So the letters
+    of both, whatever their order, become equal if one is taken from the shorter or added to it, and one or two are taken from the
+    longer. What is added is a frequent letter, or two rare ones are taken instead; only from 38 letters on, where three may be
+    left over, any letter is added and any two are taken. Letters are looked up as a sum of their hashes.
+    """
+    value = lambda x: F.xxhash64(x).bitwiseAND(2**48 - 1)
+    every = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substring("k", i, 1))
+    summed = F.aggregate(every, F.shiftleft(F.ascii("c").cast("long"), 55), lambda s, x: s + value(x))
+    keys = people.where(f"n between 6 and {LONG // 2 + 1}").select("id", "n", summed.alias("h"), F.array_distinct(every).alias("x"))
+    h, n, x = F.col("h"), F.col("n"), F.col("x")
+    listed = lambda letters: F.array(*(F.lit(c) for c in letters))
+    none = F.expr("cast(array() as array<bigint>)")
+    least = lambda size, values: F.when(n >= size, values).otherwise(none)
+    taken = F.transform(x, lambda p: h - value(p))
+    added = F.transform(F.when(n < 18, listed(FREQUENT)).otherwise(listed(LETTERS)), lambda p: h + value(p))
+    some = F.when(n < 20, F.array_except(x, listed(FREQUENT))).otherwise(x)
+    twice = F.flatten(F.transform(some, lambda p: F.transform(F.filter(some, lambda q: q >= p), lambda q: h - value(p) - value(q))))
+    short = keys.where(f"n < {LONG // 2}").select(F.col("id").alias("a"), F.explode(F.concat(F.array(h), least(13, taken), least(12, added))).alias("h"))
+    long = keys.select(F.col("id").alias("b"), F.explode(F.concat(taken, least(14, twice))).alias("h"))
+    return _met(short, long, ["h"])
+
+
+def _marks(k: str) -> Column:
+    """64 bits of the letters that a key holds once, twice and three times; taking or adding a letter changes one bit at most."""
+    letters = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.substring(k, i, 1)))
+    times = lambda p: F.length(k) - F.length(F.replace(F.col(k), p))
+    place = lambda p, j: F.when(j < 3, F.ascii(p) % 26 + (j - 1) * 26).otherwise(F.ascii(p) % 12 + 52)
+    bits = F.flatten(F.transform(letters, lambda p: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), times(p))), lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), place(p, j)))))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+
+def _by_segment(people: DataFrame, gap: int) -> DataFrame:
+    """Pairs of people whose keys begin with the same letter, have ``LONG`` letters or more together and may be ``ALIKE``.
 
     Strings so alike differ in few letters: cut the shorter into one segment more than that, and one segment stands in
-    the longer at nearly the same place. Segments are looked up by text, place and the shorter's length.
+    the longer at nearly the same place. Segments are looked up by text, place and the shorter's length; of those that
+    meet, only pairs whose letters differ in no more are kept.
     """
-    keys = usable.select("relative_path", F.col("candidate_compact").alias("k"), F.substring("candidate_compact", 1, 1).alias("c")).withColumn("n", F.length("k"))
-    # Letters that may be left over in a pair whose shorter string has n letters and whose longer has at most n + gap.
-    spare = lambda n: F.floor((n * 2 + gap) * (1 - least_ratio)).cast("int")
+    keys = people.where(f"2 * n + {gap} >= {LONG}").select("id", "k", "c", "n", _marks("k").alias("m"))
+    # The shorter string has n letters and the longer at most n + gap.
+    spare = lambda n: _spare(n * 2 + gap)
     bounds = lambda n: F.transform(F.sequence(F.lit(0), spare(n)), lambda i: F.struct(i.alias("i"), F.floor(i * n / (spare(n) + 1)).cast("int").alias("f"), F.floor((i + 1) * n / (spare(n) + 1)).cast("int").alias("t")))
-    short = keys.withColumn("s", F.explode(bounds(F.col("n")))).select(F.col("relative_path").alias("a"), F.col("n").alias("na"), "c", F.col("s.i").alias("i"), F.expr("substring(k, s.f + 1, s.t - s.f)").alias("seg"))
-    lengths = F.sequence(F.greatest(F.lit(1), F.col("n") - gap), F.col("n"))
-    shifted = keys.withColumn("na", F.explode(lengths)).withColumn("s", F.explode(bounds(F.col("na")))).withColumn("d", F.explode(F.sequence(-spare(F.col("na")), spare(F.col("na")))))
-    inside = shifted.where("s.f + d >= 0 and s.t + d <= n")
-    long = inside.select(F.col("relative_path").alias("b"), "na", "c", F.col("s.i").alias("i"), F.expr("substring(k, s.f + d + 1, s.t - s.f)").alias("seg")).distinct()
-    met = short.where("seg <> ''").join(long, ["na", "c", "i", "seg"]).where("a <> b")
-    return met.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
+    place = lambda n, seg: F.xxhash64("c", n, "s.i", seg)
+    short = keys.withColumn("s", F.explode(bounds(F.col("n")))).where("s.f < s.t").select(F.col("id").alias("a"), F.col("m").alias("ma"), spare(F.col("n")).alias("most"), place("n", F.expr("substring(k, s.f + 1, s.t - s.f)")).alias("h"))
+    lengths = F.sequence(F.greatest(F.lit(1), F.lit(LONG) - F.col("n"), F.col("n") - gap), F.col("n"))
+    shifted = keys.where(f"2 * n >= {LONG}").withColumn("na", F.explode(lengths)).withColumn("s", F.explode(bounds(F.col("na")))).withColumn("d", F.explode(F.sequence(-spare(F.col("na")), spare(F.col("na")))))
+    inside = shifted.where("s.f < s.t and s.f + d >= 0 and s.t + d <= n")
+    long = inside.select(F.col("id").alias("b"), F.col("m").alias("mb"), place("na", F.expr("substring(k, s.f + d + 1, s.t - s.f)")).alias("h")).distinct()
+    return _met(short, long, ["h"], "bit_count(ma ^ mb) <= most")
+
+
+def near_people(people: DataFrame, gap: int) -> DataFrame:
+    """``a`` and ``b``, the lesser first: ids of people (id, key, k, ws, c, n) that three filters bring together, all that can be near."""
+    return _by_words(people, gap).unionByName(_by_letters(people)).unionByName(_by_segment(people, gap)).distinct()
+
+
+def person_keys(usable: DataFrame) -> DataFrame:
+    """Distinct ``candidate_key`` with ``id`` (its hash), ``k`` (without blanks), ``ws`` (distinct words), ``c`` (first letter) and ``n`` (letters)."""
+    k = F.replace(F.col("candidate_key"), F.lit(" "))
+    keys = usable.select("candidate_key").distinct().repartition(parallelism(usable.sparkSession))
+    return keys.select(F.xxhash64("candidate_key").alias("id"), F.col("candidate_key").alias("key"), k.alias("k"), F.array_distinct(F.split("candidate_key", " ")).alias("ws"), F.substring(k, 1, 1).alias("c"), F.length(k).alias("n"))
 
 
 def near_links(features: DataFrame, most_length_gap: int = 4) -> DataFrame:
     """``left``, ``right``, ``similarity``, ``reason`` of files whose person keys are alike.
 
     Keys begin with the same letter, their lengths are near, and either their words overlap or their letters do.
-    Candidates come from two lossless filters, rare shared words and shared segments, not from all pairs of a letter. The
+    Distinct keys are compared, and files are joined to those found. Candidates come from lossless filters, rare shared
+    words, letters but for the few left over, and segments of long keys, not from all pairs of a letter. The
     similarity is that of matching blocks, asymmetric in its arguments; the left file is the first by path. Files with
     equal keys belong to ``rule_links``.
     """
-    usable = features.where("is_informative and not is_template and candidate_compact <> ''").select("relative_path", "size_bytes", "candidate_compact", "tokens")
-    met = _by_token(usable).unionByName(_by_segment(usable, most_length_gap)).distinct()
-    side = lambda name: usable.select(F.col("relative_path").alias(name), *(F.col(c).alias(f"{name[0]}_{c}") for c in usable.columns[1:]))
-    l_key, r_key = F.col("l_candidate_compact"), F.col("r_candidate_compact")
+    files = written(features.where("is_informative and not is_template and candidate_compact <> ''").select("relative_path", "size_bytes", "candidate_key"), "audit-files")
+    people = written(person_keys(files), "audit-people")
+    side = lambda name: people.select(*(F.col(c).alias(f"{name}{'_' * (c != 'id')}{c if c != 'id' else ''}") for c in people.columns))
+    a, b = F.col("a_k"), F.col("b_k")
     pairs = (
-        met.join(side("left"), "left").join(side("right"), "right")
-        .where((l_key != r_key) & (F.substring(l_key, 1, 1) == F.substring(r_key, 1, 1)) & (F.abs(F.length(l_key) - F.length(r_key)) <= most_length_gap))
-        .withColumn("overlap", scoring.token_overlap(F.col("l_tokens"), F.col("r_tokens")) >= 0.75).withColumn("contains", l_key.contains(r_key) | r_key.contains(l_key))
-        .withColumn("ratio", scoring.size_ratio(F.col("l_size_bytes"), F.col("r_size_bytes"))).where("overlap or contains or ratio >= 0.7")
+        near_people(people, most_length_gap).join(side("a"), "a").join(side("b"), "b").where((a != b) & (F.col("a_c") == F.col("b_c")) & (F.abs(F.col("a_n") - F.col("b_n")) <= most_length_gap))
+        .withColumn("overlap", scoring.token_overlap(F.col("a_ws"), F.col("b_ws")) >= 0.75).withColumn("contains", a.contains(b) | b.contains(a))
+        .where(F.col("overlap") | (F.levenshtein(a, b) <= _spare(F.col("a_n") + F.col("b_n"))))
     )
-    wanted = pairs.select("left", "right", "l_candidate_compact", "r_candidate_compact", "overlap", "contains", "ratio")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [similarity(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64()), *batch.columns[4:]], names=["left", "right", "similarity", "overlap", "contains", "ratio"])
-
-    scored = wanted.mapInArrow(run, "left string, right string, similarity double, overlap boolean, contains boolean, ratio double")
-    near = (F.col("similarity") >= 0.92) & (F.col("overlap") | F.col("contains") | (F.col("ratio") >= 0.7))
+            texts = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
+            values = [pa.array([similarity(x, y) for x, y in own], pa.float64()) for own in (texts, [(y, x) for x, y in texts])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *values], names=["a_key", "b_key", "overlap", "contains", "forth", "back"])
+
+    scored = pairs.select("a_key", "b_key", "overlap", "contains", "a_k", "b_k").mapInArrow(run, "a_key string, b_key string, overlap boolean, contains boolean, forth double, back double")
+    file = lambda name: files.select(F.col("candidate_key").alias(f"{name}_key"), F.col("relative_path").alias(f"{name}_path"), F.col("size_bytes").alias(f"{name}_size"))
+    met = scored.where((F.greatest("forth", "back") >= ALIKE) | F.col("overlap")).join(file("a"), "a_key").join(file("b"), "b_key").select(
+        F.least("a_path", "b_path").alias("left"), F.greatest("a_path", "b_path").alias("right"), F.when(F.col("a_path") < F.col("b_path"), F.col("forth")).otherwise(F.col("back")).alias("similarity"),
+        "overlap", "contains", scoring.size_ratio(F.col("a_size"), F.col("b_size")).alias("ratio"),
+    )
+    near = (F.col("similarity") >= ALIKE) & (F.col("overlap") | F.col("contains") | (F.col("ratio") >= 0.7))
     token = F.col("overlap") & ((F.col("similarity") >= 0.84) | (F.col("ratio") >= 0.85) | F.col("contains"))
     reason = F.concat_ws(
         ", ", F.lit("similar name"), F.format_string("similarity=%.2f", "similarity"), F.when(F.col("overlap"), "token overlap"),
         F.when(F.col("ratio") >= 0.7, F.format_string("size_ratio=%.2f", "ratio")), F.when(F.col("contains"), "one contains the other"),
     )
-    return scored.where(near | token).select("left", "right", "similarity", reason.alias("reason"))
+    return met.where(near | token).select("left", "right", "similarity", reason.alias("reason"))
 
 
 def similarity(a: str, b: str) -> float:

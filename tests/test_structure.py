@@ -292,6 +292,65 @@ def test_near_links_equal_all_pairs(spark):
     assert len(want) > 40 and {(r.left, r.right) for r in audit.near_links(f).collect()} == want
 
 
+def test_near_links_at_the_limits_of_length(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz01") for _ in range(n))
+    # Four letters added, one in each quarter of 23, leave a similarity of exactly 0.92.
+    base = "mabcdefghijklnopqrstuvw"
+    keys = [base, base[:3] + "0" + base[3:9] + "1" + base[9:15] + "2" + base[15:20] + "3" + base[20:]]
+    for n in range(8, 64):
+        for _ in range(3):
+            x = list("q" + letters(n - 1))
+            keys.append("".join(x))
+            for _ in range(rng.randrange(1, 3 + n // 12)):
+                k = rng.randrange(1, len(x))
+                x[k : k + 1] = rng.choice([[], [x[k], rng.choice("aez1")], [rng.choice("aez1")], [x[k], x[k]]])
+            keys.append("".join(x))
+    f = audit.file_features(spark.createDataFrame([(f"d{k:04d}/{key}.pdf", 100) for k, key in enumerate(keys)], "relative_path string, size_bytes long"))
+    recs = sorted((r.relative_path, r.candidate_compact) for r in f.where("is_informative and not is_template").collect())
+    want = {
+        (p, q) for i, (p, a) in enumerate(recs) for q, b in recs[i + 1 :]
+        if a != b and a[0] == b[0] and abs(len(a) - len(b)) <= 4 and SequenceMatcher(None, a, b).ratio() >= 0.92
+    }
+    got = {(r.left, r.right) for r in audit.near_links(f).collect()}
+    assert (f"d0000/{keys[0]}.pdf", f"d0001/{keys[1]}.pdf") in want and len(want) > 60 and got == want
+
+
+def test_near_links_equal_all_pairs_of_many_words(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(12)
+    pool = ["dialysis", "nurse", "anna", "maria", "de", "la", "b", "quist", "tolcamber", "wexford", "imelda"]
+    names = {" ".join(["anna", *(rng.choice(pool) for _ in range(rng.randrange(7)))]) for _ in range(150)}
+    names |= {" ".join(["anna", *(c for c in "bcdefghijklmn" if c != x)]) for x in "bcdefg"}  # more words than are looked up by three
+    rows = [(f"d{k:03d}/{n}.pdf", rng.choice([0, 60, 90, 100])) for k, n in enumerate(sorted(names))]
+    f = audit.file_features(spark.createDataFrame(rows, "relative_path string, size_bytes long"))
+    recs = sorted((r for r in f.collect() if r.is_informative), key=lambda r: r.relative_path)
+    want = set()
+    for i, a in enumerate(recs):
+        for b in recs[i + 1 :]:
+            ca, cb, ta, tb = a.candidate_compact, b.candidate_compact, set(a.tokens), set(b.tokens)
+            if ca == cb or ca[0] != cb[0] or abs(len(ca) - len(cb)) > 4:
+                continue
+            s = SequenceMatcher(None, ca, cb).ratio()
+            ratio = 0 if 0 in (a.size_bytes, b.size_bytes) else min(a.size_bytes, b.size_bytes) / max(a.size_bytes, b.size_bytes)
+            over, holds = len(ta & tb) / min(len(ta), len(tb)) >= 0.75, ca in cb or cb in ca
+            if s >= 0.92 and (over or holds or ratio >= 0.7) or over and (s >= 0.84 or ratio >= 0.85 or holds):
+                want.add((a.relative_path, b.relative_path))
+    assert len(want) > 100 and {(r.left, r.right) for r in audit.near_links(f).collect()} == want
+
+
+def test_common_names_and_occupations_make_no_pairs(spark):
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    names = [f"Wojciech {letters(9)}" for _ in range(1500)] + [f"Dialysis Technician {letters(6)} {letters(9)}" for _ in range(1500)]
+    f = audit.file_features(spark.createDataFrame([(f"d{copy}/{n}.pdf", 100) for n in names for copy in range(3)], "relative_path string, size_bytes long"))
+    people = audit.person_keys(f).cache()
+    assert people.count() == len(set(names)) and audit.near_people(people, 4).count() < 1000  # of 2,248,500 pairs of a kind
+
+
 # ---- store, uploads, settings
 
 def test_merge_keeps_creation_and_is_idempotent(spark):
